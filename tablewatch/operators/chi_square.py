@@ -27,6 +27,7 @@ def chi_square_drift(
     targets: Mapping[str, Column],
     critical: float = CRITICAL_5_PERCENT,
     p_value: bool = False,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Rows (name, score, degrees_of_freedom, critical_value, significant, n_reference, n_target).
 
@@ -36,11 +37,15 @@ def chi_square_drift(
     """
     names = list(targets)
     k = range(len(names))
+    times = F.lit(1) if weight is None else weight
     c = F.col(label) if isinstance(label, str) else label
     base = df.select(
         c.cast("string").alias("label"),
-        F.coalesce(reference, F.lit(False)).cast("bigint").alias("r"),
-        *[F.coalesce(t, F.lit(False)).cast("bigint").alias(f"t{i}") for i, t in enumerate(targets.values())],
+        (F.coalesce(reference, F.lit(False)).cast("bigint") * times).alias("r"),
+        *[
+            (F.coalesce(t, F.lit(False)).cast("bigint") * times).alias(f"t{i}")
+            for i, t in enumerate(targets.values())
+        ],
     ).where(F.col("label").isNotNull())
     counts = base.groupBy("label").agg(
         F.sum("r").alias("r"), *[F.sum(f"t{i}").alias(f"t{i}") for i in k]

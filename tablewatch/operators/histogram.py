@@ -68,6 +68,7 @@ def paired_histogram(
     reference: Column,
     targets: Mapping[str, Column],
     bins: int = 20,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Rows (name, bin, n_reference, n_target, p, q): reference p and target q on shared limits.
 
@@ -81,6 +82,7 @@ def paired_histogram(
         as_double(value).alias("v"),
         F.coalesce(reference, F.lit(False)).alias("r"),
         *[F.coalesce(c, F.lit(False)).alias(f"t{i}") for i, c in enumerate(targets.values())],
+        (F.lit(1) if weight is None else weight).cast("bigint").alias("w"),
     ).where(F.col("v").isNotNull())
     both = [F.col("r") | F.col(f"t{i}") for i in range(len(names))]
     limits = base.agg(
@@ -95,8 +97,8 @@ def paired_histogram(
             F.struct(
                 F.lit(names[i]).alias("name"),
                 bin_of(F.col("v"), limits[f"lo{i}"], limits[f"hi{i}"], bins).alias("bin"),
-                F.col("r").cast("bigint").alias("r"),
-                F.col(f"t{i}").cast("bigint").alias("t"),
+                (F.col("r").cast("bigint") * F.col("w")).alias("r"),
+                (F.col(f"t{i}").cast("bigint") * F.col("w")).alias("t"),
             ),
         )
         for i, b in enumerate(both)
@@ -125,9 +127,10 @@ def js_drift(
     reference: Column,
     targets: Mapping[str, Column],
     bins: int = 20,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Rows (name, score, n_reference, n_target); the score is null when a sample is empty."""
-    cells = paired_histogram(df, value, reference, targets, bins)
+    cells = paired_histogram(df, value, reference, targets, bins, weight)
     p, q = F.col("p"), F.col("q")
     mid = (p + q) / F.lit(2.0)
     scored = cells.groupBy("name").agg(

@@ -17,20 +17,26 @@ def ks_drift(
     reference: Column,
     targets: Mapping[str, Column],
     buckets: int | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Rows (name, score, p_value_approx, n_reference, n_target), one per target condition.
 
     The first aggregate brings back the sample sizes and the bucket edges. Then the rows
     collapse to value counts (partial aggregation first), every bucket of values computes
     the extremes of its own part of the two ECDFs, and the bucket summaries - at most
-    ``buckets`` rows - are put together. An empty sample has a null score.
+    ``buckets`` rows - are put together. An empty sample has a null score. ``weight`` is the
+    number of equal rows a row stands for (stored value counts).
     """
     names = list(targets)
     k = range(len(names))
+    times = F.lit(1) if weight is None else weight
     base = df.select(
         as_double(value).alias("v"),
-        F.coalesce(reference, F.lit(False)).cast("bigint").alias("r"),
-        *[F.coalesce(c, F.lit(False)).cast("bigint").alias(f"t{i}") for i, c in enumerate(targets.values())],
+        (F.coalesce(reference, F.lit(False)).cast("bigint") * times).alias("r"),
+        *[
+            (F.coalesce(c, F.lit(False)).cast("bigint") * times).alias(f"t{i}")
+            for i, c in enumerate(targets.values())
+        ],
     ).where(F.col("v").isNotNull() & (F.greatest(F.lit(0), "r", *[f"t{i}" for i in k]) > 0))
 
     n_buckets = buckets or default_buckets(df.sparkSession)
