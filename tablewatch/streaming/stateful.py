@@ -39,8 +39,8 @@ class _Dedup(StatefulProcessor):
         self.last = handle.getValueState("last_kept", "at BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        frame = _in_order(rows, ["_at", "row_id"])
-        times = frame["_at"].to_numpy(dtype="int64")
+        frame = _in_order(rows, ["at_micros", "row_id"])
+        times = frame["at_micros"].to_numpy(dtype="int64")
         kept = np.zeros(len(times), dtype=bool)
         last = int(self.last.get()[0]) if self.last.exists() else None
         i = 0 if last is None else int(np.searchsorted(times, last + self.window, side="left"))
@@ -65,7 +65,7 @@ def deduplicate_stream(
     id_type = stream.schema[row_id].dataType.simpleString()
     rows = stream.select(
         F.col(key).cast("string").alias("group_key"),
-        F.unix_micros(instant(ts_column)).alias("_at"),
+        F.unix_micros(instant(ts_column)).alias("at_micros"),
         F.col(row_id).alias("row_id"),
     )
     return rows.groupBy("group_key").transformWithStateInPandas(
@@ -86,7 +86,7 @@ class _Threshold(StatefulProcessor):
         self.scores = handle.getListState("scores", "score DOUBLE")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        frame = _in_order(rows, ["_at", "score"])
+        frame = _in_order(rows, ["at_micros", "score"])
         past = [float(s[0]) for s in self.scores.get()] if self.scores.exists() else []
         limits = []
         for score in frame["score"]:
@@ -101,7 +101,7 @@ class _Threshold(StatefulProcessor):
         yield pd.DataFrame(
             {
                 "monitor_id": key[0],
-                "at_micros": frame["_at"].astype("int64"),
+                "at_micros": frame["at_micros"].astype("int64"),
                 "score": frame["score"].astype("float64"),
                 "threshold": pd.Series(limits, dtype="float64"),
             }
@@ -127,7 +127,7 @@ def threshold_stream(
     """
     rows = scores.select(
         F.col(monitor_id).cast("string").alias("monitor_id"),
-        F.unix_micros(instant(ts_column)).alias("_at"),
+        F.unix_micros(instant(ts_column)).alias("at_micros"),
         F.col(score).cast("double").alias("score"),
     ).where("score IS NOT NULL")
     out = rows.groupBy("monitor_id").transformWithStateInPandas(
