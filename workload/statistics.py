@@ -192,10 +192,9 @@ def _threshold(method: str):
             F.count(F.lit(1)).cast("double").alias("n")
         )
         last20 = Window.partitionBy("event_type").orderBy("day").rowsBetween(-19, 0)
-        return daily.select(
-            "event_type", stamp("day").alias("day"),
-            r(auto_threshold(F.collect_list("n").over(last20), method, 3.0, 0.001, 95.0)).alias("threshold"),
-        )
+        past = daily.withColumn("past", F.collect_list("n").over(last20))
+        limit = auto_threshold(F.col("past"), method, 3.0, 0.001, 95.0)
+        return past.select("event_type", stamp("day").alias("day"), r(limit).alias("threshold"))
 
     return run
 
