@@ -1 +1,308 @@
-QUERIES, ORACLE = {}, {}
+"""Importers over text that Spark writes from the rows of the test tables.
+
+The SQL twins do not parse anything: they list what the text was built from.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewatch.plans.importers import airflow, dbt, expectation_suites, sql_lineage
+
+from .common import r, stamp, table
+
+UNION = "\nUNION ALL\n"
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement per order, in six shapes."""
+    k = F.col("o_orderkey")
+    mart = F.concat(F.lit("mart.c_"), F.col("o_custkey").cast("string"))
+    raw = F.concat(F.lit("raw.orders_"), F.lower("o_orderstatus"))
+    users = F.concat(F.lit("raw.users_"), F.substring("o_orderpriority", 1, 1))
+    text = (
+        F.when(
+            k % 6 == 0,
+            F.format_string(
+                "CREATE TABLE %s AS\n  SELECT o.id, o.amount, u.name AS user_name\nFROM %s o JOIN %s u ON o.user_id = u.id",
+                mart, raw, users,
+            ),
+        )
+        .when(
+            k % 6 == 1,
+            F.format_string(
+                "INSERT INTO %s SELECT day, SUM(amount) as total, COALESCE(t.a, t.b) AS mix FROM %s AS t WHERE t.x > %d GROUP BY day",
+                mart, raw, k,
+            ),
+        )
+        .when(
+            k % 6 == 2,
+            F.format_string(
+                "create or replace table if not exists %s as select a.c1, a.c2 + b.c3 AS both, c4 AS plain from %s a join %s as b on a.id = b.id",
+                mart, raw, users,
+            ),
+        )
+        .when(k % 6 == 3, F.format_string("CREATE TEMP TABLE %s AS SELECT * FROM %s;", mart, raw))
+        .when(k % 6 == 4, F.format_string("SELECT x.id AS key FROM %s x JOIN %s ON 1 = 1", mart, raw))
+        .otherwise(F.format_string("WITH w AS (SELECT id FROM %s) INSERT INTO %s SELECT w.id FROM w", raw, mart))
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("query_id"), text.alias("sql"))
+
+
+_LOG = """log AS (SELECT o_orderkey AS query_id, o_orderkey % 6 AS shape, 'mart.c_' || o_custkey AS mart,
+  'raw.orders_' || lower(o_orderstatus) AS raw, 'raw.users_' || substr(o_orderpriority, 1, 1) AS users FROM orders)"""
+
+# Sources of a statement, in order.
+_SOURCES = """CASE shape WHEN 0 THEN [raw, users] WHEN 1 THEN [raw] WHEN 2 THEN [raw, users] WHEN 3 THEN [raw]
+  WHEN 4 THEN [mart, raw] ELSE [raw, 'w'] END"""
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_lineage.statements(query_log(spark, sf_dir)).select(
+        "query_id", "target_table", F.array_join("source_tables", ",").alias("source_tables")
+    )
+
+
+_TABLES_SQL = f"""
+WITH {_LOG}
+SELECT query_id, CASE WHEN shape <> 4 THEN mart END AS target_table,
+  array_to_string({_SOURCES}, ',') AS source_tables FROM log"""
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_lineage.column_mappings(query_log(spark, sf_dir)).select(
+        "query_id", "position", "target_column", "source_table", "source_column", "expression"
+    )
+
+
+_COLUMNS_SQL = f"""
+WITH {_LOG}, items AS (
+  SELECT query_id, CAST(p AS INTEGER) AS position, c AS target_column,
+    CASE t WHEN 'raw' THEN raw WHEN 'users' THEN users WHEN 'mart' THEN mart WHEN 'w' THEN 'w' END AS source_table,
+    s AS source_column, e AS expression
+  FROM log JOIN (VALUES
+    (0, 0, 'id', 'raw', 'id', 'o.id'), (0, 1, 'amount', 'raw', 'amount', 'o.amount'),
+    (0, 2, 'user_name', 'users', 'name', 'u.name AS user_name'),
+    (1, 0, 'day', NULL, NULL, 'day'), (1, 1, 'SUM(amount) as total', NULL, NULL, 'SUM(amount) as total'),
+    (2, 0, 'c1', 'raw', 'c1', 'a.c1'), (2, 1, 'both', 'users', 'c3', 'a.c2 + b.c3 AS both'),
+    (2, 2, 'plain', NULL, NULL, 'c4'),
+    (4, 0, 'key', 'mart', 'id', 'x.id AS key'),
+    (5, 0, 'id', NULL, NULL, 'id')) v(sh, p, c, t, s, e) ON sh = shape)
+SELECT * FROM items
+UNION ALL
+SELECT query_id, 2, 'b) AS mix', 'COALESCE(t.a, t', 'b) AS mix', 'COALESCE(t.a, t.b) AS mix' FROM log WHERE shape = 1"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_lineage.table_lineage(query_log(spark, sf_dir)).select(
+        "table", F.array_join("upstream_tables", ",").alias("upstream"), F.array_join("downstream_tables", ",").alias("downstream")
+    )
+
+
+_GRAPH_SQL = f"""
+WITH {_LOG}, parsed AS (SELECT CASE WHEN shape <> 4 THEN mart END AS target, {_SOURCES} AS sources FROM log),
+link AS (SELECT DISTINCT target, unnest(sources) AS source FROM parsed WHERE target IS NOT NULL),
+seen AS (SELECT target AS t FROM parsed WHERE target IS NOT NULL UNION SELECT unnest(sources) FROM parsed)
+SELECT t AS table,
+  coalesce((SELECT string_agg(source, ',' ORDER BY source) FROM link WHERE target = t), '') AS upstream,
+  coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM link WHERE source = t), '') AS downstream
+FROM seen"""
+
+
+def _column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_lineage.column_edges(query_log(spark, sf_dir))
+
+
+_COLUMN_EDGES_SQL = f"""
+SELECT DISTINCT mart AS target_table, target_column, source_table, source_column, expression AS transformation
+FROM ({_COLUMNS_SQL}) c JOIN (SELECT o_orderkey, 'mart.c_' || o_custkey AS mart FROM orders) o ON o.o_orderkey = c.query_id
+WHERE source_table IS NOT NULL AND o_orderkey % 6 <> 4"""
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest per part: three models, a test node, a source."""
+    text = F.format_string(
+        """{"metadata": {"dbt_version": "1.8"}, "nodes": {
+ "model.p.base_%1$d": {"name": "base_%1$d", "resource_type": "model", "database": "db", "schema": "%2$s", "alias": "base",
+   "columns": {"size": {"name": "size"}, "id": {"name": "id"}}, "tags": ["hourly"],
+   "depends_on": {"nodes": ["source.p.raw_%1$d"], "macros": []}},
+ "model.p.mid_%1$d": {"name": "mid_%1$d", "resource_type": "model", "schema": "%2$s", "columns": {},
+   "depends_on": {"nodes": ["model.p.base_%1$d"]}},
+ "model.p.top_%1$d": {"name": "top_%1$d", "resource_type": "model", "database": "db", "tags": ["b", "a"],
+   "depends_on": {"nodes": ["model.p.mid_%1$d", "model.p.base_%1$d"]}},
+ "test.p.check_%1$d": {"name": "check_%1$d", "resource_type": "test", "depends_on": {"nodes": ["model.p.top_%1$d"]}}},
+"sources": {"source.p.raw_%1$d": {"name": "raw_%1$d", "source_name": "lake", "database": "raw", "schema": "public",
+   "columns": {"id": {"name": "id"}}, "freshness": %3$s}},
+"parent_map": {"model.p.base_%1$d": ["source.p.raw_%1$d"], "model.p.mid_%1$d": ["model.p.base_%1$d"],
+   "model.p.top_%1$d": ["model.p.mid_%1$d", "model.p.base_%1$d"]},
+"child_map": {"model.p.base_%1$d": ["model.p.mid_%1$d", "model.p.top_%1$d"], "model.p.mid_%1$d": ["model.p.top_%1$d"],
+   "model.p.top_%1$d": ["test.p.check_%1$d"]}}""",
+        F.col("p_partkey"),
+        F.lower("p_type"),
+        F.when(F.col("p_size") <= 20, F.format_string('{"warn_after": {"count": %d, "period": "hours"}}', "p_size"))
+        .when(F.col("p_size") <= 40, F.lit('{"warn_after": {}}'))
+        .otherwise(F.lit("null")),
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("manifest_id"), text.alias("manifest"))
+
+
+def _dbt_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return dbt.models(manifests(spark, sf_dir)).select(
+        "manifest_id", "name", "database", "schema", "alias", join("columns"), join("upstream_models"),
+        join("downstream_models"), join("tags"),
+    )
+
+
+_DBT_MODELS_SQL = UNION.join(
+    f"""SELECT p_partkey AS manifest_id, '{n}_' || p_partkey AS name, '{db}' AS database, {schema} AS schema, '{alias}' AS alias,
+  '{cols}' AS columns, {up} AS upstream_models, {down} AS downstream_models, '{tags}' AS tags FROM part"""
+    for n, db, schema, alias, cols, up, down, tags in (
+        ("base", "db", "lower(p_type)", "base", "id,size", "''", "'mid_' || p_partkey || ',top_' || p_partkey", "hourly"),
+        ("mid", "", "lower(p_type)", "", "", "'base_' || p_partkey", "'top_' || p_partkey", ""),
+        ("top", "db", "''", "", "", "'mid_' || p_partkey || ',base_' || p_partkey", "'check_' || p_partkey", "b,a"),
+    )
+)
+
+
+def _dbt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbt.sources(manifests(spark, sf_dir)).withColumn("columns", F.array_join("columns", ","))
+
+
+_DBT_SOURCES_SQL = """
+SELECT p_partkey AS manifest_id, 'raw_' || p_partkey AS name, 'lake' AS source_name, 'raw' AS database, 'public' AS schema,
+  'id' AS columns, CASE WHEN p_size <= 20 THEN p_size || ' hours' WHEN p_size <= 40 THEN '0 hours' END AS freshness_warn FROM part"""
+
+
+def _dbt_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbt.edges(manifests(spark, sf_dir))
+
+
+_DBT_EDGES_SQL = UNION.join(
+    f"SELECT p_partkey AS manifest_id, '{a}_' || p_partkey AS parent, '{b}_' || p_partkey AS child, 'dbt_model' AS kind FROM part"
+    for a, b in (("source.p.raw", "base"), ("base", "mid"), ("mid", "top"), ("base", "top"))
+)
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pipeline event per event row; state, event name and date depend on the row."""
+    v = F.col("event_id") % 7
+    body = F.struct(
+        F.concat(F.lit("load_"), "event_type", F.lit("_daily")).alias("dag_id"),
+        F.concat(F.lit("run_"), F.col("event_id").cast("string")).alias("run_id"),
+        F.when(v == 0, "queued").when(v == 1, "success").when(v == 2, "failed").when(v == 6, "odd").alias("state"),
+        F.when(v == 1, "task_instance_failed").when(v == 3, "task_instance_success").when(v == 4, "started")
+        .when(v == 5, "mystery").alias("event"),
+        F.when(v != 2, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("execution_date"),
+        F.col("value").alias("duration"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(body).alias("payload"))
+
+
+def _airflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return airflow.events(payloads(spark, sf_dir)).select(
+        "event_id", "event", "unknown_event", "dag_id", "run_id", stamp("execution_date").alias("execution_date"),
+        r("duration_seconds").alias("duration_seconds"), "affected_table", "is_success", "is_failure", "is_terminal",
+    )
+
+
+_KIND = """CASE event_id % 7 WHEN 0 THEN 'DagRunQueued' WHEN 1 THEN 'DagRunSuccess' WHEN 2 THEN 'DagRunFailed'
+  WHEN 3 THEN 'TaskInstanceSuccess' WHEN 4 THEN 'DagRunRunning' ELSE 'Unknown' END"""
+_AIRFLOW_SQL = f"""
+SELECT event_id, {_KIND} AS event, CASE event_id % 7 WHEN 5 THEN 'mystery' WHEN 6 THEN 'odd' END AS unknown_event,
+  'load_' || event_type || '_daily' AS dag_id, 'run_' || event_id AS run_id,
+  CASE WHEN event_id % 7 <> 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS execution_date,
+  round(value, 6) AS duration_seconds, event_type || '.daily' AS affected_table,
+  event_id % 7 IN (1, 3) AS is_success, event_id % 7 = 2 AS is_failure, event_id % 7 IN (1, 2, 3) AS is_terminal
+FROM events"""
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = airflow.pipeline_status(airflow.events(payloads(spark, sf_dir)))
+    return status.withColumn("last_success", stamp("last_success"))
+
+
+_STATUS_SQL = f"""
+SELECT 'load_' || event_type || '_daily' AS pipeline, event_type || '.daily' AS table_name,
+  strftime(max(ts) FILTER (event_id % 7 IN (1, 3)), '%Y-%m-%d %H:%M:%S') AS last_success,
+  max(k) FILTER (k IS NOT NULL) AS status
+FROM (SELECT *, CASE WHEN event_id % 7 <> 2 AND date_trunc('second', ts) = max(date_trunc('second', ts)) FILTER (event_id % 7 <> 2) OVER (PARTITION BY event_type)
+  THEN {_KIND} END AS k FROM events) GROUP BY event_type"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One suite document per customer, with bounds from the row."""
+    text = F.format_string(
+        """{"expectation_suite_name": "c%1$d", "expectations": [
+ {"expectation_type": "expect_column_to_exist", "kwargs": {"column": "email"}},
+ {"expectation_type": "expect_table_row_count_to_be_between", "kwargs": {"min_value": %1$d}},
+ {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "id", "mostly": 0.95}},
+ {"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "seg", "value_set": ["%2$s", 7]}},
+ {"expectation_type": "expect_column_values_to_not_be_in_set", "kwargs": {"column": "seg", "value_set": ["%2$s"]}},
+ {"expectation_type": "expect_column_values_to_be_between", "kwargs": {"column": "bal", "min_value": -1.5, "max_value": %3$d}},
+ {"expectation_type": "expect_column_quantile_values_to_be_between", "kwargs": {"column": "bal", "min_value": 0, "max_value": %3$d}},
+ {"expectation_type": "expect_column_kl_divergence_to_be_less_than", "kwargs": {"column": "bal"}},
+ {"expectation_type": "expect_column_values_to_match_regex", "kwargs": {"column": "name", "value": "^c"}},
+ {"expectation_type": "expect_column_values_to_not_match_regex", "kwargs": {"column": "name", "regex": "x$"}},
+ {"expectation_type": "expect_table_columns_to_match_set", "kwargs": {"column_list": ["a", "b"]}},
+ {"expectation_type": "expect_column_values_to_be_of_type", "kwargs": {"column": "id", "type_": "bigint"}},
+ {"expectation_type": "expect_something_else", "kwargs": {"column": "id"}}]}""",
+        F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_nationkey").cast("bigint"),
+    )
+    return table(spark, sf_dir, "customer").select(text.alias("document"))
+
+
+def _ge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expectation_suites.translate(documents(spark, sf_dir)).select(
+        "suite", "position", "expectation", F.col("column").alias("column_name"), "min_value", "max_value", "quantile",
+        F.array_join("values", ",").alias("members"), "pattern", "expression", "dtype", r("tolerance").alias("tolerance"),
+    )
+
+
+_GE_SQL = """
+SELECT 'c' || c_custkey AS suite, CAST(p AS INTEGER) AS position, k AS expectation, c AS column_name,
+  CASE lo WHEN 'key' THEN c_custkey::DOUBLE ELSE TRY_CAST(lo AS DOUBLE) END AS min_value,
+  CASE hi WHEN 'nation' THEN c_nationkey::DOUBLE ELSE TRY_CAST(hi AS DOUBLE) END AS max_value,
+  q AS quantile, replace(m, '$', c_mktsegment) AS members, pat AS pattern, replace(ex, '$', c_mktsegment) AS expression,
+  ty AS dtype, tol AS tolerance
+FROM customer, (VALUES
+  (0, 'column_exists', 'email', NULL, NULL, NULL::DOUBLE, NULL, NULL, NULL, NULL, 0.0::DOUBLE),
+  (1, 'row_count_between', NULL, 'key', NULL, NULL, NULL, NULL, NULL, NULL, 0.0),
+  (2, 'not_null', 'id', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.05),
+  (3, 'column_values_to_be_in_set', 'seg', NULL, NULL, NULL, '$,7', NULL, NULL, NULL, 0.0),
+  (4, 'custom', 'seg', NULL, NULL, NULL, NULL, NULL, 'CAST(`seg` AS STRING) NOT IN (''$'')', NULL, 0.0),
+  (5, 'between', 'bal', '-1.5', 'nation', NULL, NULL, NULL, NULL, NULL, 0.0),
+  (6, 'column_quantile_between', 'bal', '0', 'nation', 0.5, NULL, NULL, NULL, NULL, 0.0),
+  (7, 'column_kl_divergence_less_than', 'bal', NULL, '0.1', NULL, NULL, NULL, NULL, NULL, 0.0),
+  (8, 'match_regex', 'name', NULL, NULL, NULL, NULL, '^c', NULL, NULL, 0.0),
+  (9, 'not_match_regex', 'name', NULL, NULL, NULL, NULL, 'x$', NULL, NULL, 0.0),
+  (10, 'table_columns_match_ordered_list', NULL, NULL, NULL, NULL, 'a,b', NULL, NULL, NULL, 0.0),
+  (11, 'column_type', 'id', NULL, NULL, NULL, NULL, NULL, NULL, 'bigint', 0.0)
+) v(p, k, c, lo, hi, q, m, pat, ex, ty, tol)"""
+
+QUERIES = {
+    "lineage_tables": _tables,
+    "lineage_columns": _columns,
+    "lineage_column_edges": _column_edges,
+    "lineage_graph": _graph,
+    "dbt_models": _dbt_models,
+    "dbt_sources": _dbt_sources,
+    "dbt_edges": _dbt_edges,
+    "airflow_events": _airflow,
+    "pipeline_status": _status,
+    "ge_translate": _ge,
+}
+ORACLE = {
+    "lineage_tables": _TABLES_SQL,
+    "lineage_columns": _COLUMNS_SQL,
+    "lineage_column_edges": _COLUMN_EDGES_SQL,
+    "lineage_graph": _GRAPH_SQL,
+    "dbt_models": _DBT_MODELS_SQL,
+    "dbt_sources": _DBT_SOURCES_SQL,
+    "dbt_edges": _DBT_EDGES_SQL,
+    "airflow_events": _AIRFLOW_SQL,
+    "pipeline_status": _STATUS_SQL,
+    "ge_translate": _GE_SQL,
+}

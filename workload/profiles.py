@@ -67,7 +67,7 @@ def _profile_rows(name: str) -> str:
         ranks = ", ".join(
             f"max(x) FILTER (i = CAST(floor((n - 1) * {q} + 0.5) AS BIGINT))::DOUBLE AS q{j}"
             if numeric
-            else f"NULL::DOUBLE AS q{j}"
+            else f"max(NULL::DOUBLE) AS q{j}"
             for j, q in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))
         )
         parts.append(
