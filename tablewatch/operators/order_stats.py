@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .local_rows import constant_rows
+from .local_rows import constant_rows, union_all
 
 # Largest number of rows ordered inside one task by select_ranks.
 MAX_INTERVAL = 200_000
@@ -132,16 +132,17 @@ def upper(q: float) -> Callable[[int], int]:
 
 @dataclass
 class _Search:
+    """One rank and the open interval (low, high) it is known to lie in."""
+
     label: str
     name: str
     q: float
     rank: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    inside: int = 0
+    below: int = 0  # rows up to and including ``low``
+    inside: int = 0  # rows in the interval
     answer: float | None = None
-    margin: float = 3.0
 
     def holds(self, v: Column) -> Column:
         cond = v.isNotNull()
@@ -151,39 +152,77 @@ class _Search:
             cond = cond & (v < F.lit(self.high))
         return cond
 
-    def probabilities(self, position: float) -> list[float]:
-        step = self.margin / ACCURACY
-        return [max(0.0, position - step), min(1.0, position + step)]
-
-
-def _probe(df: DataFrame, cols: Mapping[str, Column], searches: Sequence[_Search], ends: Sequence) -> None:
-    """Count around the proposed ends and keep them where they enclose the rank."""
-    aggs: list[Column] = []
-    for i, (s, (lo, hi)) in enumerate(zip(searches, ends, strict=True)):
-        v, held = cols[s.label], s.holds(cols[s.label])
-        for j, cond in enumerate(
-            (v < F.lit(lo), v == F.lit(lo), (v > F.lit(lo)) & (v < F.lit(hi)), v == F.lit(hi))
-        ):
-            aggs.append(F.count_if(held & cond).alias(f"c{i}_{j}"))
-    row = df.agg(*aggs).first()
-    for i, (s, (lo, hi)) in enumerate(zip(searches, ends, strict=True)):
-        under, at_lo, mid, at_hi = (row[f"c{i}_{j}"] for j in range(4))
-        at = s.rank - s.below
-        if lo == hi:
-            at_hi, mid = 0, 0
-        if at < under:
-            s.high, s.inside = lo, under
-            s.margin *= 4
-        elif at < under + at_lo:
-            s.answer = lo
-        elif at < under + at_lo + mid:
-            s.low, s.high, s.below, s.inside = lo, hi, s.below + under + at_lo, mid
-        elif at < under + at_lo + mid + at_hi:
-            s.answer = hi
-        else:
-            passed = under + at_lo + mid + at_hi
-            s.low, s.below, s.inside = hi, s.below + passed, s.inside - passed
-            s.margin *= 4
+    @property
+    def open(self) -> bool:
+        return self.answer is None and self.inside > 0
+
+
+def _around(position: float, margin: float) -> list[float]:
+    return [max(0.0, position - margin / ACCURACY), min(1.0, position + margin / ACCURACY)]
+
+
+def _cell(v: Column, cuts: Sequence[float]) -> Column:
+    """2 * (number of cuts below v), plus 1 when v is a cut: cuts and gaps numbered in order."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(2 * low)
+        mid = (low + high) // 2
+        return (
+            F.when(v < F.lit(cuts[mid]), tree(low, mid))
+            .when(v == F.lit(cuts[mid]), F.lit(2 * mid + 1))
+            .otherwise(tree(mid + 1, high))
+        )
+
+    return tree(0, len(cuts))
+
+
+def _locate(search: _Search, cuts: Sequence[float], count: Mapping[int, int]) -> None:
+    """Narrow a search to the cut or the gap between cuts that holds its rank."""
+    passed = 0
+    for cell in range(2 * len(cuts) + 1):
+        here = count.get(cell, 0)
+        if search.rank < passed + here:
+            break
+        passed += here
+    at = cell // 2
+    if cell % 2:
+        search.answer = cuts[at]
+    else:
+        search.low = cuts[at - 1] if at else None
+        search.high = cuts[at] if at < len(cuts) else None
+        search.below, search.inside = passed, here
+
+
+def _narrow(
+    df: DataFrame, columns: Mapping[str, Column], searches: Sequence[_Search], ends: Mapping[str, set[float]]
+) -> None:
+    """Count every column between the proposed ends: one scan, a few rows of output."""
+    cuts = {
+        label: sorted(
+            values
+            | {x for s in searches if s.label == label for x in (s.low, s.high) if x is not None}
+        )
+        for label, values in ends.items()
+    }
+    labels = list(cuts)
+    cells = [
+        F.struct(F.lit(i).alias("part"), _cell(columns[label], cuts[label]).alias("cell"))
+        for i, label in enumerate(labels)
+    ]
+    present = [F.when(columns[label].isNotNull(), c) for label, c in zip(labels, cells, strict=True)]
+    rows = (
+        df.select(F.inline(F.array(*present)))
+        .where("part IS NOT NULL")
+        .groupBy("part", "cell")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    counts: dict[str, dict[int, int]] = {label: {} for label in labels}
+    for row in rows:
+        counts[labels[row["part"]]][row["cell"]] = row["n"]
+    for s in searches:
+        _locate(s, cuts[s.label], counts[s.label])
 
 
 def select_ranks(
@@ -196,57 +235,63 @@ def select_ranks(
     ``columns`` maps a label to a double expression; nulls are skipped. ``wanted[label]``
     maps a result name to (q, rank function of n). An empty column gives null values.
     """
-    spark = df.sparkSession
     searches = [
         _Search(label, name, q) for label, names in wanted.items() for name, (q, _) in names.items()
     ]
+    margin = 3.0
     first: list[Column] = []
     for i, label in enumerate(wanted):
+        v = columns[label]
         # One sketch per column serves all of its ranks.
-        probs = [p for s in searches if s.label == label for p in s.probabilities(s.q)]
-        first.append(F.count(columns[label]).alias(f"n_{i}"))
-        first.append(F.percentile_approx(columns[label], probs, ACCURACY).alias(f"p_{i}"))
+        probs = sorted({p for s in searches if s.label == label for p in _around(s.q, margin)})
+        first += [
+            F.count(v).alias(f"n{i}"),
+            F.min(v).alias(f"lo{i}"),
+            F.max(v).alias(f"hi{i}"),
+            F.percentile_approx(v, probs, ACCURACY).alias(f"p{i}"),
+        ]
     row = df.agg(*first).first()
-    size = {label: row[f"n_{i}"] for i, label in enumerate(wanted)}
-    ends = {label: iter(row[f"p_{i}"] or []) for i, label in enumerate(wanted)}
-    brackets = [(next(ends[s.label], None), next(ends[s.label], None)) for s in searches]
-    for s in searches:
-        s.inside = size[s.label]
-        if s.inside:
-            s.rank = wanted[s.label][s.name][1](s.inside)
-
-    pending = [(s, b) for s, b in zip(searches, brackets, strict=True) if s.inside > MAX_INTERVAL]
-    while pending:
-        _probe(df, columns, [s for s, _ in pending], [ends for _, ends in pending])
-        todo = [s for s, _ in pending if s.answer is None and s.inside > MAX_INTERVAL]
-        if not todo:
-            break
-        row = df.agg(
-            *[
-                F.percentile_approx(
-                    F.when(s.holds(columns[s.label]), columns[s.label]),
-                    s.probabilities((s.rank - s.below) / s.inside),
-                    ACCURACY,
-                ).alias(f"p_{i}")
-                for i, s in enumerate(todo)
-            ]
-        ).first()
-        pending = [(s, row[f"p_{i}"]) for i, s in enumerate(todo)]
+    size = {label: row[f"n{i}"] for i, label in enumerate(wanted)}
+    ends = {label: set(row[f"p{i}"] or []) for i, label in enumerate(wanted)}
+    for i, label in enumerate(wanted):
+        for s in searches:
+            if s.label == label and size[label]:
+                s.inside = size[label]
+                s.rank = wanted[label][s.name][1](size[label])
+                if s.rank == 0:
+                    s.answer = row[f"lo{i}"]
+                elif s.rank == size[label] - 1:
+                    s.answer = row[f"hi{i}"]
+
+    while todo := [s for s in searches if s.open and s.inside > MAX_INTERVAL]:
+        before = {id(s): s.inside for s in todo}
+        busy = {s.label for s in todo}
+        _narrow(df, columns, todo, {label: ends[label] for label in busy})
+        todo = [s for s in todo if s.open and s.inside > MAX_INTERVAL]
+        if any(s.inside == before[id(s)] for s in todo):
+            margin *= 4  # the sketch missed; look further around
+        if todo:
+            row = df.agg(
+                *[
+                    F.percentile_approx(
+                        F.when(s.holds(columns[s.label]), columns[s.label]),
+                        _around((s.rank - s.below) / s.inside, margin),
+                        ACCURACY,
+                    ).alias(f"p{i}")
+                    for i, s in enumerate(todo)
+                ]
+            ).first()
+            ends = {label: set() for label in busy}
+            for i, s in enumerate(todo):
+                ends[s.label] |= set(row[f"p{i}"])
 
     schema = "label STRING, name STRING, n BIGINT, value DOUBLE"
-    settled = [
-        (s.label, s.name, size[s.label], s.answer)
-        for s in searches
-        if s.answer is not None or not size[s.label]
-    ]
-    parts = [constant_rows(spark, schema, settled)] if settled else []
-    open_searches = [s for s in searches if s.answer is None and size[s.label]]
+    settled = [(s.label, s.name, size[s.label], s.answer) for s in searches if not s.open]
+    parts = [constant_rows(df.sparkSession, schema, settled)] if settled else []
+    open_searches = [s for s in searches if s.open]
     if open_searches:
         parts.append(_order_intervals(df, columns, open_searches, size))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
 def _order_intervals(

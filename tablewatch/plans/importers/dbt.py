@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: the manifest fields that are read.
-MANIFEST = """
-nodes MAP<STRING, STRUCT<
-  name STRING, resource_type STRING, database STRING, schema STRING, alias STRING,
-  columns MAP<STRING, STRUCT<name STRING>>, tags ARRAY<STRING>,
-  depends_on STRUCT<nodes ARRAY<STRING>>>>,
+# The manifest fields that are read.
+NODE = (
+    "STRUCT<name: STRING, resource_type: STRING, database: STRING, schema: STRING, alias: STRING, "
+    "columns: MAP<STRING, STRUCT<name: STRING>>, tags: ARRAY<STRING>, "
+    "depends_on: STRUCT<nodes: ARRAY<STRING>>>"
+)
+MANIFEST = f"""
+nodes MAP<STRING, {NODE}>,
 sources MAP<STRING, STRUCT<
   name STRING, source_name STRING, database STRING, schema STRING,
   columns MAP<STRING, STRUCT<name STRING>>,
@@ -28,10 +30,6 @@ def _nodes(parsed: DataFrame) -> DataFrame:
     return parsed.select("manifest_id", F.explode("m.nodes").alias("key", "node"))
 
 
-def _names(nodes: DataFrame) -> DataFrame:
-    return nodes.select("manifest_id", F.col("key").alias("other"), F.col("node.name").alias("other_name"))
-
-
 def _column_names(columns: Column) -> Column:
     return F.coalesce(F.sort_array(F.map_keys(columns)), F.array().cast("array<string>"))
 
@@ -40,40 +38,62 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def _neighbours(parsed: DataFrame, names: DataFrame, field: str, name: str) -> DataFrame:
-    """Rows (manifest_id, key, name): names of the known neighbours, in document order."""
-    pairs = parsed.select("manifest_id", F.explode(f"m.{field}").alias("key", "others")).select(
-        "manifest_id", "key", F.posexplode("others").alias("pos", "other")
-    )
-    listed = F.sort_array(F.collect_list(F.struct("pos", "other_name")))
-    return (
-        pairs.join(names, ["manifest_id", "other"])
-        .groupBy("manifest_id", "key")
-        .agg(F.transform(listed, lambda x: x["other_name"]).alias(name))
-    )
+def _references(field: str, side: str) -> Column:
+    """References of all nodes: (other, owner, side, pos)."""
+    pairs = F.coalesce(F.map_entries(f"m.{field}"), F.array().cast("array<struct<key:string,value:array<string>>>"))
+
+    def of_owner(entry: Column) -> Column:
+        return F.transform(
+            entry["value"],
+            lambda other, i: F.struct(
+                other.alias("key"), F.lit(None).cast(NODE).alias("node"), entry["key"].alias("owner"),
+                F.lit(side).alias("side"), i.alias("pos"),
+            ),
+        )
+
+    return F.flatten(F.transform(pairs, of_owner))
 
 
 def models(manifests: DataFrame, text: str = "manifest") -> DataFrame:
-    """One row per model: name, place, columns, tags, upstream and downstream models."""
-    parsed = _parse(manifests, text)
-    nodes = _nodes(parsed)
-    names = _names(nodes)
+    """One row per model: name, place, columns, tags, upstream and downstream models.
+
+    A document is parsed once, into nodes and references to nodes. References learn the
+    name of their node on the node's key, then meet their owner.
+    """
+    none = F.lit(None).cast("string")
+    nodes = F.transform(
+        F.map_entries("m.nodes"),
+        lambda e: F.struct(
+            e["key"].alias("key"), e["value"].cast(NODE).alias("node"), none.alias("owner"), none.alias("side"),
+            F.lit(None).cast("int").alias("pos"),
+        ),
+    )
+    rows = _parse(manifests, text).select(
+        "manifest_id", F.inline(F.concat(nodes, _references("parent_map", "up"), _references("child_map", "down")))
+    )
+    # Rows of one node: itself and what refers to it.
+    node = Window.partitionBy("manifest_id", "key")
+    named = rows.withColumn("other_name", F.max("node.name").over(node)).where(
+        "node.resource_type = 'model' OR (owner IS NOT NULL AND other_name IS NOT NULL)"
+    )
+    listed = lambda side: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "other_name")))),
+        lambda x: x["other_name"],
+    )
+    grouped = named.groupBy("manifest_id", F.coalesce("owner", "key").alias("key")).agg(
+        F.max_by("node", F.col("node").isNotNull()).alias("node"), listed("up").alias("up"), listed("down").alias("down")
+    )
     empty = F.array().cast("array<string>")
-    chosen = nodes.where(F.col("node.resource_type") == "model")
-    return (
-        chosen.join(_neighbours(parsed, names, "parent_map", "up"), ["manifest_id", "key"], "left")
-        .join(_neighbours(parsed, names, "child_map", "down"), ["manifest_id", "key"], "left")
-        .select(
-            "manifest_id",
-            F.col("node.name").alias("name"),
-            _text("node.database").alias("database"),
-            _text("node.schema").alias("schema"),
-            _text("node.alias").alias("alias"),
-            _column_names(F.col("node.columns")).alias("columns"),
-            F.coalesce("up", empty).alias("upstream_models"),
-            F.coalesce("down", empty).alias("downstream_models"),
-            F.coalesce("node.tags", empty).alias("tags"),
-        )
+    return grouped.where("node IS NOT NULL").select(
+        "manifest_id",
+        F.col("node.name").alias("name"),
+        _text("node.database").alias("database"),
+        _text("node.schema").alias("schema"),
+        _text("node.alias").alias("alias"),
+        _column_names(F.col("node.columns")).alias("columns"),
+        F.col("up").alias("upstream_models"),
+        F.col("down").alias("downstream_models"),
+        F.coalesce("node.tags", empty).alias("tags"),
     )
 
 
@@ -99,13 +119,20 @@ def sources(manifests: DataFrame, text: str = "manifest") -> DataFrame:
 
 def edges(manifests: DataFrame, text: str = "manifest") -> DataFrame:
     """Rows (manifest_id, parent, child, kind) from ``depends_on``; an unknown parent keeps its key."""
-    nodes = _nodes(_parse(manifests, text))
-    needs = nodes.where(F.col("node.resource_type") == "model").select(
-        "manifest_id", F.col("node.name").alias("child"), F.explode("node.depends_on.nodes").alias("other")
+    names = F.struct(F.col("key"), F.col("node.name").alias("name"), F.lit(None).cast("string").alias("child"))
+    wanted = F.transform(
+        F.when(F.col("node.resource_type") == "model", F.col("node.depends_on.nodes")),
+        lambda other: F.struct(
+            other.alias("key"), F.lit(None).cast("string").alias("name"), F.col("node.name").alias("child")
+        ),
     )
-    return needs.join(_names(nodes), ["manifest_id", "other"], "left").select(
-        "manifest_id",
-        F.coalesce("other_name", "other").alias("parent"),
-        "child",
-        F.lit("dbt_model").alias("kind"),
+    empty = F.array().cast("array<struct<key:string,name:string,child:string>>")
+    rows = _nodes(_parse(manifests, text)).select(
+        "manifest_id", F.inline(F.concat(F.array(names), F.coalesce(wanted, empty)))
+    )
+    node = Window.partitionBy("manifest_id", "key")
+    return (
+        rows.withColumn("parent", F.coalesce(F.max("name").over(node), F.col("key")))
+        .where("child IS NOT NULL")
+        .select("manifest_id", "parent", "child", F.lit("dbt_model").alias("kind"))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.numeric import bind
+
 # The statement parts that are recognised.
 TABLE_REF = r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"
 CREATE_TABLE = (
@@ -23,18 +25,26 @@ QUALIFIED = r"^(.+)\.([^.]+)$"
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    hit = F.regexp_extract(text, pattern, group)
-    return F.when(hit != "", hit)
+    return bind(F.regexp_extract(text, pattern, group), lambda hit: F.when(hit != "", hit))
+
+
+def _one_line(queries: DataFrame, sql: str) -> DataFrame:
+    """Whitespace runs become one space. A step of its own, so it is computed once."""
+    return queries.withColumn("_text", F.regexp_replace(F.col(sql), r"\s+", " "))
 
 
 def statements(queries: DataFrame, sql: str = "sql") -> DataFrame:
     """Add ``target_table`` and ``source_tables`` (in order, without repeats) to query rows."""
-    text = F.regexp_replace(F.col(sql), r"\s+", " ")
-    return queries.withColumns(
-        {
-            "target_table": F.coalesce(_found(text, CREATE_TABLE), _found(text, INSERT_INTO)),
-            "source_tables": F.array_distinct(F.regexp_extract_all(text, F.lit(TABLE_REF), 1)),
-        }
+    text = F.col("_text")
+    return (
+        _one_line(queries, sql)
+        .withColumns(
+            {
+                "target_table": F.coalesce(_found(text, CREATE_TABLE), _found(text, INSERT_INTO)),
+                "source_tables": F.array_distinct(F.regexp_extract_all(text, F.lit(TABLE_REF), 1)),
+            }
+        )
+        .drop("_text")
     )
 
 
@@ -69,36 +79,34 @@ def column_mappings(queries: DataFrame, sql: str = "sql") -> DataFrame:
     Table aliases are replaced by their tables. ``*`` is left out; a column without a
     qualifier has no source.
     """
-    text = F.regexp_replace(F.col(sql), r"\s+", " ")
-    aliases = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(TABLE_ALIAS), 2).alias("a"),
-            F.regexp_extract_all(text, F.lit(TABLE_ALIAS), 1).alias("t"),
-        ),
-        lambda z: z,
+    text = F.col("_text")
+    aliases = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(TABLE_ALIAS), 2).alias("a"),
+        F.regexp_extract_all(text, F.lit(TABLE_ALIAS), 1).alias("t"),
     )
     parts = F.filter(
         F.transform(_split_list(_found(text, SELECT_LIST)), lambda p: F.trim(p)),
         lambda p: (p != "") & (p != "*"),
     )
-    items = queries.select(
+    items = _one_line(queries, sql).select(
         *queries.columns, aliases.alias("_aliases"), F.posexplode(parts).alias("position", "_part")
     )
-    part = F.col("_part")
-    named = F.regexp_extract(part, AS_ALIAS, 1)
-    source = F.when(named != "", named).otherwise(part)
-    table, column = _found(source, QUALIFIED, 1), _found(source, QUALIFIED, 2)
-    real = F.get(
-        F.filter("_aliases", lambda z: F.lower(z["a"]) == F.lower(table)), F.lit(0)
-    )["t"]
-    target = F.when(named != "", F.regexp_extract(part, AS_ALIAS, 2)).otherwise(F.coalesce(column, part))
+    part, named = F.col("_part"), F.col("_named")
+    items = items.withColumn("_named", F.regexp_extract(part, AS_ALIAS, 1))
+    items = items.withColumn("_source", F.when(named != "", named).otherwise(part))
+    items = items.withColumns(
+        {"_table": _found(F.col("_source"), QUALIFIED, 1), "_column": _found(F.col("_source"), QUALIFIED, 2)}
+    )
+    table = F.col("_table")
+    real = F.get(F.filter("_aliases", lambda z: F.lower(z["a"]) == F.lower(table)), F.lit(0))["t"]
+    target = F.when(named != "", F.regexp_extract(part, AS_ALIAS, 2)).otherwise(F.coalesce("_column", part))
     expression = F.when((named != "") & table.isNull(), named).otherwise(part)
     return items.select(
         *queries.columns,
         "position",
         target.alias("target_column"),
         F.coalesce(real, table).alias("source_table"),
-        column.alias("source_column"),
+        F.col("_column").alias("source_column"),
         expression.alias("expression"),
     )
 
@@ -129,23 +137,19 @@ def table_lineage(queries: DataFrame, sql: str = "sql") -> DataFrame:
     tables in the catalog, whatever the number of statements.
     """
     parsed = statements(queries, sql)
-    links = edges(queries, sql)
-    up = links.groupBy(F.col("target_table").alias("table")).agg(
-        F.sort_array(F.collect_list("source_table")).alias("upstream_tables")
-    )
-    down = links.groupBy(F.col("source_table").alias("table")).agg(
-        F.sort_array(F.collect_list("target_table")).alias("downstream_tables")
+    target, none = F.col("target_table"), F.lit(None).cast("string")
+
+    def link(table: Column, up: Column, down: Column) -> Column:
+        return F.struct(table.alias("table"), up.alias("up"), down.alias("down"))
+
+    # Both directions of every edge, and every table on its own, from one parse.
+    rows = F.concat(
+        F.transform("source_tables", lambda s: link(s, none, target)),
+        F.transform("source_tables", lambda s: link(target, s, none)),
+        F.array(link(target, none, none)),
     )
-    seen = parsed.select(
-        F.explode(F.concat(F.array_compact(F.array("target_table")), "source_tables")).alias("table")
-    ).distinct()
-    empty = F.array().cast("array<string>")
-    return (
-        seen.join(up, "table", "left")
-        .join(down, "table", "left")
-        .select(
-            "table",
-            F.coalesce("upstream_tables", empty).alias("upstream_tables"),
-            F.coalesce("downstream_tables", empty).alias("downstream_tables"),
-        )
+    seen = parsed.select(F.inline(rows)).where("table IS NOT NULL").distinct()
+    return seen.groupBy("table").agg(
+        F.sort_array(F.collect_list("up")).alias("upstream_tables"),
+        F.sort_array(F.collect_list("down")).alias("downstream_tables"),
     )
