@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double
-from .order_stats import bucket_index, cut_probabilities, default_buckets, edges_from
+from .order_stats import (
+    cut_probabilities,
+    default_buckets,
+    edges_from,
+    sampled,
+    with_position,
+    with_sample_flag,
+)
 
 
 def ks_drift(
@@ -37,11 +44,15 @@ def ks_drift(
             (F.coalesce(c, F.lit(False)).cast("bigint") * times).alias(f"t{i}")
             for i, c in enumerate(targets.values())
         ],
-    ).where(F.col("v").isNotNull() & (F.greatest(F.lit(0), "r", *[f"t{i}" for i in k]) > 0))
+    ).where(F.col("v").isNotNull())
+    used = F.col("r") > 0
+    for i in k:
+        used = used | (F.col(f"t{i}") > 0)
+    base = base.where(used)
 
     n_buckets = buckets or default_buckets(df.sparkSession)
-    head = base.agg(
-        F.percentile_approx("v", cut_probabilities(n_buckets), 8 * n_buckets).alias("cuts"),
+    head = with_sample_flag(base).agg(
+        F.percentile_approx(sampled(F.col("v")), F.lit(cut_probabilities(n_buckets)), 8 * n_buckets).alias("cuts"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("r"),
         *[F.coalesce(F.sum(f"t{i}"), F.lit(0)).alias(f"t{i}") for i in k],
     ).first()
@@ -52,7 +63,7 @@ def ks_drift(
         return r / F.lit(float(n_r or 1)) - t / F.lit(float(n_t[i] or 1))
 
     counts = base.groupBy("v").agg(F.sum("r").alias("r"), *[F.sum(f"t{i}").alias(f"t{i}") for i in k])
-    bucketed = counts.withColumn("b", bucket_index(F.col("v"), edges.cuts))
+    bucketed = with_position(counts, {"b": ("v", edges.cuts)})
     upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     cumulative = bucketed.select(
         "b",

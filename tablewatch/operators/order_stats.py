@@ -30,6 +30,13 @@ MAX_INTERVAL = 200_000
 # Sketch resolution: rank error of percentile_approx is at most n / ACCURACY.
 ACCURACY = 10_000
 MAX_BUCKETS = 512
+# Cut points are picked from one row in SAMPLE_ONE_IN. They only decide how the work is
+# divided; everything counted or returned comes from all rows.
+SAMPLE_ONE_IN = 16
+# Columns searched in one scan.
+COLUMNS_PER_SCAN = 16
+# Distances from a wanted position at which cut points are proposed.
+LADDER = (0.0004, 0.0015, 0.005, 0.02)
 
 
 def default_buckets(spark: SparkSession) -> int:
@@ -56,25 +63,46 @@ def cut_probabilities(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
+def with_sample_flag(df: DataFrame) -> DataFrame:
+    """Add ``_sampled``, true in one row of SAMPLE_ONE_IN."""
+    return df.withColumn("_sampled", F.rand(17) < F.lit(1.0 / SAMPLE_ONE_IN))
+
+
+def sampled(v: Column) -> Column:
+    """The value in sampled rows, else null."""
+    return F.when(F.col("_sampled"), v)
+
+
 def bucket_edges(df: DataFrame, value: str, buckets: int | None = None) -> Edges:
     """One aggregate over the column; brings back at most ``buckets`` - 1 numbers."""
     n = buckets or default_buckets(df.sparkSession)
-    row = df.agg(
-        F.percentile_approx(value, cut_probabilities(n), 8 * n).alias("cuts")
-    ).first()
+    cuts = F.percentile_approx(sampled(F.col(value)), F.lit(cut_probabilities(n)), 8 * n)
+    row = with_sample_flag(df).agg(cuts.alias("cuts")).first()
     return edges_from(row["cuts"])
 
 
-def bucket_index(value: Column, cuts: Sequence[float]) -> Column:
-    """Number of cuts <= value, as a balanced comparison tree (compiled, log2 depth)."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value < F.lit(cuts[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+def with_position(
+    df: DataFrame, found: Mapping[str, tuple[str, Sequence[float]]], inclusive: bool = True
+) -> DataFrame:
+    """Add columns {name: (value column, ascending cuts)}: the number of cuts <= the value
+    (< without ``inclusive``).
 
-    return tree(0, len(cuts))
+    A binary search written as log2(cuts) small projections, so the compiled code stays
+    small for any number of cuts.
+    """
+    steps = max((len(cuts).bit_length() for _, cuts in found.values()), default=0)
+    padded = {
+        name: F.lit([*cuts, *[math.inf] * (2**steps - 1 - len(cuts))]) for name, (_, cuts) in found.items()
+    }
+    out = df.withColumns({name: F.lit(0) for name in found})
+    for i in reversed(range(steps)):
+        step, moved = 2**i, {}
+        for name, (value, _) in found.items():
+            cut = F.get(padded[name], F.col(name) + (step - 1))
+            past = F.col(value) >= cut if inclusive else F.col(value) > cut
+            moved[name] = F.col(name) + F.when(past, F.lit(step)).otherwise(F.lit(0))
+        out = out.withColumns(moved)
+    return out
 
 
 def running_totals(
@@ -88,7 +116,7 @@ def running_totals(
 
     ``counts`` has one row per (keys, value).
     """
-    bucketed = counts.withColumn("_bucket", bucket_index(F.col(value), edges.cuts))
+    bucketed = with_position(counts, {"_bucket": (value, edges.cuts)})
     within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -138,6 +166,7 @@ class _Search:
     name: str
     q: float
     rank: int = 0
+    rows: int = 0
     low: float | None = None
     high: float | None = None
     below: int = 0  # rows up to and including ``low``
@@ -157,28 +186,22 @@ class _Search:
         return self.answer is None and self.inside > 0
 
 
-def _around(position: float, margin: float) -> list[float]:
-    return [max(0.0, position - margin / ACCURACY), min(1.0, position + margin / ACCURACY)]
-
-
-def _cell(v: Column, cuts: Sequence[float]) -> Column:
-    """2 * (number of cuts below v), plus 1 when v is a cut: cuts and gaps numbered in order."""
+def _around(position: float) -> list[float]:
+    """Positions at which cut points are asked for around a wanted one."""
+    return [min(1.0, max(0.0, position + sign * d)) for d in LADDER for sign in (-1, 1)]
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(2 * low)
-        mid = (low + high) // 2
-        return (
-            F.when(v < F.lit(cuts[mid]), tree(low, mid))
-            .when(v == F.lit(cuts[mid]), F.lit(2 * mid + 1))
-            .otherwise(tree(mid + 1, high))
-        )
 
-    return tree(0, len(cuts))
+def _proposed(position: float, n: int, at: Mapping[float, float]) -> set[float]:
+    """The two cut points that fit a sketch of n rows."""
+    d = _margin(n)
+    return {at[p] for p in (max(0.0, position - d), min(1.0, position + d)) if p in at}
 
 
 def _locate(search: _Search, cuts: Sequence[float], count: Mapping[int, int]) -> None:
-    """Narrow a search to the cut or the gap between cuts that holds its rank."""
+    """Narrow a search to the cut or the gap between cuts that holds its rank.
+
+    Cells are numbered in order: 2 * i is the gap before cut i, 2 * i + 1 the cut itself.
+    """
     passed = 0
     for cell in range(2 * len(cuts) + 1):
         here = count.get(cell, 0)
@@ -197,7 +220,7 @@ def _locate(search: _Search, cuts: Sequence[float], count: Mapping[int, int]) ->
 def _narrow(
     df: DataFrame, columns: Mapping[str, Column], searches: Sequence[_Search], ends: Mapping[str, set[float]]
 ) -> None:
-    """Count every column between the proposed ends: one scan, a few rows of output."""
+    """Count columns between the proposed ends: one scan of them, a few rows of output."""
     cuts = {
         label: sorted(
             values
@@ -206,13 +229,19 @@ def _narrow(
         for label, values in ends.items()
     }
     labels = list(cuts)
-    cells = [
-        F.struct(F.lit(i).alias("part"), _cell(columns[label], cuts[label]).alias("cell"))
-        for i, label in enumerate(labels)
-    ]
-    present = [F.when(columns[label].isNotNull(), c) for label, c in zip(labels, cells, strict=True)]
+    values = df.select(*[columns[label].alias(f"v{i}") for i, label in enumerate(labels)])
+    placed = with_position(values, {f"i{i}": (f"v{i}", cuts[x]) for i, x in enumerate(labels)}, False)
+    cells = []
+    for i, label in enumerate(labels):
+        at, v = F.col(f"i{i}"), F.col(f"v{i}")
+        hit = F.coalesce(F.get(F.lit(cuts[label]), at) == v, F.lit(False)) if cuts[label] else F.lit(False)
+        cells.append(
+            F.struct(
+                F.when(v.isNotNull(), F.lit(i)).alias("part"), (at * 2 + hit.cast("int")).alias("cell")
+            )
+        )
     rows = (
-        df.select(F.inline(F.array(*present)))
+        placed.select(F.inline(F.array(*cells)))
         .where("part IS NOT NULL")
         .groupBy("part", "cell")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -225,6 +254,12 @@ def _narrow(
         _locate(s, cuts[s.label], counts[s.label])
 
 
+def _margin(n: int) -> float:
+    """Smallest ladder step that a sampled sketch of n rows is sure enough to hit."""
+    error = 3 * 0.5 / math.sqrt(max(1, n // SAMPLE_ONE_IN)) + 1 / ACCURACY
+    return next((d for d in LADDER if d >= error), LADDER[-1])
+
+
 def select_ranks(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -238,60 +273,72 @@ def select_ranks(
     searches = [
         _Search(label, name, q) for label, names in wanted.items() for name, (q, _) in names.items()
     ]
-    margin = 3.0
+    for group in _batches(list(wanted), COLUMNS_PER_SCAN):
+        _search(df, columns, [s for s in searches if s.label in group], wanted)
+    size = {s.label: s.rows for s in searches}
+
+    schema = "label STRING, name STRING, n BIGINT, value DOUBLE"
+    settled = [(s.label, s.name, size[s.label], s.answer) for s in searches if not s.open]
+    parts = [constant_rows(df.sparkSession, schema, settled)] if settled else []
+    open_searches = [s for s in searches if s.open]
+    if open_searches:
+        parts.append(_order_intervals(df, columns, open_searches, size))
+    return union_all(parts)
+
+
+def _batches(items: list[str], size: int) -> list[set[str]]:
+    return [set(items[i : i + size]) for i in range(0, len(items), size)]
+
+
+def _search(df: DataFrame, columns: Mapping[str, Column], searches: list[_Search], wanted: Mapping) -> None:
+    """Settle every search, or narrow it to at most MAX_INTERVAL rows."""
+    labels = list(dict.fromkeys(s.label for s in searches))
+    flagged = with_sample_flag(df)
+    probs = {x: sorted({p for s in searches if s.label == x for p in _around(s.q)}) for x in labels}
     first: list[Column] = []
-    for i, label in enumerate(wanted):
+    for i, label in enumerate(labels):
         v = columns[label]
-        # One sketch per column serves all of its ranks.
-        probs = sorted({p for s in searches if s.label == label for p in _around(s.q, margin)})
         first += [
             F.count(v).alias(f"n{i}"),
             F.min(v).alias(f"lo{i}"),
             F.max(v).alias(f"hi{i}"),
-            F.percentile_approx(v, probs, ACCURACY).alias(f"p{i}"),
+            # One sketch per column serves all of its ranks.
+            F.percentile_approx(sampled(v), F.lit(probs[label]), ACCURACY).alias(f"p{i}"),
         ]
-    row = df.agg(*first).first()
-    size = {label: row[f"n{i}"] for i, label in enumerate(wanted)}
-    ends = {label: set(row[f"p{i}"] or []) for i, label in enumerate(wanted)}
-    for i, label in enumerate(wanted):
-        for s in searches:
-            if s.label == label and size[label]:
-                s.inside = size[label]
-                s.rank = wanted[label][s.name][1](size[label])
-                if s.rank == 0:
-                    s.answer = row[f"lo{i}"]
-                elif s.rank == size[label] - 1:
-                    s.answer = row[f"hi{i}"]
+    row = flagged.agg(*first).first()
+    ends: dict[str, set[float]] = {}
+    for i, label in enumerate(labels):
+        n, at = row[f"n{i}"], dict(zip(probs[label], row[f"p{i}"] or []))
+        ends[label] = set()
+        for s in (x for x in searches if x.label == label):
+            s.rows = s.inside = n
+            if not n:
+                continue
+            s.rank = wanted[label][s.name][1](n)
+            if s.rank in (0, n - 1):
+                s.answer = row[f"lo{i}"] if s.rank == 0 else row[f"hi{i}"]
+            else:
+                ends[label] |= _proposed(s.q, n, at)
 
     while todo := [s for s in searches if s.open and s.inside > MAX_INTERVAL]:
-        before = {id(s): s.inside for s in todo}
         busy = {s.label for s in todo}
+        before = {id(s): s.inside for s in todo}
         _narrow(df, columns, todo, {label: ends[label] for label in busy})
         todo = [s for s in todo if s.open and s.inside > MAX_INTERVAL]
-        if any(s.inside == before[id(s)] for s in todo):
-            margin *= 4  # the sketch missed; look further around
-        if todo:
-            row = df.agg(
-                *[
-                    F.percentile_approx(
-                        F.when(s.holds(columns[s.label]), columns[s.label]),
-                        _around((s.rank - s.below) / s.inside, margin),
-                        ACCURACY,
-                    ).alias(f"p{i}")
-                    for i, s in enumerate(todo)
-                ]
-            ).first()
-            ends = {label: set() for label in busy}
-            for i, s in enumerate(todo):
-                ends[s.label] |= set(row[f"p{i}"])
-
-    schema = "label STRING, name STRING, n BIGINT, value DOUBLE"
-    settled = [(s.label, s.name, size[s.label], s.answer) for s in searches if not s.open]
-    parts = [constant_rows(df.sparkSession, schema, settled)] if settled else []
-    open_searches = [s for s in searches if s.open]
-    if open_searches:
-        parts.append(_order_intervals(df, columns, open_searches, size))
-    return union_all(parts)
+        if not todo:
+            break
+        # Sketch the interval itself: all of its rows where the sample did not help.
+        sketches, asked = [], []
+        for i, s in enumerate(todo):
+            v = F.when(s.holds(columns[s.label]), columns[s.label])
+            v = v if s.inside > before[id(s)] // 4 else sampled(v)
+            asked.append(sorted(set(_around((s.rank - s.below) / s.inside))))
+            sketches.append(F.percentile_approx(v, F.lit(asked[i]), ACCURACY).alias(f"p{i}"))
+        row = flagged.agg(*sketches).first()
+        ends = {label: set() for label in busy}
+        for i, s in enumerate(todo):
+            at = dict(zip(asked[i], row[f"p{i}"] or []))
+            ends[s.label] |= _proposed((s.rank - s.below) / s.inside, s.inside, at)
 
 
 def _order_intervals(

@@ -1,0 +1,17 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that costs much CPU per row.
+
+    Only an input with fewer splits than the cluster has cores is redistributed (a table
+    of a few small files). A large table has more splits and is passed through unshuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

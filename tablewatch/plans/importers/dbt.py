@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...operators.partitions import spread
+
 # The manifest fields that are read.
 NODE = (
     "STRUCT<name: STRING, resource_type: STRING, database: STRING, schema: STRING, alias: STRING, "
@@ -23,7 +25,7 @@ parent_map MAP<STRING, ARRAY<STRING>>
 
 
 def _parse(manifests: DataFrame, text: str) -> DataFrame:
-    return manifests.select("manifest_id", F.from_json(F.col(text), MANIFEST).alias("m"))
+    return spread(manifests).select("manifest_id", F.from_json(F.col(text), MANIFEST).alias("m"))
 
 
 def _nodes(parsed: DataFrame) -> DataFrame:

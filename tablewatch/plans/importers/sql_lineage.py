@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.numeric import bind
+from ...operators.partitions import spread
 
 # The statement parts that are recognised.
 TABLE_REF = r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"
@@ -30,7 +31,7 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 def _one_line(queries: DataFrame, sql: str) -> DataFrame:
     """Whitespace runs become one space. A step of its own, so it is computed once."""
-    return queries.withColumn("_text", F.regexp_replace(F.col(sql), r"\s+", " "))
+    return spread(queries).withColumn("_text", F.regexp_replace(F.col(sql), r"\s+", " "))
 
 
 def statements(queries: DataFrame, sql: str = "sql") -> DataFrame:

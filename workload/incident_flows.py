@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewatch.operators.partitions import spread
 from tablewatch.plans import incidents as I
 
 from .common import stamp, table
@@ -17,7 +18,7 @@ WINDOW = 3600
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.col("value")
     severity = F.when(score > 60, "CRITICAL").when(score > 30, "WARNING").otherwise("INFO")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.concat(F.lit("mon-"), "event_type").alias("monitor_id"),
         F.lit("custom_sql").alias("monitor_type"),
         F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("table_name"),
