@@ -77,12 +77,10 @@ def maintenance_hits(incidents: DataFrame, windows: DataFrame) -> DataFrame:
         F.col("monitor_id").alias("_for"), instant("starts_at").alias("_from"), instant("ends_at").alias("_to")
     ).where(first <= last)
     days = days.withColumn("_day", F.explode(F.sequence(first, last)))
-    inside = (
-        (at["_day"] == days["_day"])
-        & (F.col("_for").isNull() | (F.col("_for") == F.col("monitor_id")))
-        & F.col("ts").between(F.col("_from"), F.col("_to"))
-    )
-    return at.join(days, inside, "left_semi").select("incident_id").distinct()
+    same_day = (at["_day"] == days["_day"]) & F.col("ts").between(F.col("_from"), F.col("_to"))
+    named = at.join(days.where("_for IS NOT NULL"), same_day & (F.col("_for") == F.col("monitor_id")), "left_semi")
+    general = at.join(days.where("_for IS NULL"), same_day, "left_semi")
+    return named.select("incident_id").unionByName(general.select("incident_id")).distinct()
 
 
 def ignore_hits(incidents: DataFrame, rules: DataFrame) -> DataFrame:
@@ -122,7 +120,7 @@ def _walk(ts: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
 
 
 def _kept_ids(key, ts, chunk, row_id, df: DataFrame, window: int) -> DataFrame:
-    """Rows (_id) of the kept events. See ``mark_duplicates``."""
+    """Rows (_id) of the kept events. See ``kept_rows``."""
 
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
         # Where the chunk ends up for each moment from which events may be kept again.
@@ -177,14 +175,14 @@ def _kept_ids(key, ts, chunk, row_id, df: DataFrame, window: int) -> DataFrame:
     )
 
 
-def mark_duplicates(
+def kept_rows(
     df: DataFrame,
     key: str = "group_key",
     ts: str = "ts",
     row_id: str = "incident_id",
     window_seconds: int = DEDUP_SECONDS,
 ) -> DataFrame:
-    """Add ``duplicate``: the row follows the last *kept* row of its key by less than the window.
+    """Ids of the rows that follow the last *kept* row of their key by the window or more.
 
     Keeping is a chain (a kept row starts a new window, a dropped one does not), yet no
     key is ever walked in one place. Time is cut into chunks. Each chunk first tells, for
@@ -195,8 +193,20 @@ def mark_duplicates(
     micros = window_seconds * 1_000_000
     at = F.unix_micros(instant(ts))
     chunk = F.floor(at / F.lit(micros * CHUNK_WINDOWS)).cast("bigint")
-    kept = _kept_ids(F.col(key).cast("string"), at, chunk, F.col(row_id), df, micros)
-    kept = kept.select(F.col("_id").alias(row_id), F.lit(True).alias("_kept"))
+    return _kept_ids(F.col(key).cast("string"), at, chunk, F.col(row_id), df, micros).select(
+        F.col("_id").alias(row_id)
+    )
+
+
+def mark_duplicates(
+    df: DataFrame,
+    key: str = "group_key",
+    ts: str = "ts",
+    row_id: str = "incident_id",
+    window_seconds: int = DEDUP_SECONDS,
+) -> DataFrame:
+    """Add ``duplicate``: the row follows the last *kept* row of its key by less than the window."""
+    kept = kept_rows(df, key, ts, row_id, window_seconds).withColumn("_kept", F.lit(True))
     return (
         df.join(kept, row_id, "left")
         .withColumn("duplicate", F.col("_kept").isNull() & F.col(key).isNotNull())
@@ -214,7 +224,8 @@ def register(
 
     Each step lowers the severity to INFO and puts its tag before the message.
     """
-    out = from_results(results)
+    base = from_results(results)
+    out = base
 
     def tag(df: DataFrame, hits: DataFrame, label: str) -> DataFrame:
         hit = F.col("_hit").isNotNull()
@@ -234,16 +245,18 @@ def register(
     if ignore_rules is not None:
         out = tag(out, ignore_hits(out, ignore_rules), "IGNORED")
     if dedup_seconds is not None:
-        again = F.col("duplicate")
+        # Tags do not matter for keeping, so only the untagged columns are walked.
+        kept = kept_rows(base, window_seconds=dedup_seconds).withColumn("_kept", F.lit(True))
+        again = F.col("_kept").isNull()
         out = (
-            mark_duplicates(out, window_seconds=dedup_seconds)
+            out.join(kept, "incident_id", "left")
             .withColumns(
                 {
                     "severity": F.when(again, F.lit(INFO)).otherwise(F.col("severity")),
                     "message": F.when(again, F.concat(F.lit("[DEDUP] "), "message")).otherwise(F.col("message")),
                 }
             )
-            .drop("duplicate")
+            .drop("_kept")
         )
     return out
 
