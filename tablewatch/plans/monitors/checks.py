@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions.numeric import ratio
 from ...functions.timing import literal_instant
+from ...functions.text import say
 from ...operators.correlation import pearson, spearman
 from ...operators.distinct import duplicate_summary, orphan_keys
 from ...operators.local_rows import constant_rows
@@ -43,9 +44,9 @@ def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     a = after.select("table_name", "name", F.col("ordinal").alias("ao"), F.col("dtype").alias("at"))
     both = b.join(a, ["table_name", "name"], "full_outer")
     change = (
-        F.when(F.col("bt").isNull(), F.format_string("+%s (%s)", "name", "at"))
-        .when(F.col("at").isNull(), F.format_string("-%s (%s)", "name", "bt"))
-        .when(F.col("at") != F.col("bt"), F.format_string("~%s: %s -> %s", "name", "bt", "at"))
+        F.when(F.col("bt").isNull(), say("+%s (%s)", "name", "at"))
+        .when(F.col("at").isNull(), say("-%s (%s)", "name", "bt"))
+        .when(F.col("at") != F.col("bt"), say("~%s: %s -> %s", "name", "bt", "at"))
     )
     return both.select(
         "table_name",
@@ -82,10 +83,10 @@ def check_schema(
         threshold=F.lit(0.0),
         message=F.when(
             alert,
-            F.format_string(
+            say(
                 "Schema alert: table '%s' schema changed — [%s]", table, F.array_join(listed, ", ")
             ),
-        ).otherwise(F.format_string("Schema OK: table '%s' schema unchanged", table)),
+        ).otherwise(say("Schema OK: table '%s' schema unchanged", table)),
         details=details(
             changes=F.to_json(listed),
             added_columns=when_any(starts("+")),
@@ -114,8 +115,8 @@ def check_correlation(df: DataFrame, cfg: Correlation, as_of: Instant) -> DataFr
         score=F.when(enough, r),
         threshold=limit,
         message=F.when(~enough, F.lit("Correlation unknown: fewer than 3 pairs"))
-        .when(alert, F.format_string("Correlation alert: %s=%.4f below threshold %.4f", method, r, limit))
-        .otherwise(F.format_string("Correlation OK: %s=%.4f", method, r)),
+        .when(alert, say("Correlation alert: %s=%.4f below threshold %.4f", method, r, limit))
+        .otherwise(say("Correlation OK: %s=%.4f", method, r)),
         details=details(
             correlation=r,
             threshold=limit,
@@ -144,10 +145,10 @@ def check_uniqueness(df: DataFrame, cfg: Uniqueness, as_of: Instant) -> DataFram
         threshold=limit,
         message=F.when(
             alert,
-            F.format_string(
+            say(
                 "Uniqueness alert: %.1f%% duplicates (threshold: %.1f%%)", share * 100.0, limit * 100.0
             ),
-        ).otherwise(F.format_string("Uniqueness OK: %.1f%% duplicates", share * 100.0)),
+        ).otherwise(say("Uniqueness OK: %.1f%% duplicates", share * 100.0)),
         details=details(
             total_rows=F.col("total_rows"),
             unique_values=F.col("unique_values"),
@@ -189,7 +190,7 @@ def check_referential(
         threshold=F.lit(0.0),
         message=F.when(
             alert,
-            F.format_string(
+            say(
                 "Referential integrity alert: %d orphan rows (%.1f%%)", found, F.col("share") * 100.0
             ),
         ).otherwise(F.lit("Referential integrity OK: no orphan rows")),
@@ -227,8 +228,8 @@ def check_custom_sql(tables: Mapping[str, DataFrame], cfg: CustomSql, as_of: Ins
         threshold=F.coalesce(expected, F.lit(0.0)),
         message=F.when(
             alert,
-            F.format_string("Custom SQL alert: observed=%.4f %s expected=%.4f", observed, op, expected),
-        ).otherwise(F.format_string("Custom SQL OK: observed=%.4f", observed)),
+            say("Custom SQL alert: observed=%.4f %s expected=%.4f", observed, op, expected),
+        ).otherwise(say("Custom SQL OK: observed=%.4f", observed)),
         details=details(observed=observed, expected=expected, comparison=op),
         ts=literal_instant(as_of),
     )
@@ -268,10 +269,10 @@ def check_cost(
         threshold=budget,
         message=F.when(
             alert,
-            F.format_string(
+            say(
                 "Cost alert: %s cost=%.2f exceeds budget=%.2f (x%.1f)", resource, cost, budget, times
             ),
-        ).otherwise(F.format_string("Cost OK: %s cost=%.2f within budget=%.2f", resource, cost, budget)),
+        ).otherwise(say("Cost OK: %s cost=%.2f within budget=%.2f", resource, cost, budget)),
         details=details(current_cost=cost, budget=budget, ratio=times, resource_type=resource),
         ts=literal_instant(as_of),
     )

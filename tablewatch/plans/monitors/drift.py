@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions.numeric import as_double
 from ...functions.timing import literal_instant
+from ...functions.text import say
 from ...operators.chi_square import CRITICAL_5_PERCENT, chi_square_drift
 from ...operators.histogram import js_drift
 from ...operators.ks import ks_drift
@@ -59,15 +60,15 @@ def _results(scored: DataFrame, cfg: Distribution, ts: Column) -> DataFrame:
     score, limit = F.col("score"), F.col("limit")
     alert = F.coalesce(score > limit, F.lit(False))
     table, metric = F.lit(cfg.table), F.lit(cfg.metric)
-    empty = F.format_string("Distribution unknown on '%s': empty sample", table)
+    empty = say("Distribution unknown on '%s': empty sample", table)
     if cfg.metric == "categorical":
-        bad = F.format_string("Categorical distribution drift on '%s': chi-sq=%.4f", table, score)
-        good = F.format_string("Categorical distribution OK on '%s': chi-sq=%.4f", table, score)
+        bad = say("Categorical distribution drift on '%s': chi-sq=%.4f", table, score)
+        good = say("Categorical distribution OK on '%s': chi-sq=%.4f", table, score)
     else:
-        bad = F.format_string(
+        bad = say(
             "Distribution drift detected on '%s': %s score=%.4f (threshold=%.4f)", table, metric, score, limit
         )
-        good = F.format_string("Distribution OK on '%s': %s score=%.4f", table, metric, score)
+        good = say("Distribution OK on '%s': %s score=%.4f", table, metric, score)
     critical = F.lit(False) if cfg.metric == "categorical" else score > limit * 2.0
     return monitor_results(
         rows,
@@ -175,8 +176,8 @@ def check_ml_drift(df: DataFrame, cfg: MlDrift, as_of: datetime | str | Column)
     score, limit = F.col("score"), F.lit(float(cfg.limit))
     alert = F.coalesce(score > limit, F.lit(False))
     model, metric = F.lit(cfg.model), F.lit(cfg.metric)
-    bad = F.format_string("ML drift alert: model '%s' %s=%.4f (threshold=%.4f)", model, metric, score, limit)
-    good = F.format_string("ML drift OK: model '%s' %s=%.4f", model, metric, score)
+    bad = say("ML drift alert: model '%s' %s=%.4f (threshold=%.4f)", model, metric, score, limit)
+    good = say("ML drift OK: model '%s' %s=%.4f", model, metric, score)
     monitor_id = F.lit(cfg.id)
     if cfg.metric == "feature_drift":
         monitor_id = F.concat_ws(":", monitor_id, "feature")
@@ -190,7 +191,7 @@ def check_ml_drift(df: DataFrame, cfg: MlDrift, as_of: datetime | str | Column)
         score=score,
         threshold=limit,
         message=F.when(
-            score.isNull(), F.format_string("ML drift unknown: model '%s' has an empty sample", model)
+            score.isNull(), say("ML drift unknown: model '%s' has an empty sample", model)
         ).when(alert, bad).otherwise(good),
         details=details(model_name=model, drift_metric=metric, feature=F.col("feature"), threshold=limit),
         ts=literal_instant(as_of),

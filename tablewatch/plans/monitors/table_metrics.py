@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions.arrays import array_mean, auto_threshold
 from ...functions.numeric import ratio
 from ...functions.timing import instant, iso_utc, literal_instant, seconds_between
+from ...functions.text import say
 from ...results import CRITICAL, INFO, WARNING, details, monitor_results, severity_of
 from ...sources.history import recent_scores
 from .config import Freshness, ThresholdConfig, Volume
@@ -58,15 +59,15 @@ def check_freshness(
     alert = F.coalesce(age > limit, F.lit(False))
     whole = lambda c: c.cast("bigint")
     message = (
-        F.when(age.isNull(), F.format_string("Freshness unknown: table '%s' has no data", F.lit(cfg.table)))
+        F.when(age.isNull(), say("Freshness unknown: table '%s' has no data", F.lit(cfg.table)))
         .when(
             alert,
-            F.format_string(
+            say(
                 "Freshness alert: table '%s' last updated %ds ago (threshold: %ds)",
                 F.lit(cfg.table), whole(age), whole(limit),
             ),
         )
-        .otherwise(F.format_string("Freshness OK: table '%s' updated %ds ago", F.lit(cfg.table), whole(age)))
+        .otherwise(say("Freshness OK: table '%s' updated %ds ago", F.lit(cfg.table), whole(age)))
     )
     return monitor_results(
         rows,
@@ -136,7 +137,7 @@ def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
     else:
         cold, limit = F.lit(True), count * COLD_SHARE
     baseline = array_mean(F.slice("seen", F.lit(1), F.greatest(n - 1, F.lit(0))))
-    change = F.when((n > 1) & (baseline > 0), ratio((count - baseline) * 100.0, baseline, 0.0))
+    change = F.when((n > 1) & (baseline > 0), ratio(count - baseline, baseline, 0.0) * 100.0)
     rows = rows.select(
         "monitor_id", "bucket_start", "row_count",
         count.alias("count"), n.alias("n"), cold.alias("cold"), limit.alias("limit"),
@@ -149,9 +150,9 @@ def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
     rows = rows.select("*", off.alias("alert"), critical.alias("critical"))
     name, alert = F.lit(cfg.table), F.col("alert")
     if fixed:
-        text = F.format_string("Volume alert: table '%s' has %d rows", name, F.col("row_count"))
+        text = say("Volume alert: table '%s' has %d rows", name, F.col("row_count"))
     else:
-        text = F.format_string(
+        text = say(
             "Volume alert: table '%s' has %d rows (change: %.1f%%)", name, F.col("row_count"), F.col("change")
         )
     entries = {"row_count": count, "threshold": limit}
@@ -169,7 +170,7 @@ def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
         score=count,
         threshold=limit,
         message=F.when(alert, text).otherwise(
-            F.format_string("Volume OK: table '%s' has %d rows", name, F.col("row_count"))
+            say("Volume OK: table '%s' has %d rows", name, F.col("row_count"))
         ),
         details=details(**entries),
         ts=F.col("bucket_start"),

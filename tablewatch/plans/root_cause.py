@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..functions.timing import instant, iso_utc
+from ..functions.text import say
 from ..results import detail_double
 from ..sources.history import LATEST_DEFAULT, latest_n
 
@@ -131,7 +132,7 @@ def recent_deployments(results: DataFrame, deployments: DataFrame, window_second
 
 
 def _say(text: str, *args: Column) -> Column:
-    return F.format_string(text, *args) if args else F.lit(text)
+    return say(text, *args) if args else F.lit(text)
 
 
 def _rules() -> dict[str, list[Column]]:
@@ -259,15 +260,15 @@ def _schema_change_hints() -> Column:
     hint = lambda c: (
         F.when(
             c.startswith("+"),
-            F.format_string("New column detected: %s — possible schema migration or new data source version", c),
+            say("New column detected: %s — possible schema migration or new data source version", c),
         )
         .when(
             c.startswith("-"),
-            F.format_string("Column removed: %s — possible schema migration or column deprecation", c),
+            say("Column removed: %s — possible schema migration or column deprecation", c),
         )
         .when(
             c.startswith("~"),
-            F.format_string("Column type changed: %s — possible schema migration or data type update", c),
+            say("Column type changed: %s — possible schema migration or data type update", c),
         )
     )
     return F.coalesce(F.transform(changes, hint), F.array().cast("array<string>"))
@@ -337,23 +338,23 @@ def with_hints(
     causal = F.array(
         F.when(
             F.col("granger_f").isNotNull(),
-            F.format_string(
+            say(
                 "[Granger causality] Past values predict current anomaly (F=%.4f)", "granger_f"
             ),
         ),
         F.when(
             F.col("pca_share").isNotNull(),
-            F.format_string(
+            say(
                 "[PCA] Top dimension contributed %.1f%% to anomaly score", F.col("pca_share") * 100.0
             ),
         ),
         F.when(
             F.col("_segment").isNotNull(),
-            F.format_string("[Dimension isolation] Segment '%s' drove the change", "_segment"),
+            say("[Dimension isolation] Segment '%s' drove the change", "_segment"),
         ),
         F.when(
             F.col("_deployment").isNotNull(),
-            F.format_string(
+            say(
                 "[Deployment correlation] '%s' deployed at %s — within anomaly window",
                 "_deployment", "_deployed",
             ),

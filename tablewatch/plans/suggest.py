@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_numeric, ratio
+from ..functions.text import say
 from ..operators.distinct import value_counts
 from ..operators.local_rows import union_all
 from . import expectations as E
@@ -82,19 +83,19 @@ def suggest(
             (nulls > 0) & (null_share < 0.05),
             E.NOT_NULL,
             F.lit(0.9) - F.least(null_share * 5.0, F.lit(0.8)),
-            F.format_string("%.1f%% null values — consider not_null expectation", null_share * 100.0),
+            say("%.1f%% null values — consider not_null expectation", null_share * 100.0),
         ),
         _suggestion(
             (distinct == rows) & (rows > 1),
             E.UNIQUE,
             F.lit(0.8),
-            F.format_string("All %d values are unique — consider unique expectation", rows),
+            say("All %d values are unique — consider unique expectation", rows),
         ),
         _suggestion(
             numeric & (high > low),
             E.BETWEEN,
             F.lit(0.6),
-            F.format_string("Values range [%.2f, %.2f] — consider between expectation", low, high),
+            say("Values range [%.2f, %.2f] — consider between expectation", low, high),
             low,
             high,
         ),
@@ -102,7 +103,7 @@ def suggest(
             numeric & (iqr > 0),
             E.BETWEEN,
             F.lit(0.5),
-            F.format_string(
+            say(
                 "IQR-based bounds [%.2f, %.2f] — consider between expectation",
                 q1 - F.lit(1.5) * iqr,
                 q3 + F.lit(1.5) * iqr,
@@ -114,7 +115,7 @@ def suggest(
             numeric & mean.isNotNull(),
             E.MEAN_BETWEEN,
             F.lit(0.4),
-            F.format_string("Mean is %.2f — consider column_mean_between(mean*0.8, mean*1.2)", mean),
+            say("Mean is %.2f — consider column_mean_between(mean*0.8, mean*1.2)", mean),
             F.least(mean * 0.8, mean * 1.2),
             F.greatest(mean * 0.8, mean * 1.2),
         ),
@@ -122,7 +123,7 @@ def suggest(
             (nulls == 0) & (distinct > 0) & (distinct <= SET_LIMIT) & domain_gate,
             E.VALUES_IN_SET,
             F.lit(0.3),
-            F.format_string("Only %d distinct values — consider values_in_set expectation", distinct),
+            say("Only %d distinct values — consider values_in_set expectation", distinct),
             values=F.col("values"),
         ),
     ]

@@ -136,7 +136,7 @@ def _fused(e: E.Expectation, m: _Metrics) -> ResultOf:
 
         def result(g):
             allowed = F.floor(F.round(F.lit(float(e.tolerance)) * g(rows), 9)).cast("bigint")
-            pct = ratio(g(nulls) * F.lit(100.0), g(rows), 0.0)
+            pct = ratio(g(nulls), g(rows), 0.0) * F.lit(100.0)
             return row(
                 g(nulls) <= allowed, g(nulls), g(rows),
                 _json(null_count=g(nulls), total=g(rows), null_pct=pct),
@@ -424,7 +424,7 @@ def summarize(results: DataFrame, suite: str | None = None) -> DataFrame:
         "total",
         "passed",
         (total - passed).alias("failed"),
-        ratio(passed * F.lit(100.0), total, 100.0).alias("success_percent"),
+        (ratio(passed, total, 1.0) * F.lit(100.0)).alias("success_percent"),
         (total == passed).alias("success"),
     )
 
