@@ -6,27 +6,90 @@ import importlib
 import sys
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewatch.llm import near_dedup, textbatch
+from tablewatch.llm import (
+    doc_stats,
+    html_text,
+    line_dedup,
+    lookup_sharding,
+    near_dedup,
+    piece_table,
+    pii,
+    quality_model,
+    quality_rules,
+    secret_formats,
+    templates,
+    textbatch,
+)
 from tablewatch.llm.shared import table
 
 # Executors need no copy of the package: task code travels with the task.
-for _module in (textbatch, near_dedup):
+for _module in (textbatch, doc_stats, near_dedup, pii, secret_formats, html_text, piece_table, quality_model, quality_rules):
     cloudpickle.register_pickle_by_value(sys.modules[_module.__name__])
 
+SHARDS = [f"shard-{k:02d}" for k in range(16)]
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_formats.secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lookup_sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+    return placed.select("doc_id", "slot", "shard")
+
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.kept_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", F.size("kept").cast("long").alias("n_kept"),
+        F.concat_ws(",", F.col("kept").cast("array<string>")).alias("kept_lines"),
+    )
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_near_dedup": op6_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_pii, op2_quality_rules, op3_secrets, op4_decontamination, op5_sharding, op6_near_dedup, op7_html_text,
+        op8_pieces, op9_line_dedup, op10_quality_model, pipeline,
+    )
 }
 
 ORACLE: dict[str, str] = {}
