@@ -1,14 +1,14 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Every document is the set of its word shingles. ``T`` minwise values of the set are drawn; the low bit of
-each forms a sketch, and the first ``COORDINATES`` are the tokens a path may choose. A tree starts with all
+Every document is the set of its word shingles. ``T`` minwise values of the set are drawn; the low bits
+form a sketch, and the first ``COORDINATES`` are the tokens a path may choose. A tree starts with all
 documents in one node. A node chooses one or two coordinates by its own hash, and each document moves to the
 child named by its minwise value there: similar sets stay together with a probability of their similarity,
 others part. Small nodes are compared exhaustively, large ones branch again, and independent trees repeat
 this to the target recall. Every link is confirmed on the full sets; nothing is decided by a sketch alone.
 
-How a node is compared: first every member with the node's smallest member (linear in the node), then only
-members of *different* components so far, as a link inside one component changes nothing. So a group of
+How nodes are compared: first every document with the most similar of its nodes' smallest members (one pair per
+document), then only members of *different* components so far, as a link inside one component changes nothing. So a group of
 many mutual copies never emits all its pairs, and no node is capped or dropped.
 
 Rows: a null or blank text has no set, links with nothing and is its own class. A text of fewer words than a
@@ -24,24 +24,30 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewatch.llm import textbatch as tb
-from tablewatch.llm.shared import components, tagged, written
+from tablewatch.llm.shared import bounded, components, tagged, written
 
-T = 128  # minwise values in the sketch: two longs of one bit each
+T = 256  # minwise values in the sketch: longs of one bit each
+BITS = [f"bits_{k}" for k in range(T // 64)]
 COORDINATES = 64  # minwise values a path can choose
-TREES = 16
-# A pair of similarity 0.8 survives a level with probability 0.84 or more (one coordinate, and a second one
-# in a quarter of the nodes), a whole path of DEPTH levels with 0.5 or more; 16 trees then miss 2 in 100,000.
+TREES = 12
+# A pair of similarity 0.8 survives a level with probability 0.84 (one coordinate, and a second one in a quarter
+# of the nodes), the two levels most nodes have with 0.73, and DEPTH levels with 0.48: twelve trees miss it with a
+# chance of 2 in 10 million, or of 4 in 10,000 where nodes stay large to the end.
 DEPTH = 6
-SMALL = 64  # members of a node that is compared exhaustively
-# Of 128 sketch bits, sets of similarity 0.8 differ in 12.8 (sd 3.4); 34 is six deviations away.
-MAX_BITS = 34
+SMALL = 256  # members of a node that is compared exhaustively
+# Of 256 sketch bits, sets of similarity 0.8 differ in 25.6 (sd 4.8); 48 is more than four and a half deviations away.
+MAX_BITS = 48
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, mins binary"
-NODES = "node long, doc_id long, bits_a long, bits_b long"
+# Each shingle flips one of 512 bits. Where two sets differ in d shingles, at most d bits differ, so too many of
+# these bits rule a pair out for certain.
+FLIPS = [f"flips_{k}" for k in range(8)]
+CARRIED = ["doc_id", "n_shingles", *BITS]
+SETS = ", ".join([*(f"{c} long" for c in (*CARRIED, "set_a", "set_b", *FLIPS)), "mins binary"])
+NODES = ", ".join(f"{c} long" for c in ("node", *CARRIED))
 
 
 def _shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,6 +83,19 @@ def _minwise(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(values: np.ndarray) -> np.ndarray:
+    """The low bits of 64 rows of numbers, as one number per column."""
+    return np.bitwise_or.reduce((values & tb.U64(1)) << np.arange(64, dtype=np.uint64)[:, None], axis=0)
+
+
+def _flips(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """FLIPS of each document, as rows of longs."""
+    n, width = len(cuts) - 1, 64 * len(FLIPS)
+    place = np.repeat(np.arange(n), np.diff(cuts)) * width + (sets >> tb.U64(20)).astype(np.int64) % width
+    odd = (np.bincount(place, minlength=n * width) & 1).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(odd.reshape(n, width), axis=1).view(np.uint64).T)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -84,16 +103,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             lows = _minwise(sets, cuts)
             mixed = tb.mix(lows)
             with np.errstate(over="ignore"):
-                bits = [np.bitwise_or.reduce((mixed[h * 64 : h * 64 + 64] & tb.U64(1)) << np.arange(64, dtype=np.uint64)[:, None], axis=0) for h in (0, 1)]
+                bits = [_packed(mixed[64 * k : 64 * k + 64]) for k in range(len(BITS))]
                 both = [tb.sums(tb.mix(sets ^ tb.U64(k)), cuts) for k in (0x51, 0xA7)]
             mins = np.ascontiguousarray((mixed[:COORDINATES] >> tb.U64(32)).astype("<u4").T)
+            longs = [pa.array(x.view(np.int64)) for x in (*bits, *both, *_flips(sets, cuts))]
             yield pa.record_batch(
-                [
-                    pa.array(ids[first : first + n]), pa.array(np.diff(cuts)),
-                    *(pa.array(x.view(np.int64)) for x in (*both, *bits)),
-                    pa.array([row.tobytes() for row in mins], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "mins"],
+                [pa.array(ids[first : first + n]), pa.array(np.diff(cuts)), *longs, pa.array([row.tobytes() for row in mins], pa.binary())],
+                names=[*CARRIED, "set_a", "set_b", *FLIPS, "mins"],
             )
 
 
@@ -134,33 +150,47 @@ def _branch(batches: Iterator[pa.RecordBatch], trees: int, levels: int) -> Itera
             for _ in range(levels):
                 node, row = _branch_once(node, row, mins)
             yield pa.record_batch(
-                [pa.array(node.view(np.int64)), *(pa.array(num[k][row]) for k in ("doc_id", "bits_a", "bits_b"))],
-                names=["node", "doc_id", "bits_a", "bits_b"],
+                [pa.array(node.view(np.int64)), *(pa.array(num[k][row]) for k in CARRIED)],
+                names=["node", *CARRIED],
             )
 
 
-def _near(x: str, y: str):
-    bits = F.bit_count(F.col(f"{x}.bits_a").bitwiseXOR(F.col(f"{y}.bits_a")))
-    return bits + F.bit_count(F.col(f"{x}.bits_b").bitwiseXOR(F.col(f"{y}.bits_b"))) <= MAX_BITS
+def _shared(nodes: DataFrame) -> DataFrame:
+    """Nodes of more than one member; most paths end alone."""
+    held = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("node")
+    return written(nodes.join(held, "node", "left_semi"))
 
 
-def _with_smallest(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of each member with the node's member of the smallest id."""
-    low = nodes.groupBy("node").agg(
-        F.min(F.struct("doc_id", "bits_a", "bits_b")).alias("low"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1").select("node", F.col("low.doc_id").alias("low_id"), F.struct("low.bits_a", "low.bits_b").alias("low"))
-    return (
-        nodes.alias("x").join(low.alias("y"), "node").where(F.col("x.doc_id") != F.col("y.low_id"))
-        .where(F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.low.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.low.bits_b"))) <= MAX_BITS)
-        .select(F.col("y.low_id").alias("a"), F.col("x.doc_id").alias("b"))
-        .distinct()
+def _bits_apart(x: str, y: str, names: list[str] = BITS) -> Column:
+    return reduce(Column.__add__, (F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in names))
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Sets whose sizes alone rule out the similarity, and those whose sketches are far apart, are no candidates."""
+    small, large = (f(f"{x}.n_shingles", f"{y}.n_shingles") for f in (F.least, F.greatest))
+    return (100 * small >= percent * large) & (_bits_apart(x, y) <= MAX_BITS)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """``_near``, and no more differing shingles for certain than the similarity allows."""
+    sizes = F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")
+    return _near(x, y, percent) & ((100 + percent) * _bits_apart(x, y, FLIPS) <= (100 - percent) * sizes)
+
+
+def _with_smallest(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of each document with the most similar of its nodes' smallest members."""
+    low = nodes.groupBy("node").agg(F.min(F.struct(*CARRIED)).alias("low")).select("node", "low.*")
+    x, y = nodes.alias("x"), low.alias("y")
+    met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _near("x", "y", percent)).select(
+        F.col("x.doc_id").alias("b"), F.col("y.doc_id").alias("a"), _bits_apart("x", "y").alias("apart")
     )
+    return met.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets meet 100 * intersection >= percent * union."""
     pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +201,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     names=["doc_id", "shingles"],
                 )
 
-    sets = written(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(rows, "doc_id long, shingles array<long>"))
+    sets = written(docs.join(bounded(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(rows, "doc_id long, shingles array<long>"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +222,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 def _grouped(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Members with their component, of the nodes that hold more than one, and the node's size."""
-    rows = nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+    rows = nodes.join(bounded(classes).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
     mixed = rows.groupBy("node").agg(
@@ -201,24 +231,24 @@ def _grouped(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(mixed, "node")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between different components of a node."""
     x, y = rows.alias("x"), rows.alias("y")
     return (
-        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y"))
+        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
     )
 
 
-def _across_dense(rows: DataFrame) -> DataFrame:
+def _across_dense(rows: DataFrame, percent: int) -> DataFrame:
     """The same for nodes that stay large: members outside the node's largest component with all others."""
     held = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"))
     most = held.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
     rest = rows.join(most, "node").where("component <> most")
     x, y = rest.alias("x"), rows.alias("y")
     return (
-        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y"))
+        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         .distinct()
     )
@@ -231,21 +261,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     full = sketches.where("n_shingles > 0")
     alike = written(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first_id")))
     firsts = alike.select(F.col("first_id").alias("doc_id"), "set_a", "set_b")
-    reps = written(full.join(firsts, ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "bits_a", "bits_b", "mins").dropDuplicates(["doc_id"]))
+    reps = written(full.join(firsts, ["doc_id", "set_a", "set_b"], "left_semi").select(*CARRIED, *FLIPS, "mins").dropDuplicates(["doc_id"]))
 
-    nodes = written(reps.mapInArrow(lambda it: _branch(it, trees, 2), NODES))
-    links = _verified(_with_smallest(nodes), docs, size, percent)
+    nodes = _shared(written(reps.drop(*FLIPS).mapInArrow(lambda it: _branch(it, trees, 2), NODES)))
+    links = _verified(_with_smallest(nodes, percent), docs, size, percent)
     classes = written(components(links, "a", "b"))
     across = []
     for level in range(2, depth + 1):
-        rows = written(_grouped(nodes, classes))
-        across.append(_across(rows.where(F.col("n") <= SMALL)) if level < depth else _across_dense(rows))
+        rows = written(_grouped(nodes, classes).join(reps.select("doc_id", *FLIPS), "doc_id"))
+        across.append(_across(rows.where(F.col("n") <= SMALL), percent) if level < depth else _across_dense(rows, percent))
         large = rows.where(F.col("n") > SMALL)
         if level == depth or large.isEmpty():
             break
-        nodes = written(
-            large.select("node", "doc_id", "bits_a", "bits_b").join(reps.select("doc_id", "mins"), "doc_id")
-            .mapInArrow(lambda it: _branch(it, trees, 1), NODES)
+        nodes = _shared(
+            written(
+                large.select("node", *CARRIED).join(reps.select("doc_id", "mins"), "doc_id")
+                .mapInArrow(lambda it: _branch(it, trees, 1), NODES)
+            )
         )
     links = links.unionAll(_verified(reduce(DataFrame.unionAll, across).distinct(), docs, size, percent))
     classes = written(components(links, "a", "b"))

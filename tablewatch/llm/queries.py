@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import importlib
-import sys
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewatch.llm import (
-    doc_stats,
     html_text,
     line_dedup,
     lookup_sharding,
@@ -23,14 +20,9 @@ from tablewatch.llm import (
     quality_rules,
     secret_formats,
     templates,
-    textbatch,
 )
 from tablewatch.llm.shared import table
 
-# Executors need no copy of the package: task code travels with the task.
-for _module in (textbatch, doc_stats, near_dedup, pii, secret_formats, html_text, piece_table, quality_model, quality_rules):
-    cloudpickle.register_pickle_by_value(sys.modules[_module.__name__])
-
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 PIECES = "piece_bpe_32k.model"
 

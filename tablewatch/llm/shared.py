@@ -34,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MAX_BROADCAST = 500_000  # rows of two longs, some 30 MB as a hashed relation
+
+
+def bounded(rows: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
+    """Rows to join with: broadcast if they are few, else left to a shuffle. The rows are short and written already."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def tagged(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows without an id take no part: an id is what results are told by."""
     return docs.where(F.col(id_col).isNotNull())
