@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewatch.llm.shared import written
+from tablewatch.llm.shared import bounded, written
 
 WINDOW = 5
 COVERED = 0.5  # of an item's windows
@@ -58,25 +58,31 @@ def _template_word(raw: Column) -> callable:
     return one
 
 
-def windows(rows: DataFrame, id_col: str, size: int = WINDOW) -> DataFrame:
-    """(id, n_windows, pos, window, slots): every template window of every text; slots only where it has placeholders."""
+def windows(rows: DataFrame, id_col: str, size: int = WINDOW, slots: bool = False) -> DataFrame:
+    """(id, n_windows, pos, window): every template window of every text; on request with its ``slots``, the words behind its placeholders."""
     raw = F.col("raw")
     words = rows.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
-        F.filter(F.split(F.col("text").cast("string"), SPLIT), lambda t: t != "").alias("raw"),
+        F.array_remove(F.split(F.col("text").cast("string"), SPLIT), "").alias("raw"),
     )
     typed = words.select("id", "raw", F.transform("raw", _template_word(raw)).alias("typed"))
 
     def one(i: Column) -> Column:
         own = [F.get("typed", i + k) for k in range(size)]
+        place = [i.cast("int").alias("pos"), F.xxhash64(*own).alias("window")]
+        if not slots:
+            return F.struct(*place)
         holds = own[0].startswith("<")
         for t in own[1:]:
             holds = holds | F.coalesce(t.startswith("<"), F.lit(False))
-        return F.struct(i.cast("int").alias("pos"), F.xxhash64(*own).alias("window"), F.when(holds, F.array(*(F.when(t.startswith("<"), F.get("raw", i + k)) for k, t in enumerate(own)))).alias("slots"))
+        return F.struct(*place, F.when(holds, F.array(*(F.when(t.startswith("<"), F.get("raw", i + k)) for k, t in enumerate(own)))).alias("slots"))
 
     last = F.greatest(F.size("typed") - size, F.lit(0))
     starts = F.when(F.size("typed") > 0, F.sequence(F.lit(0), last))
-    return typed.select("id", (last + 1).alias("n_windows"), F.explode(F.transform(starts, one)).alias("w")).select("id", "n_windows", "w.*")
+    # A step of its own: beside explode, every window would carry the whole text. And an outer explode: for the other
+    # kind, Spark asks for the list's size before the steps above, and works out every word anew for every window.
+    listed = typed.select("id", (last + 1).alias("n_windows"), F.transform(starts, one).alias("all"))
+    return listed.select("id", "n_windows", F.explode_outer("all").alias("w")).select("id", "n_windows", "w.*").where("pos is not null")
 
 
 def _value(slot: str) -> Column:
@@ -85,13 +91,14 @@ def _value(slot: str) -> Column:
 
 def passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots, consistent): the best passage of each item in each document."""
-    wanted = written(windows(benchmark.withColumnRenamed("item_id", "own_id"), "own_id", size))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = written(windows(benchmark, "item_id", size, slots=True))
     few = wanted.count() <= MAX_BROADCAST_WINDOWS
     items = wanted.select(
         F.col("id").alias("item_id"), F.col("n_windows").alias("item_windows"), F.col("pos").alias("item_pos"), "window",
         F.col("slots").alias("item_slots"),
     )
-    own = windows(docs, "doc_id", size).select(F.col("id").alias("doc_id"), "pos", "window", "slots")
+    own = windows(docs, "doc_id", size).select(F.col("id").alias("doc_id"), "pos", "window")
     met = written(own.join(F.broadcast(items) if few else items, "window").drop("window"))
     # two overlapping rulers of diagonals, so that a drift across a bound of one lies within the other
     shifted = F.explode(F.array(F.lit(0), F.lit(DRIFT // 2)))
@@ -100,7 +107,13 @@ def passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covered:
     counted = laid.groupBy(*key, "item_windows").agg(F.count_distinct("item_pos").alias("n_matched")).where(
         F.col("n_matched") >= covered * F.col("item_windows")
     )
-    pairs = laid.where("slots is not null and item_slots is not null").join(counted, key, "left_semi").select(
+    # only the documents that met a window with placeholders are read again, for what stands behind them
+    asked = laid.where("item_slots is not null").join(counted, key, "left_semi")
+    again = written(asked.select("doc_id").distinct())
+    mine = windows(docs.join(bounded(again), "doc_id", "left_semi"), "doc_id", size, slots=True).where("slots is not null").select(
+        F.col("id").alias("doc_id"), "pos", "slots"
+    )
+    pairs = asked.join(mine, ["doc_id", "pos"]).select(
         *key, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")
     ).where("s.slots is not null and s.item_slots is not null").select(
         *key, _value("s.slots").alias("mine"), _value("s.item_slots").alias("theirs")
