@@ -1,48 +1,69 @@
-"""Table and column lineage from a table of SQL statements."""
+"""Table and column lineage from a table of SQL statements.
+
+Statements are recognised by their clauses, as Spark's grammar names them: what creates, inserts into or merges
+into a table has a target, what FROM, JOIN or USING introduce are sources. Comments and quoted text are taken
+out first, so neither gives a source.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.numeric import bind
-from ...operators.partitions import spread
-
-# The statement parts that are recognised.
-TABLE_REF = r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"
-CREATE_TABLE = (
-    r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:temp\s+)?table\s+(?:if\s+not\s+exists\s+)?([a-z_][a-z0-9_.]*)"
+NAME = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"
+TARGET = (
+    r"(?i)\b(?:create (?:or replace )?(?:(?:global|temporary|temp|external|materialized) )*(?:table|view)(?: if not exists)?"
+    r"|insert(?: (?:into|overwrite|table)\b)+|merge into) (" + NAME + ")"
+)
+# Words that end a table's place in a FROM list, so none of them is an alias.
+CLAUSES = (
+    "on|where|join|inner|left|right|full|cross|natural|semi|anti|using|group|order|sort|cluster|distribute|limit|having|union"
+    "|except|intersect|lateral|window|when|set|pivot|unpivot|tablesample|select|insert|values"
 )
-INSERT_INTO = r"(?i)\binsert\s+(?:overwrite\s+)?into\s+([a-z_][a-z0-9_.]*)"
-SELECT_LIST = r"(?i)\bselect\s+(.+?)(?:\s+(?:from|where|group|order|limit|having)\s|;|$)"
-AS_ALIAS = r"(?i)([a-z_][a-z0-9_.]*)\s+as\s+([a-z_][a-z0-9_]*)(?:\s|,|$)"
-NOT_AN_ALIAS = "on|where|join|inner|left|right|full|cross|natural|using|group|order|limit|having|union"
-TABLE_ALIAS = (
-    r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)\s+(?:as\s+)?(?!(?:"
-    + NOT_AN_ALIAS
-    + r")\b)([a-z_][a-z0-9_]*)"
+ITEM = rf"{NAME}(?: (?:as )?(?!(?:{CLAUSES})\b)[A-Za-z_]\w*)?"
+SOURCES = rf"(?i)\b(?:from|join|using) ({ITEM}(?: ?, ?{ITEM})*)"
+SELECT_LIST = r"(?i)\bselect (?:distinct |all )?(.+?)(?: (?:from|where|group|order|limit|having) |;|$)"
+ALIASED = r"(?i)^(.+?) as ([A-Za-z_]\w*)$"
+RENAMED = rf"(?i)^({NAME}|.+\)) (?!(?:end|null|asc|desc)$)([A-Za-z_]\w*)$"
+QUALIFIED = r"(?<![\w.'])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\.([A-Za-z_]\w*)(?![\w.]| ?\()"
+BARE = r"(?<![\w.'])([A-Za-z_]\w*)(?![\w.]| ?\()"
+# Words of an expression that name no column.
+WORDS = (
+    "and", "as", "asc", "between", "by", "case", "cast", "current_date", "current_timestamp", "desc", "distinct", "else", "end",
+    "exists", "false", "filter", "first", "following", "in", "interval", "is", "last", "like", "not", "null", "nulls", "or",
+    "order", "over", "partition", "preceding", "range", "rlike", "rows", "then", "true", "unbounded", "when", "where",
+    "bigint", "boolean", "date", "decimal", "double", "float", "int", "string", "timestamp",
+    "day", "days", "hour", "hours", "minute", "minutes", "month", "months", "year", "years",
 )
-QUALIFIED = r"^(.+)\.([^.]+)$"
 
 
-def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return bind(F.regexp_extract(text, pattern, group), lambda hit: F.when(hit != "", hit))
+def _plain(queries: DataFrame, sql: str) -> DataFrame:
+    """One line without comments, quoted text (left as two quotes) and quotes around names. A step of its own, computed once."""
+    text = F.regexp_replace(F.col(sql), r"--[^\n]*|/\*[\s\S]*?\*/", " ")
+    text = F.regexp_replace(text, r"'(?:[^'\\]|\\.|'')*'", "''")
+    text = F.regexp_replace(text, '[`"]', "")
+    return queries.withColumn("_text", F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def _one_line(queries: DataFrame, sql: str) -> DataFrame:
-    """Whitespace runs become one space. A step of its own, so it is computed once."""
-    return spread(queries).withColumn("_text", F.regexp_replace(F.col(sql), r"\s+", " "))
+def _sources(text: Column) -> Column:
+    """Structs (name, alias) in order; the alias is empty where there is none."""
+    items = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SOURCES), 1), lambda part: F.split(part, " ?, ?")))
+    words = F.transform(items, lambda item: F.split(item, " "))
+    return F.transform(
+        words, lambda w: F.struct(w[0].alias("name"), F.when(F.size(w) > 1, F.element_at(w, -1)).otherwise("").alias("alias"))
+    )
 
 
 def statements(queries: DataFrame, sql: str = "sql") -> DataFrame:
     """Add ``target_table`` and ``source_tables`` (in order, without repeats) to query rows."""
     text = F.col("_text")
+    target = F.regexp_extract(text, TARGET, 1)
     return (
-        _one_line(queries, sql)
+        _plain(queries, sql)
         .withColumns(
             {
-                "target_table": F.coalesce(_found(text, CREATE_TABLE), _found(text, INSERT_INTO)),
-                "source_tables": F.array_distinct(F.regexp_extract_all(text, F.lit(TABLE_REF), 1)),
+                "target_table": F.when(target != "", target),
+                "source_tables": F.array_distinct(F.transform(_sources(text), lambda s: s["name"])),
             }
         )
         .drop("_text")
@@ -73,42 +94,49 @@ def _split_list(body: Column) -> Column:
     )
 
 
+def _named(expression: Column) -> Column:
+    """Distinct structs (qualifier, column) of an expression: qualified columns, then bare ones with no qualifier."""
+    qualified = F.arrays_zip(
+        F.regexp_extract_all(expression, F.lit(QUALIFIED), 1).alias("qualifier"),
+        F.regexp_extract_all(expression, F.lit(QUALIFIED), 2).alias("column"),
+    )
+    bare = F.filter(F.regexp_extract_all(expression, F.lit(BARE), 1), lambda w: ~F.lower(w).isin(*WORDS))
+    no_table = F.lit(None).cast("string").alias("qualifier")
+    return F.array_distinct(F.concat(qualified, F.transform(bare, lambda w: F.struct(no_table, w.alias("column")))))
+
+
 def column_mappings(queries: DataFrame, sql: str = "sql") -> DataFrame:
-    """One row per selected column: input columns plus (position, target_column, source_table,
-    source_column, expression).
+    """One row per selected column and column it is made of: input columns plus (position, target_column,
+    source_table, source_column, expression).
 
-    Table aliases are replaced by their tables. ``*`` is left out; a column without a
-    qualifier has no source.
+    Table aliases are replaced by their tables. ``*`` is left out; a source without a qualifier has no
+    table, and an expression of no column has no source.
     """
     text = F.col("_text")
-    aliases = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(TABLE_ALIAS), 2).alias("a"),
-        F.regexp_extract_all(text, F.lit(TABLE_ALIAS), 1).alias("t"),
-    )
     parts = F.filter(
-        F.transform(_split_list(_found(text, SELECT_LIST)), lambda p: F.trim(p)),
-        lambda p: (p != "") & (p != "*"),
+        F.transform(_split_list(F.regexp_extract(text, SELECT_LIST, 1)), lambda p: F.trim(p)), lambda p: (p != "") & ~p.endswith("*")
     )
-    items = _one_line(queries, sql).select(
-        *queries.columns, aliases.alias("_aliases"), F.posexplode(parts).alias("position", "_part")
+    items = _plain(queries, sql).select(
+        *queries.columns, _sources(text).alias("_tables"), F.posexplode(parts).alias("position", "_part")
     )
-    part, named = F.col("_part"), F.col("_named")
-    items = items.withColumn("_named", F.regexp_extract(part, AS_ALIAS, 1))
-    items = items.withColumn("_source", F.when(named != "", named).otherwise(part))
-    items = items.withColumns(
-        {"_table": _found(F.col("_source"), QUALIFIED, 1), "_column": _found(F.col("_source"), QUALIFIED, 2)}
-    )
-    table = F.col("_table")
-    real = F.get(F.filter("_aliases", lambda z: F.lower(z["a"]) == F.lower(table)), F.lit(0))["t"]
-    target = F.when(named != "", F.regexp_extract(part, AS_ALIAS, 2)).otherwise(F.coalesce("_column", part))
-    expression = F.when((named != "") & table.isNull(), named).otherwise(part)
+    part = F.col("_part")
+    body = F.when(part.rlike(ALIASED), F.regexp_extract(part, ALIASED, 1)).when(
+        part.rlike(RENAMED), F.regexp_extract(part, RENAMED, 1)
+    ).otherwise(part)
+    items = items.withColumn("_body", body)
+    items = items.withColumn("_from", F.explode_outer(_named(F.col("_body"))))
+    target = F.when(part.rlike(ALIASED), F.regexp_extract(part, ALIASED, 2)).when(
+        part.rlike(RENAMED), F.regexp_extract(part, RENAMED, 2)
+    ).when(part.rlike(f"^{NAME}$"), F.element_at(F.split(part, r"\."), -1)).otherwise(part)
+    qualifier = F.col("_from.qualifier")
+    real = F.get(F.filter("_tables", lambda t: F.lower(t["alias"]) == F.lower(qualifier)), F.lit(0))["name"]
     return items.select(
         *queries.columns,
         "position",
         target.alias("target_column"),
-        F.coalesce(real, table).alias("source_table"),
-        F.col("_column").alias("source_column"),
-        expression.alias("expression"),
+        F.coalesce(real, qualifier).alias("source_table"),
+        F.col("_from.column").alias("source_column"),
+        part.alias("expression"),
     )
 
 
@@ -131,26 +159,35 @@ def column_edges(queries: DataFrame, sql: str = "sql") -> DataFrame:
     )
 
 
-def table_lineage(queries: DataFrame, sql: str = "sql") -> DataFrame:
-    """Rows (table, upstream_tables, downstream_tables) for every table seen, lists sorted.
-
-    Edges are made distinct before they are listed, so a list is bounded by the number of
-    tables in the catalog, whatever the number of statements.
-    """
+def neighbours(queries: DataFrame, sql: str = "sql") -> DataFrame:
+    """Distinct rows (table, direction, neighbour); a table without any has one row with nulls."""
     parsed = statements(queries, sql)
     target, none = F.col("target_table"), F.lit(None).cast("string")
 
-    def link(table: Column, up: Column, down: Column) -> Column:
-        return F.struct(table.alias("table"), up.alias("up"), down.alias("down"))
+    def link(table: Column, direction: Column, neighbour: Column) -> Column:
+        return F.struct(table.alias("table"), direction.alias("direction"), neighbour.alias("neighbour"))
 
+    up, down = F.lit("upstream"), F.lit("downstream")
+    known = target.isNotNull()
     # Both directions of every edge, and every table on its own, from one parse.
     rows = F.concat(
-        F.transform("source_tables", lambda s: link(s, none, target)),
-        F.transform("source_tables", lambda s: link(target, s, none)),
+        F.transform("source_tables", lambda s: link(s, F.when(known, down), target)),
+        F.transform("source_tables", lambda s: link(target, F.when(known, up), F.when(known, s))),
         F.array(link(target, none, none)),
     )
     seen = parsed.select(F.inline(rows)).where("table IS NOT NULL").distinct()
-    return seen.groupBy("table").agg(
-        F.sort_array(F.collect_list("up")).alias("upstream_tables"),
-        F.sort_array(F.collect_list("down")).alias("downstream_tables"),
+    linked = seen.where("direction IS NOT NULL")
+    lonely = seen.where("direction IS NULL").join(linked.select("table").distinct(), "table", "left_anti")
+    return linked.unionByName(lonely)
+
+
+def table_lineage(queries: DataFrame, sql: str = "sql") -> DataFrame:
+    """Rows (table, upstream_tables, downstream_tables) for every table seen, lists sorted.
+
+    A table with very many neighbours makes a long list; ``neighbours`` gives the same as rows.
+    """
+    rows = neighbours(queries, sql)
+    of = lambda direction: F.sort_array(
+        F.collect_list(F.when(F.col("direction") == direction, F.col("neighbour")))
     )
+    return rows.groupBy("table").agg(of("upstream").alias("upstream_tables"), of("downstream").alias("downstream_tables"))

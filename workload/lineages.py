@@ -16,46 +16,32 @@ UNION = "\nUNION ALL\n"
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One statement per order, in six shapes."""
+    """One statement per order, in ten shapes."""
     k = F.col("o_orderkey")
     mart = F.concat(F.lit("mart.c_"), F.col("o_custkey").cast("string"))
     raw = F.concat(F.lit("raw.orders_"), F.lower("o_orderstatus"))
     users = F.concat(F.lit("raw.users_"), F.substring("o_orderpriority", 1, 1))
-    text = (
-        F.when(
-            k % 6 == 0,
-            F.format_string(
-                "CREATE TABLE %s AS\n  SELECT o.id, o.amount, u.name AS user_name\nFROM %s o JOIN %s u ON o.user_id = u.id",
-                mart, raw, users,
-            ),
-        )
-        .when(
-            k % 6 == 1,
-            F.format_string(
-                "INSERT INTO %s SELECT day, SUM(amount) as total, COALESCE(t.a, t.b) AS mix FROM %s AS t WHERE t.x > %d GROUP BY day",
-                mart, raw, k,
-            ),
-        )
-        .when(
-            k % 6 == 2,
-            F.format_string(
-                "create or replace table if not exists %s as select a.c1, a.c2 + b.c3 AS both, c4 AS plain from %s a join %s as b on a.id = b.id",
-                mart, raw, users,
-            ),
-        )
-        .when(k % 6 == 3, F.format_string("CREATE TEMP TABLE %s AS SELECT * FROM %s;", mart, raw))
-        .when(k % 6 == 4, F.format_string("SELECT x.id AS key FROM %s x JOIN %s ON 1 = 1", mart, raw))
-        .otherwise(F.format_string("WITH w AS (SELECT id FROM %s) INSERT INTO %s SELECT w.id FROM w", raw, mart))
+    shapes = (
+        "CREATE TABLE %1$s AS\n  SELECT b.key, b.price, who.label AS buyer\nFROM %2$s b JOIN %3$s who ON b.buyer = who.key",
+        "INSERT INTO %1$s SELECT week, SUM(price) as total, COALESCE(s.x, s.y) AS mix FROM %2$s AS s WHERE s.n > %4$d GROUP BY week",
+        "create or replace view %1$s as select p.c1, p.c2 + q.c3 AS both, c4 AS plain from %2$s p left join %3$s as q on p.k = q.k",
+        "CREATE TEMP TABLE %1$s AS SELECT * FROM %2$s;",
+        "SELECT z.key AS k FROM %1$s z JOIN %2$s ON 1 = 1",
+        "WITH w AS (SELECT key FROM %2$s) INSERT INTO %1$s SELECT w.key FROM w",
+        "INSERT OVERWRITE TABLE %1$s -- from nowhere\nSELECT l.m, r.n FROM %2$s l, %3$s r WHERE l.k = r.k AND l.t <> 'from dual'",
+        "MERGE INTO %1$s t USING %2$s AS d ON t.k = d.k WHEN MATCHED THEN UPDATE SET t.v = d.v",
+        "CREATE VIEW IF NOT EXISTS `%1$s` AS /* join hidden */ SELECT COUNT(*) AS rows_seen, MAX(h.at) newest FROM `%2$s` h",
+        "insert into table %1$s select distinct case when u.ok then u.a else 0 end as picked, 1 as one from %2$s u",
     )
+    text = F.element_at(F.array(*(F.format_string(s.replace("%4$d", "%4$s"), mart, raw, users, k) for s in shapes)), (k % 10 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(k.alias("query_id"), text.alias("sql"))
 
 
-_LOG = """log AS (SELECT o_orderkey AS query_id, o_orderkey % 6 AS shape, 'mart.c_' || o_custkey AS mart,
+_LOG = """log AS (SELECT o_orderkey AS query_id, o_orderkey % 10 AS shape, 'mart.c_' || o_custkey AS mart,
   'raw.orders_' || lower(o_orderstatus) AS raw, 'raw.users_' || substr(o_orderpriority, 1, 1) AS users FROM orders)"""
 
 # Sources of a statement, in order.
-_SOURCES = """CASE shape WHEN 0 THEN [raw, users] WHEN 1 THEN [raw] WHEN 2 THEN [raw, users] WHEN 3 THEN [raw]
-  WHEN 4 THEN [mart, raw] ELSE [raw, 'w'] END"""
+_SOURCES = """CASE WHEN shape IN (0, 2, 6) THEN [raw, users] WHEN shape = 4 THEN [mart, raw] WHEN shape = 5 THEN [raw, 'w'] ELSE [raw] END"""
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +63,22 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLUMNS_SQL = f"""
-WITH {_LOG}, items AS (
-  SELECT query_id, CAST(p AS INTEGER) AS position, c AS target_column,
-    CASE t WHEN 'raw' THEN raw WHEN 'users' THEN users WHEN 'mart' THEN mart WHEN 'w' THEN 'w' END AS source_table,
-    s AS source_column, e AS expression
-  FROM log JOIN (VALUES
-    (0, 0, 'id', 'raw', 'id', 'o.id'), (0, 1, 'amount', 'raw', 'amount', 'o.amount'),
-    (0, 2, 'user_name', 'users', 'name', 'u.name AS user_name'),
-    (1, 0, 'day', NULL, NULL, 'day'), (1, 1, 'SUM(amount) as total', NULL, NULL, 'SUM(amount) as total'),
-    (2, 0, 'c1', 'raw', 'c1', 'a.c1'), (2, 1, 'both', 'users', 'c3', 'a.c2 + b.c3 AS both'),
-    (2, 2, 'plain', NULL, NULL, 'c4'),
-    (4, 0, 'key', 'mart', 'id', 'x.id AS key'),
-    (5, 0, 'id', NULL, NULL, 'id')) v(sh, p, c, t, s, e) ON sh = shape)
-SELECT * FROM items
-UNION ALL
-SELECT query_id, 2, 'b) AS mix', 'COALESCE(t.a, t', 'b) AS mix', 'COALESCE(t.a, t.b) AS mix' FROM log WHERE shape = 1"""
+WITH {_LOG}
+SELECT query_id, CAST(p AS INTEGER) AS position, c AS target_column,
+  CASE t WHEN 'raw' THEN raw WHEN 'users' THEN users WHEN 'mart' THEN mart WHEN 'w' THEN 'w' END AS source_table,
+  s AS source_column, e AS expression
+FROM log JOIN (VALUES
+  (0, 0, 'key', 'raw', 'key', 'b.key'), (0, 1, 'price', 'raw', 'price', 'b.price'), (0, 2, 'buyer', 'users', 'label', 'who.label AS buyer'),
+  (1, 0, 'week', NULL, 'week', 'week'), (1, 1, 'total', NULL, 'price', 'SUM(price) as total'),
+  (1, 2, 'mix', 'raw', 'x', 'COALESCE(s.x, s.y) AS mix'), (1, 2, 'mix', 'raw', 'y', 'COALESCE(s.x, s.y) AS mix'),
+  (2, 0, 'c1', 'raw', 'c1', 'p.c1'), (2, 1, 'both', 'raw', 'c2', 'p.c2 + q.c3 AS both'), (2, 1, 'both', 'users', 'c3', 'p.c2 + q.c3 AS both'),
+  (2, 2, 'plain', NULL, 'c4', 'c4 AS plain'),
+  (4, 0, 'k', 'mart', 'key', 'z.key AS k'),
+  (5, 0, 'key', NULL, 'key', 'key'),
+  (6, 0, 'm', 'raw', 'm', 'l.m'), (6, 1, 'n', 'users', 'n', 'r.n'),
+  (8, 0, 'rows_seen', NULL, NULL, 'COUNT(*) AS rows_seen'), (8, 1, 'newest', 'raw', 'at', 'MAX(h.at) newest'),
+  (9, 0, 'picked', 'raw', 'ok', 'case when u.ok then u.a else 0 end as picked'), (9, 0, 'picked', 'raw', 'a', 'case when u.ok then u.a else 0 end as picked'),
+  (9, 1, 'one', NULL, NULL, '1 as one')) v(sh, p, c, t, s, e) ON sh = shape"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +104,7 @@ def _column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLUMN_EDGES_SQL = f"""
 SELECT DISTINCT mart AS target_table, target_column, source_table, source_column, expression AS transformation
 FROM ({_COLUMNS_SQL}) c JOIN (SELECT o_orderkey, 'mart.c_' || o_custkey AS mart FROM orders) o ON o.o_orderkey = c.query_id
-WHERE source_table IS NOT NULL AND o_orderkey % 6 <> 4"""
+WHERE source_table IS NOT NULL AND o_orderkey % 10 <> 4"""
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
