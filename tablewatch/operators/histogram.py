@@ -18,8 +18,9 @@ EMPTY_CELL_GUARD = 1e-10
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Bin index; the last bin is closed, and a zero-width range puts everything into bin 0."""
     width = (high - low) / F.lit(float(bins))
-    raw = F.floor(F.try_divide(value - low, width)).cast("int")
-    return F.when(width <= 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(raw, F.lit(bins - 1))))
+    # held to the range as a double, as a value far outside given limits has no integer bin
+    held = F.greatest(F.lit(0.0), F.least(F.try_divide(value - low, width), F.lit(float(bins - 1))))
+    return F.when(width <= 0, F.lit(0)).otherwise(F.floor(held).cast("int"))
 
 
 def histogram(

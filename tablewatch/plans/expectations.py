@@ -50,6 +50,7 @@ class Expectation:
 
     @property
     def values(self) -> list[str]:
+        """Members as they are shown; ``members_of`` gives them the column's type."""
         return list(dict.fromkeys(str(v) for v in self.params["values"]))
 
 

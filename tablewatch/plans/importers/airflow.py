@@ -52,7 +52,7 @@ def events(payloads: DataFrame, text: str = "payload") -> DataFrame:
         ).alias("unknown_event"),
         F.col("p.dag_id").alias("dag_id"),
         F.coalesce("p.run_id", F.lit("")).alias("run_id"),
-        F.when(when.rlike(RFC3339), F.to_timestamp(F.upper(when))).alias("execution_date"),
+        F.when(when.rlike(RFC3339), F.try_to_timestamp(F.upper(when))).alias("execution_date"),
         F.col("p.duration").alias("duration_seconds"),
         F.col("p.task_id").alias("task_id"),
         F.col("p.dag_run_url").alias("dag_run_url"),
@@ -65,6 +65,14 @@ def events(payloads: DataFrame, text: str = "payload") -> DataFrame:
     )
 
 
+def rejected(payloads: DataFrame, text: str = "payload") -> DataFrame:
+    """The rows that ``events`` cannot use, whole, with the reason."""
+    parsed = F.from_json(F.col(text), PAYLOAD, {"mode": "PERMISSIVE"})
+    fields = F.try_parse_json(F.col(text))
+    reason = F.when(F.col(text).isNull(), F.lit("empty")).when(fields.isNull(), F.lit("not JSON")).otherwise(F.lit("no dag_id"))
+    return payloads.where(parsed["dag_id"].isNull()).withColumn("reason", reason)
+
+
 def pipeline_status(parsed: DataFrame, at: str = "execution_date") -> DataFrame:
     """Rows (pipeline, table_name, last_success, status): one partial aggregate per pipeline."""
     return parsed.groupBy(F.col("dag_id").alias("pipeline"), F.col("affected_table").alias("table_name")).agg(

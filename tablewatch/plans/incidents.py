@@ -193,7 +193,8 @@ def kept_rows(
     micros = window_seconds * 1_000_000
     at = F.unix_micros(instant(ts))
     chunk = F.floor(at / F.lit(micros * CHUNK_WINDOWS)).cast("bigint")
-    return _kept_ids(F.col(key).cast("string"), at, chunk, F.col(row_id), df, micros).select(
+    timed = df.where(at.isNotNull())
+    return _kept_ids(F.col(key).cast("string"), at, chunk, F.col(row_id), timed, micros).select(
         F.col("_id").alias(row_id)
     )
 
@@ -205,11 +206,14 @@ def mark_duplicates(
     row_id: str = "incident_id",
     window_seconds: int = DEDUP_SECONDS,
 ) -> DataFrame:
-    """Add ``duplicate``: the row follows the last *kept* row of its key by less than the window."""
+    """Add ``duplicate``: the row follows the last *kept* row of its key by less than the window.
+
+    A row without a time is never a duplicate.
+    """
     kept = kept_rows(df, key, ts, row_id, window_seconds).withColumn("_kept", F.lit(True))
     return (
         df.join(kept, row_id, "left")
-        .withColumn("duplicate", F.col("_kept").isNull() & F.col(key).isNotNull())
+        .withColumn("duplicate", F.col("_kept").isNull() & F.col(key).isNotNull() & instant(ts).isNotNull())
         .drop("_kept")
     )
 

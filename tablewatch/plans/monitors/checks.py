@@ -201,13 +201,34 @@ def check_referential(
     )
 
 
-def check_custom_sql(tables: Mapping[str, DataFrame], cfg: CustomSql, as_of: Instant) -> DataFrame:
-    """Compare the single value of a query with an expected one."""
-    some = next(iter(tables.values()))
+def _answer(tables: Mapping[str, DataFrame], query: str) -> DataFrame:
+    """The query over the tables by name. Views of the caller with these names are put back."""
+    spark = next(iter(tables.values())).sparkSession
+    own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name in own}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    answer = some.sparkSession.sql(cfg.query)
-    rows = answer.select(answer[answer.columns[0]].cast("double").alias("observed")).limit(1)
+    try:
+        return spark.sql(query)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def check_custom_sql(tables: Mapping[str, DataFrame], cfg: CustomSql, as_of: Instant) -> DataFrame:
+    """Compare the single value of a query with an expected one.
+
+    A query that answers with no row or with several is a failed check, never cut to one row.
+    """
+    answer = _answer(tables, cfg.query)
+    rows = answer.select(answer[answer.columns[0]].cast("double").alias("value")).agg(
+        F.count(F.lit(1)).alias("answers"), F.max("value").alias("value")
+    )
+    single = F.col("answers") == 1
+    rows = rows.withColumn("observed", F.when(single, F.col("value")))
     observed = F.col("observed")
     expected = F.lit(cfg.expected).cast("double")
     off = {
@@ -215,7 +236,7 @@ def check_custom_sql(tables: Mapping[str, DataFrame], cfg: CustomSql, as_of: Ins
         "<": observed < expected,
         "=": F.abs(observed - expected) > EQUAL_TOLERANCE,
     }[cfg.comparison]
-    alert = F.coalesce(off, F.lit(False))
+    alert = ~single | F.coalesce(off, F.lit(False))
     op = F.lit(cfg.comparison)
     return monitor_results(
         rows,
@@ -226,10 +247,9 @@ def check_custom_sql(tables: Mapping[str, DataFrame], cfg: CustomSql, as_of: Ins
         severity=severity_of(alert, F.lit(False)),
         score=observed,
         threshold=F.coalesce(expected, F.lit(0.0)),
-        message=F.when(
-            alert,
-            say("Custom SQL alert: observed=%.4f %s expected=%.4f", observed, op, expected),
-        ).otherwise(say("Custom SQL OK: observed=%.4f", observed)),
+        message=F.when(~single, say("Custom SQL alert: the query gave %d rows, one is expected", F.col("answers")))
+        .when(alert, say("Custom SQL alert: observed=%.4f %s expected=%.4f", observed, op, expected))
+        .otherwise(say("Custom SQL OK: observed=%.4f", observed)),
         details=details(observed=observed, expected=expected, comparison=op),
         ts=literal_instant(as_of),
     )
@@ -241,13 +261,14 @@ def check_cost(
     """Cost per resource against its budget.
 
     Usage is summed per resource first; ``budgets`` has the resource column and a budget,
-    else the one budget of the configuration holds for every resource.
+    else the one budget of the configuration holds for every resource. A resource without
+    a budget is reported as such.
     """
     keys = [cfg.resource_column] if cfg.resource_column else []
     spent = usage.groupBy(*keys).agg(F.coalesce(F.sum(cfg.cost_column), F.lit(0.0)).cast("double").alias("spent"))
     if budgets is not None:
         spent = spent.join(
-            budgets.select(*keys, F.col(cfg.budget_column).cast("double").alias("budget")), keys
+            budgets.select(*keys, F.col(cfg.budget_column).cast("double").alias("budget")), keys, "left"
         )
     else:
         spent = spent.withColumn("budget", F.lit(cfg.budget).cast("double"))
@@ -272,7 +293,9 @@ def check_cost(
             say(
                 "Cost alert: %s cost=%.2f exceeds budget=%.2f (x%.1f)", resource, cost, budget, times
             ),
-        ).otherwise(say("Cost OK: %s cost=%.2f within budget=%.2f", resource, cost, budget)),
+        )
+        .when(budget.isNull(), say("Cost: %s cost=%.2f has no budget", resource, cost))
+        .otherwise(say("Cost OK: %s cost=%.2f within budget=%.2f", resource, cost, budget)),
         details=details(current_cost=cost, budget=budget, ratio=times, resource_type=resource),
         ts=literal_instant(as_of),
     )

@@ -25,6 +25,7 @@ from ..operators.local_rows import constant_rows, union_all
 from ..operators.order_stats import nearest, select_ranks
 from ..results import EXPECTATION_RESULTS
 from . import expectations as E
+from .members import members_of
 
 # Metrics per aggregate; wider aggregates outgrow generated code.
 METRICS_PER_SCAN = 200
@@ -48,8 +49,9 @@ class _Item:
 class _Metrics:
     """Aggregate expressions by name; equal names are computed once."""
 
-    def __init__(self) -> None:
+    def __init__(self, df: DataFrame) -> None:
         self.exprs: dict[str, Column] = {}
+        self.types = {f.name: f.dataType for f in df.schema.fields}
 
     def need(self, name: str, expr: Column) -> str:
         self.exprs.setdefault(name, expr)
@@ -159,7 +161,7 @@ def _fused(e: E.Expectation, m: _Metrics) -> ResultOf:
     if e.kind == E.VALUES_IN_SET:
         values = e.values
         present = col.isNotNull()
-        known = col.cast("string").isin(values) if values else F.lit(False)
+        known = members_of(e.params["values"], m.types[c]).holds(col)
         bad = m.need(f"outside:{c}:{json.dumps(values)}", F.count_if(present & ~known))
         return lambda g: row(
             g(bad) == 0, g(bad), g(rows),
@@ -232,7 +234,7 @@ def _finish(base: DataFrame, suite: str, items: Sequence[tuple[_Item, dict[str,
 def _run_fused(df: DataFrame, suite: str, items: Sequence[_Item]) -> list[DataFrame]:
     parts: list[DataFrame] = []
     batch: list[tuple[_Item, ResultOf]] = []
-    metrics = _Metrics()
+    metrics = _Metrics(df)
 
     def flush() -> None:
         names = {key: f"m{i}" for i, key in enumerate(metrics.exprs)}
@@ -243,7 +245,7 @@ def _run_fused(df: DataFrame, suite: str, items: Sequence[_Item]) -> list[DataFr
     for item in items:
         if len(metrics.exprs) >= METRICS_PER_SCAN:
             flush()
-            batch, metrics = [], _Metrics()
+            batch, metrics = [], _Metrics(df)
         batch.append((item, _fused(item.expectation, metrics)))
     if batch:
         flush()
@@ -253,17 +255,15 @@ def _run_fused(df: DataFrame, suite: str, items: Sequence[_Item]) -> list[DataFr
 def _run_distinct(df: DataFrame, suite: str, column: str, items: Sequence[_Item]) -> DataFrame:
     """All distinct-value checks of one column on one value count; null is one value."""
     counts = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    text = F.col("v").cast("string")
+    dtype = df.schema[column].dataType
+    sets = {i.position: members_of(i.expectation.params["values"], dtype) for i in items if i.expectation.kind != E.UNIQUE}
     aggs = [
         F.count(F.lit(1)).alias("distinct"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.count("v").alias("known"),
     ]
-    for item in items:
-        if item.expectation.kind != E.UNIQUE:
-            values = item.expectation.values
-            member = text.isin(values) if values else F.lit(False)
-            aggs.append(F.count_if(F.col("v").isNotNull() & member).alias(f"in_{item.position}"))
+    for position, members in sets.items():
+        aggs.append(F.count_if(F.col("v").isNotNull() & members.holds(F.col("v"))).alias(f"in_{position}"))
     wide = counts.agg(*aggs)
     out = []
     for item in items:
@@ -275,7 +275,7 @@ def _run_distinct(df: DataFrame, suite: str, column: str, items: Sequence[_Item]
             want = _json(distinct=total)
         else:
             inside = F.col(f"in_{item.position}")
-            extra, missing = known - inside, F.lit(len(e.values)) - inside
+            extra, missing = known - inside, F.lit(len(sets[item.position])) - inside
             if e.kind == E.DISTINCT_EQUAL_SET:
                 success, observed = (extra == 0) & (missing == 0), extra + missing
                 seen = _json(actual_distinct=known, missing=missing, extra=extra)
@@ -442,17 +442,21 @@ def failing_rows(df: DataFrame, e: E.Expectation) -> DataFrame:
     if e.kind == E.NOT_MATCH_REGEX:
         return df.where(text.rlike(e.params["pattern"]))
     if e.kind == E.VALUES_IN_SET:
-        return df.where(col.isNotNull() & ~text.isin(e.values))
+        return df.where(col.isNotNull() & ~members_of(e.params["values"], df.schema[e.column].dataType).holds(col))
     if e.kind == E.CUSTOM and e.params.get("expression"):
         return df.where(~F.expr(e.params["expression"]))
     if e.kind == E.UNIQUE:
         return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     if e.kind in (E.DISTINCT_IN_SET, E.DISTINCT_EQUAL_SET):
-        seen = df.where(col.isNotNull()).select(text.alias("value")).distinct()
-        extra = seen.where(~F.col("value").isin(e.values)).select("value", F.lit("extra").alias("side"))
+        members = members_of(e.params["values"], df.schema[e.column].dataType)
+        seen = df.where(col.isNotNull()).select(col.alias("v")).distinct()
+        value = F.col("v").cast("string").alias("value")
+        extra = seen.where(~members.holds(F.col("v"))).select(value, F.lit("extra").alias("side"))
         if e.kind == E.DISTINCT_IN_SET:
             return extra
-        wanted = constant_rows(df.sparkSession, "value STRING", [(v,) for v in e.values])
-        missing = wanted.join(seen, "value", "left_anti").select("value", F.lit("missing").alias("side"))
-        return extra.unionByName(missing)
+        spark = df.sparkSession
+        wanted = spark.range(1).select(F.explode(F.array(*members.literals()).cast(T.ArrayType(members.dtype))).alias("v"))
+        missing = wanted.join(seen, "v", "left_anti").select(value, F.lit("missing").alias("side"))
+        never = constant_rows(spark, "value STRING, side STRING", [(v, "missing") for v in members.absent])
+        return extra.unionByName(missing).unionByName(never)
     raise ValueError(f"{e.kind} has no failing rows")

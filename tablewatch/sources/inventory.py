@@ -36,7 +36,11 @@ def table_inventory(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Dat
 
 def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
     """Every table and view of a catalog database by name."""
-    return {t.name: spark.table(t.name) for t in spark.catalog.listTables(database)}
+    out = {}
+    for t in spark.catalog.listTables(database):
+        place = [] if t.isTemporary else [t.catalog, *(t.namespace or [])]
+        out[t.name] = spark.table(".".join(f"`{part}`" for part in [*place, t.name] if part))
+    return out
 
 
 @dataclass(frozen=True)

@@ -61,19 +61,24 @@ class _Dedup(StatefulProcessor):
 def deduplicate_stream(
     stream: DataFrame, key: str, ts_column: str, row_id: str, window_seconds: int = 300
 ) -> DataFrame:
-    """Rows (group_key, row_id, at_micros, duplicate): repeats within the window of the last kept row."""
+    """Rows (group_key, row_id, at_micros, duplicate): repeats within the window of the last kept row.
+
+    A row without a time is never a duplicate.
+    """
     id_type = stream.schema[row_id].dataType.simpleString()
     rows = stream.select(
         F.col(key).cast("string").alias("group_key"),
         F.unix_micros(instant(ts_column)).alias("at_micros"),
         F.col(row_id).alias("row_id"),
     )
-    return rows.groupBy("group_key").transformWithStateInPandas(
+    timed = rows.where("at_micros IS NOT NULL").groupBy("group_key").transformWithStateInPandas(
         statefulProcessor=_Dedup(window_seconds * 1_000_000),
         outputStructType=f"group_key STRING, row_id {id_type}, at_micros BIGINT, duplicate BOOLEAN",
         outputMode="Append",
         timeMode="None",
     )
+    untimed = rows.where("at_micros IS NULL").select("group_key", "row_id", "at_micros", F.lit(False).alias("duplicate"))
+    return timed.unionByName(untimed)
 
 
 class _Threshold(StatefulProcessor):

@@ -1,6 +1,7 @@
 """Registered queries over the test tables, each with the SQL that gives the same rows."""
 
 from . import (
+    edge_cases,
     histories,
     incident_flows,
     lineages,
@@ -14,6 +15,7 @@ from . import (
 
 AREAS = (
     suites, statistics, monitor_checks, profiles, histories, root_causes, incident_flows, lineages, streams,
+    edge_cases,
 )
 
 QUERIES = {name: fn for area in AREAS for name, fn in area.QUERIES.items()}
