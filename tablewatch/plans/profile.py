@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double, is_numeric
 from ..functions.timing import literal_instant
-from ..operators.distinct import top_k, value_counts
+from ..operators.distinct import top_k
 from ..operators.histogram import histogram
 from ..operators.local_rows import union_all
 from ..operators.order_stats import nearest, select_ranks
@@ -58,6 +58,13 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def _same_zero(df: DataFrame, name: str) -> Column:
+    """The column with 0.0 for -0.0, which are equal but hash apart."""
+    c = _q(name)
+    floating = df.schema[name].dataType.typeName() in ("float", "double")
+    return F.when(c == 0, F.lit(0.0)).otherwise(c) if floating else c
+
+
 def _distinct_counts(df: DataFrame, columns: Sequence[str], rsd: float | None) -> DataFrame:
     if rsd is not None:
         wide = df.agg(
@@ -71,13 +78,16 @@ def _distinct_counts(df: DataFrame, columns: Sequence[str], rsd: float | None) -
             for i, c in enumerate(columns)
         ]
         return wide.select(F.inline(F.array(*rows)))
-    return union_all(
-        [
-            value_counts(df, [f"`{c}`"]).agg(F.count(F.lit(1)).alias("distinct_count")).select(
-                F.lit(c).alias("column_name"), "distinct_count"
-            )
-            for c in columns
-        ]
+    # Every value of every column as (column, 128 bits of hash): one scan, and one exchange of what
+    # partial aggregation leaves of it. Null is one value more.
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.xxhash64(v).alias("h"), F.xxhash64(F.lit(1), v).alias("g"), v.isNull().alias("missing"))
+        for i, v in enumerate(_same_zero(df, c) for c in columns)
+    ]
+    values = df.select(F.inline(F.array(*cells))).groupBy("i", "h", "g", "missing").agg(F.lit(1).alias("one"))
+    names = F.array(*(F.lit(c) for c in columns))
+    return values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count")).select(
+        F.get(names, F.col("i")).alias("column_name"), "distinct_count"
     )
 
 
@@ -102,7 +112,7 @@ def profile(
     )
     distinct = _distinct_counts(df, names, approx_distinct)
     # Everything joined below has one row per column of the table.
-    out = moments.join(F.broadcast(distinct), "column_name")
+    out = moments.join(F.broadcast(distinct), "column_name", "left")
     if numeric:
         ranks = select_ranks(
             df,

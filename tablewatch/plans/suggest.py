@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import is_numeric, ratio
+from ..functions.numeric import ratio
 from ..functions.text import say
-from ..operators.distinct import value_counts
-from ..operators.local_rows import union_all
 from . import expectations as E
 
 # Fixed value: most distinct values for which a set is suggested.
 SET_LIMIT = 20
 
 
-def small_domains(df: DataFrame, include_strings: bool = False) -> DataFrame:
-    """Rows (column_name, values) for columns with at most SET_LIMIT distinct non-null values.
-
-    Only the first SET_LIMIT + 1 values in order are ever brought together.
-    """
-    parts = []
-    for f in df.schema.fields:
-        if not (is_numeric(f.dataType) or (include_strings and f.dataType.simpleString() == "string")):
-            continue
-        first = (
-            value_counts(df, [f"`{f.name}`"])
-            .select(F.col(f"`{f.name}`").alias("v"))
-            .where("v IS NOT NULL")
-            .orderBy("v")
-            .limit(SET_LIMIT + 1)
-        )
-        parts.append(
-            first.agg(F.transform(F.array_sort(F.collect_list("v")), lambda x: x.cast("string")).alias("values"))
-            .where(F.size("values").between(1, SET_LIMIT))
-            .select(F.lit(f.name).alias("column_name"), "values")
-        )
-    return union_all(parts)
+def small_domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (column_name, values) of columns known to hold few distinct values: one scan for all of them."""
+    sets = [F.array_sort(F.collect_set(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]
+    rows = [
+        F.struct(F.lit(c).alias("column_name"), F.transform(f"s{i}", lambda x: x.cast("string")).alias("values"))
+        for i, c in enumerate(columns)
+    ]
+    return df.agg(*sets).select(F.inline(F.array(*rows)))
 
 
 def _suggestion(
@@ -65,10 +51,17 @@ def suggest(
     With ``df`` (the profiled table) set suggestions carry the observed values; numeric
     columns only unless ``include_strings``.
     """
-    p = profiles
-    if df is not None:
+    # A profile has one row per column; it is read once, as it names the columns worth a second scan.
+    known = profiles.collect()
+    p = profiles.sparkSession.createDataFrame(known, profiles.schema)
+    few = [
+        r["column_name"] for r in known
+        if df is not None and 0 < r["distinct_count"] <= SET_LIMIT and r["null_count"] == 0
+        and (r["min_val"] is not None or (include_strings and r["dtype"] == "string"))
+    ]
+    if few:
         # At most one row per column, each with at most SET_LIMIT values.
-        p = p.join(F.broadcast(small_domains(df, include_strings)), "column_name", "left")
+        p = p.join(F.broadcast(small_domains(df, few)), "column_name", "left")
     else:
         p = p.withColumn("values", F.lit(None).cast("array<string>"))
     rows, nulls, distinct = F.col("row_count"), F.col("null_count"), F.col("distinct_count")
