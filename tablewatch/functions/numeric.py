@@ -36,15 +36,5 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def nearest_rank(count: Column, q: float) -> Column:
-    """Zero-based index round((n - 1) * q), half away from zero, within [0, n - 1]."""
-    idx = F.round((count - 1).cast("double") * F.lit(float(q)), 0).cast("bigint")
-    return F.greatest(F.lit(0).cast("bigint"), F.least(idx, (count - 1).cast("bigint")))
-
-
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]

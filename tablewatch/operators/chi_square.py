@@ -121,8 +121,8 @@ def chi_square_upper_tail(x: float, dof: int) -> float:
         c = b + an / c
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return h * math.exp(log_front)
+            return h * math.exp(log_front)
+    raise ArithmeticError(f"the tail of chi-square {x} with {dof} degrees of freedom does not converge")
 
 
 def _upper_tails(score: pd.Series, dof: pd.Series) -> pd.Series:

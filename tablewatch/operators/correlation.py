@@ -12,8 +12,6 @@ from .order_stats import Edges, bucket_edges, running_totals
 
 # Fixed value: lower limit of the denominator, so a constant column gives 0.
 DENOMINATOR_FLOOR = 1e-10
-# Parts a value with many rows is split into when ranks are joined back.
-HOT_PARTS = 32
 
 
 def _moments(x: Column, y: Column) -> Column:
@@ -45,15 +43,16 @@ def average_ranks(counts: DataFrame, value: str, n: str, edges: Edges) -> DataFr
 
 
 def _join_rank(pairs: DataFrame, ranks: DataFrame, value: str, other: str, hot: Sequence[float]) -> DataFrame:
-    """Attach the rank of ``value``; values known to be hot are spread over HOT_PARTS parts.
+    """Attach the rank of ``value``; a value known to be hot is split into as many parts as the shuffle has.
 
     Hot values are the repeated bucket edges, each holding more than one bucket of rows,
     so there are fewer of them than buckets. The part comes from the other column, which
     keeps it stable when a task is retried.
     """
+    split = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = F.col(value).isin(list(hot)) if hot else F.lit(False)
-    part = F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(HOT_PARTS))).otherwise(F.lit(0))
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    part = F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(split))).otherwise(F.lit(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(split - 1))).otherwise(F.array(F.lit(0)))
     spread = ranks.select(value, F.col("rank").alias(f"rank_{value}"), F.explode(parts).alias("_part"))
     return (
         pairs.withColumn("_part", part.cast("int"))

@@ -32,11 +32,6 @@ def duplicate_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The keys found more than once, with their row count."""
-    return value_counts(df, columns).where(F.col("count") > 1)
-
-
 def orphan_keys(
     source: DataFrame, source_columns: Sequence[str], target: DataFrame, target_columns: Sequence[str]
 ) -> DataFrame:

@@ -29,7 +29,6 @@ from .local_rows import constant_rows, union_all
 MAX_INTERVAL = 200_000
 # Sketch resolution: rank error of percentile_approx is at most n / ACCURACY.
 ACCURACY = 10_000
-MAX_BUCKETS = 512
 # Cut points are picked from one row in SAMPLE_ONE_IN. They only decide how the work is
 # divided; everything counted or returned comes from all rows.
 SAMPLE_ONE_IN = 16
@@ -40,8 +39,8 @@ LADDER = (0.0004, 0.0015, 0.005, 0.02)
 
 
 def default_buckets(spark: SparkSession) -> int:
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(MAX_BUCKETS, 4 * partitions))
+    """Ordered parts grow with the parallelism the job is given, without a maximum."""
+    return max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double
-from .order_stats import lower, nearest, select_ranks, upper
+from .order_stats import lower, select_ranks, upper
 
 
 def interpolated_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float]) -> list[float | None]:
@@ -84,14 +84,3 @@ def with_modified_zscore(df: DataFrame, value: str, name: str = "modified_zscore
     if not mad:
         return df.withColumn(name, F.when(v.isNotNull(), F.lit(0.0)))
     return df.withColumn(name, F.lit(0.6745) * (v - F.lit(median)) / F.lit(mad))
-
-
-def nearest_rank_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
-) -> DataFrame:
-    """Rows (label, name, n, value): exact nearest-rank quantiles of several columns."""
-    return select_ranks(
-        df,
-        {c: as_double(c) for c in columns},
-        {c: {f"{p}": (p, nearest(p)) for p in probs} for c in columns},
-    )

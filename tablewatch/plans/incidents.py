@@ -333,7 +333,7 @@ def alert_payloads(incidents: DataFrame, channels: Sequence[Channel]) -> DataFra
     hints = F.col("root_cause_hints")
     quoted = F.concat(
         F.lit("["),
-        F.array_join(F.transform(hints, lambda h: F.concat(F.lit('"'), h, F.lit('"'))), ", "),
+        F.array_join(F.transform(hints, lambda h: F.concat(F.lit('"'), F.regexp_replace(h, r'(["\\])', r"\\$1"), F.lit('"'))), ", "),
         F.lit("]"),
     )
     lines = F.array_join(F.transform(hints, lambda h: F.concat(F.lit("\n  └─ "), h)), "")

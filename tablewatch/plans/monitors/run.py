@@ -5,12 +5,59 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ...functions.timing import literal_instant
 from ...operators.local_rows import union_all
+from ...results import CRITICAL, monitor_results
 from . import checks, config, drift, table_metrics
 
 
+def _check(
+    cfg: config.MonitorConfig,
+    tables: Mapping[str, DataFrame],
+    as_of: datetime | str | Column,
+    history: DataFrame | None,
+    snapshots: DataFrame | None,
+) -> DataFrame:
+    df = tables[cfg.table]
+    match cfg:
+        case config.Freshness():
+            return table_metrics.check_freshness(df, cfg, as_of, history)
+        case config.Volume():
+            return table_metrics.check_volume(df, cfg)
+        case config.Schema():
+            return checks.check_schema(cfg, checks.schema_snapshot(df, cfg.table), snapshots, as_of)
+        case config.Distribution():
+            return drift.check_distribution(df, cfg, as_of, history)
+        case config.Correlation():
+            return checks.check_correlation(df, cfg, as_of)
+        case config.Uniqueness():
+            return checks.check_uniqueness(df, cfg, as_of)
+        case config.ReferentialIntegrity():
+            return checks.check_referential(df, tables[cfg.target_table], cfg, as_of)
+        case config.CustomSql():
+            return checks.check_custom_sql(tables, cfg, as_of)
+        case config.MlDrift():
+            return drift.check_ml_drift(df, cfg, as_of)
+        case config.Cost():
+            budgets = tables[cfg.budget_table] if cfg.budget_table else None
+            return checks.check_cost(df, cfg, as_of, budgets)
+    raise TypeError(f"no monitor for {type(cfg).__name__}")
+
+
+def _failed(some: DataFrame, cfg: config.MonitorConfig, problem: str, as_of: datetime | str | Column) -> DataFrame:
+    """The row of a monitor that could not be planned: it alerts, and says why."""
+    none = F.lit(None).cast("double")
+    return monitor_results(
+        some.sparkSession.range(1), monitor_id=F.lit(cfg.id), monitor_type="error", table_name=cfg.table, alert=F.lit(True),
+        severity=F.lit(CRITICAL), score=none, threshold=none, message=F.lit(f"Monitor failed: {problem}"),
+        details=F.create_map().cast("map<string,string>"), ts=literal_instant(as_of),
+    )
+
+
 def run_monitors(
     configs: Sequence[config.MonitorConfig],
     tables: Mapping[str, DataFrame],
@@ -20,39 +67,20 @@ def run_monitors(
 ) -> DataFrame:
     """Results of every enabled monitor, as one DataFrame.
 
-    ``history`` holds earlier scores (``results.MONITOR_HISTORY``), ``snapshots`` the last
-    known schemas.
+    A monitor that cannot be planned (unknown table or column, bad query) gives a row that says so;
+    the others still run. ``history`` holds earlier scores (``results.MONITOR_HISTORY``),
+    ``snapshots`` the last known schemas.
     """
     parts = []
     for cfg in configs:
-        if not cfg.enabled:
-            continue
-        df = tables.get(cfg.table)
-        match cfg:
-            case config.Freshness():
-                part = table_metrics.check_freshness(df, cfg, as_of, history)
-            case config.Volume():
-                part = table_metrics.check_volume(df, cfg)
-            case config.Schema():
-                part = checks.check_schema(cfg, checks.schema_snapshot(df, cfg.table), snapshots, as_of)
-            case config.Distribution():
-                part = drift.check_distribution(df, cfg, as_of, history)
-            case config.Correlation():
-                part = checks.check_correlation(df, cfg, as_of)
-            case config.Uniqueness():
-                part = checks.check_uniqueness(df, cfg, as_of)
-            case config.ReferentialIntegrity():
-                part = checks.check_referential(df, tables[cfg.target_table], cfg, as_of)
-            case config.CustomSql():
-                part = checks.check_custom_sql(tables, cfg, as_of)
-            case config.MlDrift():
-                part = drift.check_ml_drift(df, cfg, as_of)
-            case config.Cost():
-                budgets = tables[cfg.budget_table] if cfg.budget_table else None
-                part = checks.check_cost(df, cfg, as_of, budgets)
-            case _:
-                raise TypeError(f"no monitor for {type(cfg).__name__}")
-        parts.append(part)
+        if cfg.enabled:
+            try:
+                parts.append(_check(cfg, tables, as_of, history, snapshots))
+            except KeyError as missing:
+                parts.append(_failed(next(iter(tables.values())), cfg, f"unknown table {missing}", as_of))
+            except PySparkException as error:
+                problem = error.getCondition() or type(error).__name__
+                parts.append(_failed(next(iter(tables.values())), cfg, problem, as_of))
     if not parts:
         raise ValueError("no enabled monitor")
     return union_all(parts)

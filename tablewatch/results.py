@@ -24,13 +24,6 @@ MONITOR_HISTORY = "monitor_id STRING, score DOUBLE, threshold DOUBLE, checked_at
 INFO, WARNING, CRITICAL = "INFO", "WARNING", "CRITICAL"
 
 
-def severity_rank(severity: Column) -> Column:
-    """INFO < WARNING < CRITICAL as 0 < 1 < 2."""
-    return (
-        F.when(severity == CRITICAL, F.lit(2)).when(severity == WARNING, F.lit(1)).otherwise(F.lit(0))
-    )
-
-
 def severity_of(alert: Column, critical: Column) -> Column:
     return (
         F.when(alert & F.coalesce(critical, F.lit(False)), F.lit(CRITICAL))

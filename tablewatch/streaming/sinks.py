@@ -43,8 +43,12 @@ def suite_per_batch(
     """Run a suite on every micro-batch. A repeated batch replaces its own results."""
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        results = run_suite(suite, batch).withColumn("checked_at", F.current_timestamp())
-        results.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.persist()  # the parts of a suite scan it once each
+        try:
+            results = run_suite(suite, batch).withColumn("checked_at", F.current_timestamp())
+            results.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     if available_now:

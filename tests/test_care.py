@@ -37,3 +37,15 @@ def test_catalog_tables_of_another_database(spark, tmp_path):
     assert found["t"].collect()[0]["a"] == 1
     spark.sql("DROP TABLE elsewhere.t")
     spark.sql("DROP DATABASE elsewhere")
+
+
+def test_a_monitor_that_cannot_run_leaves_the_others(spark, people):
+    cfgs = [
+        M.Freshness("gone", "nowhere", max_age_seconds=60),
+        M.CustomSql("bad", "people", query="SELECT nothing FROM people", expected=1.0, comparison="="),
+        M.CustomSql("good", "people", query="SELECT count(*) FROM people", expected=5.0, comparison="="),
+    ]
+    got = {r["monitor_id"]: r for r in M.run_monitors(cfgs, {"people": people}, "2024-01-01 00:00:00").collect()}
+    assert got["good"]["alert"] is False and got["good"]["score"] == 5.0
+    assert got["gone"]["severity"] == got["bad"]["severity"] == "CRITICAL"
+    assert "nowhere" in got["gone"]["message"] and got["bad"]["monitor_type"] == "error"
