@@ -156,3 +156,46 @@ def test_line_rows(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(rows).collect()}
     assert got == {1: None, None: "one line\none line", 2: "one line\n"}
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+def kept_by_edits_alone(rows):
+    """Like ``kept_by_all_pairs``, but only the edit similarity of two lines says whether they are linked."""
+    places = {}
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            places.setdefault(tuple(re.findall(r"[^\W_]+", line.lower())), []).append((i, k))
+    blank = set(places.pop((), []))
+    first = {w: min(p) for w, p in places.items()}
+    links = [
+        (first[a], first[b]) for a, b in combinations(first, 2)
+        if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) + 1e-6 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-6
+    ]
+    groups = smallest(first.values(), links)
+    kept = {p for p, g in groups.items() if p == g} | blank
+    return {i: [k for k in range(text.count("\n") + 1) if (i, k) in kept] for i, text in rows}, len(links)
+
+
+def test_lines_equal_all_pairs_by_edits_alone(spark):
+    """Up to a fifth of the words substituted, dropped or added, anywhere; lines of every short length."""
+    pick = random.Random(8)
+    vocabulary = [f"{'long' * pick.randint(0, 3)}w{k}" for k in range(300)]
+    rows = []
+    for n in [*range(1, 26), 30, 37, 50, 80, 120]:
+        base = [pick.choice(vocabulary) for _ in range(n)]
+        rows.append((len(rows), " ".join(base)))
+        for share in (0.1, 0.2, 0.2, 0.25):
+            words = list(base)
+            k = max(1, int(share * n))
+            kind = pick.choice(["spread", "mixed"])
+            for step in range(k):
+                at = (step * len(words) // k + n // (2 * k)) % len(words) if kind == "spread" else pick.randrange(len(words))
+                how = "put" if kind == "spread" else pick.choice(["put", "cut", "add"])
+                if how == "cut" and len(words) > 1:
+                    del words[at]
+                elif how == "add":
+                    words.insert(at, pick.choice(vocabulary))
+                else:
+                    words[at] = pick.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    want, n_links = kept_by_edits_alone(rows)
+    assert n_links > 60
+    assert {r.doc_id: r.kept for r in line_dedup.kept_lines(frame(spark, rows)).collect()} == want
