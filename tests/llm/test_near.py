@@ -199,3 +199,11 @@ def test_lines_equal_all_pairs_by_edits_alone(spark):
     want, n_links = kept_by_edits_alone(rows)
     assert n_links > 60
     assert {r.doc_id: r.kept for r in line_dedup.kept_lines(frame(spark, rows)).collect()} == want
+
+
+def test_very_long_lines_are_matched(spark):
+    """One edit in a line of 70,000 words, more than the lanes of the sums once held."""
+    words = [f"w{k}" for k in range(70_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:35_000], "other", *words[35_000:]])), (3, "short line of some other words")]
+    got = {r.doc_id: r.kept for r in line_dedup.kept_lines(frame(spark, rows)).collect()}
+    assert got == {1: [0], 2: [], 3: [0]}
