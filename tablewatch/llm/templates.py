@@ -1,11 +1,14 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units of a text become typed placeholders; what is left is its template. Windows of
-template words of the benchmark meet those of the documents in a hash join. Where windows of an item meet a
-document along one diagonal (document position less item position, give or take), they are one passage; it
-counts when it covers enough of the item's windows. Then its slots are checked: one value of the item must
-stand for one value of the document, and the other way round, as it does in a question that was only given
-new numbers and names. Inconsistent passages are kept apart and not reported.
+template words of the benchmark meet those of the documents in a hash join. Windows with names have a second key, in
+small letters without name placeholders, so that copies in another case meet as well. Where windows of an item meet a
+stretch of a document, they are one passage; it counts when it covers enough of the item's windows. A run of ``RUN``
+windows one after the other (13 words) counts whatever share of the item it is. Then the slots are checked, between
+aligned words only: each word of the item with the word of the document that the longest run puts there, equal words
+first. One value of the item must stand for one value of the document, as it does in a question that was only given
+new numbers and names. Inconsistent passages are kept apart and not reported; a run of ``RUN`` windows with the
+item's own values always counts.
 
 Words end at white space and at , ; : brackets and quotes (a comma before a digit stays); a sentence's last mark
 is cut. A number starts with a digit, or with a currency or plus/minus sign and a digit. A unit is one of
@@ -19,14 +22,15 @@ empty table on either side gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewatch.llm.shared import bounded, written
 
 WINDOW = 5
 COVERED = 0.5  # of an item's windows
-DRIFT = 16  # words a passage may be shifted by edits
+RUN = 9  # windows: 13 words
+GAP = 64  # words inside a passage, beside the length of the item
 MAX_BROADCAST_WINDOWS = 2_000_000  # 16 bytes each and some overhead
 SPLIT = r'(?:[\s;:"()\[\]{}]|,(?![0-9]))+'
 # Units: fixed words that follow a number.
@@ -58,24 +62,39 @@ def _template_word(raw: Column) -> callable:
     return one
 
 
+def _folded(t: Column) -> Column:
+    return F.regexp_replace(F.lower(t), "[.!?]+$", "")
+
+
 def windows(rows: DataFrame, id_col: str, size: int = WINDOW, slots: bool = False) -> DataFrame:
-    """(id, n_windows, pos, window): every template window of every text; on request with its ``slots``, the words behind its placeholders."""
+    """(id, n_windows, pos, window, folded, own, bare): every template window of every text.
+
+    ``folded`` is the second key of a window with names, ``own`` the hash of its words, ``bare`` whether it is all
+    placeholders. On request, instead of these, ``slots``: the words behind its placeholders.
+    """
     raw = F.col("raw")
     words = rows.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
         F.array_remove(F.split(F.col("text").cast("string"), SPLIT), "").alias("raw"),
     )
-    typed = words.select("id", "raw", F.transform("raw", _template_word(raw)).alias("typed"))
+    low = F.transform("raw", _folded)
+    typed = words.select("id", "raw", F.transform("raw", _template_word(raw)).alias("typed"), low.alias("low"))
 
     def one(i: Column) -> Column:
         own = [F.get("typed", i + k) for k in range(size)]
         place = [i.cast("int").alias("pos"), F.xxhash64(*own).alias("window")]
         if not slots:
-            return F.struct(*place)
+            low = [F.get("low", i + k) for k in range(size)]
+            named, bare = F.lit(False), F.lit(True)
+            for t in own:
+                named = named | F.coalesce(t == "<name>", F.lit(False))
+                bare = bare & F.coalesce(t.startswith("<"), F.lit(True))
+            plain = [F.when(t == "<name>", x).otherwise(t) for t, x in zip(own, low, strict=True)]
+            return F.struct(*place, F.when(named, F.xxhash64(*plain)).alias("folded"), F.xxhash64(*low).alias("own"), bare.alias("bare"))
         holds = own[0].startswith("<")
         for t in own[1:]:
             holds = holds | F.coalesce(t.startswith("<"), F.lit(False))
-        return F.struct(*place, F.when(holds, F.array(*(F.when(t.startswith("<"), F.get("raw", i + k)) for k, t in enumerate(own)))).alias("slots"))
+        return F.struct(*place, F.when(holds, F.array(*(F.when(t.startswith("<"), F.get("low", i + k)) for k, t in enumerate(own)))).alias("slots"))
 
     last = F.greatest(F.size("typed") - size, F.lit(0))
     starts = F.when(F.size("typed") > 0, F.sequence(F.lit(0), last))
@@ -85,46 +104,70 @@ def windows(rows: DataFrame, id_col: str, size: int = WINDOW, slots: bool = Fals
     return listed.select("id", "n_windows", F.explode_outer("all").alias("w")).select("id", "n_windows", "w.*").where("pos is not null")
 
 
-def _value(slot: str) -> Column:
-    return F.regexp_replace(F.lower(F.col(slot)), "[.!?]+$", "")
+def _keyed(rows: DataFrame) -> DataFrame:
+    keys = F.when(F.col("folded").isNull(), F.array("window")).otherwise(F.array("window", "folded"))
+    return rows.withColumn("key", F.explode(keys)).drop("window", "folded")
+
+
+def _runs(met: DataFrame, name: str) -> DataFrame:
+    """``met`` with the start of each match's run along its diagonal."""
+    along = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("pos")
+    return met.withColumn(name, F.col("pos") - F.row_number().over(along))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots, consistent): the best passage of each item in each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = written(windows(benchmark, "item_id", size, slots=True))
+    wanted = written(_keyed(windows(benchmark, "item_id", size)))
     few = wanted.count() <= MAX_BROADCAST_WINDOWS
     items = wanted.select(
-        F.col("id").alias("item_id"), F.col("n_windows").alias("item_windows"), F.col("pos").alias("item_pos"), "window",
-        F.col("slots").alias("item_slots"),
+        F.col("id").alias("item_id"), F.col("n_windows").alias("item_windows"), F.col("pos").alias("item_pos"), "key", F.col("own").alias("item_own"),
     )
-    own = windows(docs, "doc_id", size).select(F.col("id").alias("doc_id"), "pos", "window")
-    met = written(own.join(F.broadcast(items) if few else items, "window").drop("window"))
-    # two overlapping rulers of diagonals, so that a drift across a bound of one lies within the other
-    shifted = F.explode(F.array(F.lit(0), F.lit(DRIFT // 2)))
-    laid = met.withColumn("shift", shifted).withColumn("diagonal", F.floor((F.col("pos") - F.col("item_pos") + F.col("shift")) / DRIFT))
-    key = ["doc_id", "item_id", "shift", "diagonal"]
-    counted = laid.groupBy(*key, "item_windows").agg(F.count_distinct("item_pos").alias("n_matched")).where(
-        F.col("n_matched") >= covered * F.col("item_windows")
+    own = _keyed(windows(docs, "doc_id", size)).select(F.col("id").alias("doc_id"), "pos", "key", "own", "bare")
+    met = own.join(F.broadcast(items) if few else items, "key").select(
+        "doc_id", "item_id", "item_windows", "pos", "item_pos", (F.col("own") == F.col("item_own")).alias("same"), "bare",
     )
-    # only the documents that met a window with placeholders are read again, for what stands behind them
-    asked = laid.where("item_slots is not null").join(counted, key, "left_semi")
+    met = written(met.distinct()).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    # runs on a diagonal, the stretches of the document, and what each covers
+    laid = _runs(met, "run")
+    run = Window.partitionBy("doc_id", "item_id", "diagonal", "run")
+    laid = laid.withColumn("long", F.count(F.lit(1)).over(run)).withColumn("told", F.sum((F.col("same") | ~F.col("bare")).cast("int")).over(run))
+    by_pos = Window.partitionBy("doc_id", "item_id").orderBy("pos", "item_pos")
+    far = F.col("pos") - F.lag("pos").over(by_pos) > F.col("item_windows") + GAP
+    laid = laid.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("stretch", F.sum("far").over(by_pos))
+    laid = written(laid.drop("far"))
+    key = ["doc_id", "item_id", "kind", "at", "diagonal"]
+    whole = laid.withColumns({"kind": F.lit(0), "at": F.col("stretch").cast("long"), "own_diagonal": F.col("diagonal"), "diagonal": F.lit(0)})
+    part = laid.where(F.col("told") >= RUN).withColumns({"kind": F.lit(1), "at": F.col("run").cast("long"), "own_diagonal": F.col("diagonal")})
+    same = _runs(laid.where("same"), "run").withColumns({"kind": F.lit(2), "at": F.col("run").cast("long"), "own_diagonal": F.col("diagonal")})
+    every = whole.unionByName(part).unionByName(same)
+    counted = written(
+        every.groupBy(*key, "item_windows").agg(F.count_distinct("item_pos").alias("n_matched")).where(
+            F.when(F.col("kind") == 0, F.col("n_matched") >= covered * F.col("item_windows")).otherwise(F.col("n_matched") >= RUN)
+        )
+    )
+    # only the documents with such a passage are read again, for what stands behind the placeholders
+    asked = written(every.where("kind < 2").join(counted, key, "left_semi"))
     again = written(asked.select("doc_id").distinct())
     mine = windows(docs.join(bounded(again), "doc_id", "left_semi"), "doc_id", size, slots=True).where("slots is not null").select(
         F.col("id").alias("doc_id"), "pos", "slots"
-    )
-    pairs = asked.join(mine, ["doc_id", "pos"]).select(
-        *key, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")
-    ).where("s.slots is not null and s.item_slots is not null").select(
-        *key, _value("s.slots").alias("mine"), _value("s.item_slots").alias("theirs")
     ).distinct()
-    slots = pairs.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("theirs").alias("n_theirs"), F.count_distinct("mine").alias("n_mine")
+    theirs = windows(benchmark, "item_id", size, slots=True).where("slots is not null").select(
+        F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")
+    ).distinct()
+    aligned = asked.join(mine, ["doc_id", "pos"]).join(theirs, ["item_id", "item_pos"]).select(
+        *key, "item_pos", "same", "long", "own_diagonal", F.posexplode(F.arrays_zip("slots", "item_slots")).alias("k", "s")
+    ).where("s.slots is not null and s.item_slots is not null")
+    words = aligned.groupBy(*key, (F.col("item_pos") + F.col("k")).alias("word")).agg(
+        F.max_by(F.struct(F.col("s.slots").alias("mine"), F.col("s.item_slots").alias("theirs")), F.struct("same", "long", -F.col("own_diagonal"))).alias("pair")
+    )
+    slots = words.select(*key, "pair.*").distinct().groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("theirs").alias("n_theirs")
     )
     judged = counted.join(slots, key, "left").select(
         "doc_id", "item_id", "n_matched", F.col("item_windows").alias("n_windows"),
         F.coalesce("n_pairs", F.lit(0)).alias("n_slots"),
-        F.coalesce((F.col("n_pairs") == F.col("n_theirs")) & (F.col("n_pairs") == F.col("n_mine")), F.lit(True)).alias("consistent"),
+        F.coalesce(F.col("n_pairs") == F.col("n_theirs"), F.lit(True)).alias("consistent"),
     )
     best = F.max(F.struct("consistent", "n_matched", "n_slots", "n_windows")).alias("best")
     return judged.groupBy("doc_id", "item_id").agg(best).select(

@@ -165,6 +165,27 @@ def test_templates_catch_new_values_and_reject_mixed_ones(spark):
     assert template_rows(spark, []).count() == 0
 
 
+PAD = "plain prose before it and more of it. "
+
+
+def reported(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id LONG, text STRING")
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id LONG, text STRING")
+    return {(r.doc_id, r.item_id) for r in templates.contaminated(rows, items).collect()}
+
+
+def test_templates_compare_aligned_slots_only(spark):
+    """Rows of numbers and names repeat their windows; a copy, verbatim or with new values, is consistent all the same."""
+    items = [
+        "which of these is the sum of all A) 12 B) 15 C) 18 D) 21",
+        "find what comes next in the series 2, 4, 6, 8, 10, 12, 14",
+        "we met Anna Berta Carla Dora Emma Frida Greta at noon",
+    ]
+    changed = items[1].replace("2, 4, 6, 8, 10, 12, 14", "3, 5, 7, 9, 11, 13, 15")
+    got = reported(spark, items, [*(PAD + t for t in items), PAD + changed])
+    assert got >= {(0, 0), (1, 1), (2, 2), (3, 1)}
+
+
 def test_templates_find_every_whole_item(spark):
     sf = "/root/testdata/sf0.01"
     one_line = lambda t: " ".join(t.split())
