@@ -186,6 +186,19 @@ def test_templates_compare_aligned_slots_only(spark):
     assert got >= {(0, 0), (1, 1), (2, 2), (3, 1)}
 
 
+def test_templates_find_parts_split_copies_and_other_case(spark):
+    plain = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    sixty, long = plain[:60], plain[60:]
+    named = [w.title() if k % 5 == 2 else w for k, w in enumerate(plain[100:130])]
+    docs = [
+        sixty[10:38], [*sixty[:30], *["filler"] * 20, *sixty[30:]], long[50:190], [w.upper() for w in named], [w.lower() for w in named],
+        sixty[:10], [*sixty[:6], "x", *sixty[6:12]],
+    ]
+    got = reported(spark, [" ".join(sixty), " ".join(long), " ".join(named)], [PAD + " ".join(d) for d in docs])
+    assert got >= {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2)}
+    assert not {d for d, _ in got} & {5, 6}
+
+
 def test_templates_find_every_whole_item(spark):
     sf = "/root/testdata/sf0.01"
     one_line = lambda t: " ".join(t.split())
