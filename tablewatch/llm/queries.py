@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewatch.llm import (
     html_text,
+    joined_bpe,
     line_dedup,
     lookup_sharding,
     near_dedup,
@@ -19,12 +20,14 @@ from tablewatch.llm import (
     quality_model,
     quality_rules,
     secret_formats,
+    slot_negatives,
     templates,
 )
 from tablewatch.llm.shared import table
 
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,16 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return slot_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -80,8 +93,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality_rules, op3_secrets, op4_decontamination, op5_sharding, op6_near_dedup, op7_html_text,
-        op8_pieces, op9_line_dedup, op10_quality_model, pipeline,
+        op8_pieces, op9_line_dedup, op10_quality_model, op11_hard_negatives, op12_byte_pieces, pipeline,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same,
+           CAST(coalesce(list_sum(list_transform(range(1, least(len(a.e), len(v.e)) + 1), lambda i: a.e[i] * v.e[i])), 0) AS BIGINT) AS score
+    FROM v AS a JOIN v ON a.vec_id <> v.vec_id
+    WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""",
+}
