@@ -14,6 +14,7 @@ from tablewatch.llm import (
     joined_bpe,
     line_dedup,
     lookup_sharding,
+    merkle,
     near_dedup,
     piece_table,
     pii,
@@ -85,6 +86,10 @@ def op12_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -93,7 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality_rules, op3_secrets, op4_decontamination, op5_sharding, op6_near_dedup, op7_html_text,
-        op8_pieces, op9_line_dedup, op10_quality_model, op11_hard_negatives, op12_byte_pieces, pipeline,
+        op8_pieces, op9_line_dedup, op10_quality_model, op11_hard_negatives, op12_byte_pieces,
+        op13_merkle_manifest, pipeline,
     )
 }
 
@@ -120,5 +126,53 @@ SELECT anchor_id, positive_id,
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10
+""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t
+), d AS (
+    SELECT doc_id, coalesce('+' || lang, '') AS lane, concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+               coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+               coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+           text, 4294967295 - list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+               lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295) AS sum
+    FROM documents, crc
+), leaf AS (
+    SELECT doc_id, lane, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+           sha256(head || coalesce(strlen(seen) || ':' || seen, '-')) AS other,
+           row_number() OVER (PARTITION BY lane ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lane) AS n
+    FROM (SELECT *, CASE WHEN sum % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS seen FROM d)
+), node AS (
+    SELECT 0 AS level, lane, pos, n, h FROM leaf
+    UNION ALL
+    SELECT level + 1, lane, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY level, lane, n, pos // 8
+), sub AS (
+    SELECT lane, h AS subroot, row_number() OVER (ORDER BY lane) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+), top AS (
+    SELECT 0 AS level, pos, n, subroot AS h FROM sub
+    UNION ALL
+    SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, n, pos // 8
+), beside AS (
+    SELECT level, tier, lane, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM (SELECT 1 AS tier, level, lane, pos, n, h FROM node UNION ALL SELECT 2, level, '', pos, n, h FROM top)
+    WHERE n > 1
+    WINDOW w AS (PARTITION BY tier, level, lane, pos // 8 ORDER BY pos)
+), low AS (
+    SELECT lane AS own, pos AS spot, 0 AS level, pos, '' AS proof, other AS acc FROM leaf
+    UNION ALL
+    SELECT own, spot, low.level + 1, low.pos // 8, proof || l || r, sha256(l || acc || r)
+    FROM low JOIN beside ON tier = 1 AND lane = own AND beside.level = low.level AND beside.pos = low.pos
+), high AS (
+    SELECT own, spot, 0 AS level, sub.pos, proof, acc
+    FROM (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY own, spot ORDER BY level DESC) = 1) JOIN sub ON lane = own
+    UNION ALL
+    SELECT own, spot, high.level + 1, high.pos // 8, proof || l || r, sha256(l || acc || r)
+    FROM high JOIN beside ON tier = 2 AND beside.level = high.level AND beside.pos = high.pos
+)
+SELECT doc_id, leaf.h AS leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM leaf JOIN sub USING (lane), (SELECT h AS root FROM top WHERE n = 1), high
+WHERE own = leaf.lane AND spot = leaf.pos
+QUALIFY row_number() OVER (PARTITION BY own, spot ORDER BY level DESC) = 1
 """,
 }
