@@ -27,6 +27,16 @@ def _pairs(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def pair_metrics(x: str, y: str) -> dict[str, Column]:
+    """Correlation and number of pairs as aggregates of a whole table: rows without a pair add nothing."""
+    a, b = as_double(F.col(f"`{x}`")), as_double(F.col(f"`{y}`"))
+    paired = a.isNotNull() & b.isNotNull()
+    a, b = F.when(paired, a), F.when(paired, b)
+    n = F.count_if(paired).cast("double")
+    spread = F.sqrt(F.var_pop(a) * n * F.var_pop(b) * n)
+    return {"correlation": F.covar_pop(a, b) * n / F.greatest(spread, F.lit(DENOMINATOR_FLOOR)), "n": F.count_if(paired)}
+
+
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., correlation, n) over rows where both values are present."""
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ...functions.numeric import ratio
 from ...functions.timing import literal_instant
 from ...functions.text import say
-from ...operators.correlation import pearson, spearman
+from ...operators.correlation import pair_metrics, pearson, spearman
 from ...operators.distinct import duplicate_summary, orphan_keys
 from ...operators.local_rows import constant_rows
 from ...results import CRITICAL, INFO, details, monitor_results, severity_of
@@ -100,7 +101,15 @@ def check_schema(
 def check_correlation(df: DataFrame, cfg: Correlation, as_of: Instant) -> DataFrame:
     """Alert when the correlation of two columns is weaker than expected."""
     measure = {"pearson": pearson, "spearman": spearman}[cfg.method]
-    rows = measure(df, cfg.column_x, cfg.column_y)
+    return correlation_results(measure(df, cfg.column_x, cfg.column_y), cfg, as_of)
+
+
+def pearson_metrics(cfg: Correlation) -> dict[str, Column]:
+    return pair_metrics(cfg.column_x, cfg.column_y)
+
+
+def correlation_results(rows: DataFrame, cfg: Correlation, as_of: Instant) -> DataFrame:
+    """Results from one row (correlation, n)."""
     r, n, limit = F.col("correlation"), F.col("n"), F.lit(float(cfg.min_abs))
     enough = n >= MIN_PAIRS
     alert = F.coalesce(enough & (F.abs(r) < F.abs(limit)), F.lit(False))
@@ -164,14 +173,23 @@ def check_referential(
     source: DataFrame, target: DataFrame, cfg: ReferentialIntegrity, as_of: Instant
 ) -> DataFrame:
     """Source rows whose key is missing from the target. Null keys are counted apart."""
-    keys = list(cfg.columns)
-    orphans = orphan_keys(source, keys, target, list(cfg.target_columns or keys))
+    return referential_results(source.agg(*(e.alias(k) for k, e in key_metrics(cfg).items())), source, target, cfg, as_of)
+
+
+def key_metrics(cfg: ReferentialIntegrity) -> dict[str, Column]:
     has_null = F.lit(False)
-    for c in keys:
+    for c in cfg.columns:
         has_null = has_null | F.col(c).isNull()
-    totals = source.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.count_if(has_null).alias("nulls")).alias("t")
-    ).scalar()
+    return {"n": F.count(F.lit(1)), "nulls": F.count_if(has_null)}
+
+
+def referential_results(
+    counted: DataFrame, source: DataFrame, target: DataFrame, cfg: ReferentialIntegrity, as_of: Instant
+) -> DataFrame:
+    """Results from one row (n, nulls) of the source, and the keys of both tables."""
+    keys = list(cfg.columns)
+    orphans = orphan_keys(source, keys, target, list(cfg.target_columns or keys))
+    totals = counted.select(F.struct("n", "nulls").alias("t")).scalar()
     rows = orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans")).select(
         "orphans",
         totals["n"].alias("n"),
@@ -201,8 +219,16 @@ def check_referential(
     )
 
 
+_VIEW_NAMES = threading.Lock()  # monitors run side by side and share the names
+
+
 def _answer(tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     """The query over the tables by name. Views of the caller with these names are put back."""
+    with _VIEW_NAMES:
+        return _read_views(tables, query)
+
+
+def _read_views(tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
     before = {name: spark.table(name) for name in tables if name in own}
@@ -265,7 +291,16 @@ def check_cost(
     a budget is reported as such.
     """
     keys = [cfg.resource_column] if cfg.resource_column else []
-    spent = usage.groupBy(*keys).agg(F.coalesce(F.sum(cfg.cost_column), F.lit(0.0)).cast("double").alias("spent"))
+    return cost_results(usage.groupBy(*keys).agg(*(e.alias(k) for k, e in cost_metrics(cfg).items())), cfg, as_of, budgets)
+
+
+def cost_metrics(cfg: Cost) -> dict[str, Column]:
+    return {"spent": F.coalesce(F.sum(cfg.cost_column), F.lit(0.0)).cast("double")}
+
+
+def cost_results(spent: DataFrame, cfg: Cost, as_of: Instant, budgets: DataFrame | None = None) -> DataFrame:
+    """Results from rows (resource, spent)."""
+    keys = [cfg.resource_column] if cfg.resource_column else []
     if budgets is not None:
         spent = spent.join(
             budgets.select(*keys, F.col(cfg.budget_column).cast("double").alias("budget")), keys, "left"

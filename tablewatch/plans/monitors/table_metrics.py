@@ -36,12 +36,23 @@ def learned_limit(scores: Column, t: ThresholdConfig, clamp: bool = True) -> Col
     return auto_threshold(scores, t.method, t.sensitivity, low, high)
 
 
+def freshness_metrics(cfg: Freshness) -> dict[str, Column]:
+    return {"last": F.max(instant(cfg.ts_column))}
+
+
 def check_freshness(
     df: DataFrame, cfg: Freshness, as_of: datetime | str | Column, history: DataFrame | None = None
 ) -> DataFrame:
     """Age of the newest row; the limit grows with the ages seen before, never below max age."""
+    newest = df.groupBy(*cfg.by).agg(*(e.alias(name) for name, e in freshness_metrics(cfg).items()))
+    return freshness_results(newest, cfg, as_of, history)
+
+
+def freshness_results(
+    newest: DataFrame, cfg: Freshness, as_of: datetime | str | Column, history: DataFrame | None = None
+) -> DataFrame:
+    """Results from rows (by..., last)."""
     now = literal_instant(as_of)
-    newest = df.groupBy(*cfg.by).agg(F.max(instant(cfg.ts_column)).alias("last"))
     rows = newest.select(
         monitor_key(cfg.id, cfg.by).alias("monitor_id"),
         "last",

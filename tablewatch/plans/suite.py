@@ -25,6 +25,7 @@ from ..operators.local_rows import constant_rows, union_all
 from ..operators.order_stats import nearest, select_ranks
 from ..results import EXPECTATION_RESULTS
 from . import expectations as E
+from .isolate import settled
 from .members import members_of
 
 # Metrics per aggregate; wider aggregates outgrow generated code.
@@ -252,6 +253,23 @@ def _run_fused(df: DataFrame, suite: str, items: Sequence[_Item]) -> list[DataFr
     return parts
 
 
+def _can_fail(e: E.Expectation) -> bool:
+    """Whether the user's own expression runs: it can divide by zero, overflow, or call a failing function."""
+    return e.kind == E.CUSTOM and bool(e.params.get("expression"))
+
+
+def _run_isolated(df: DataFrame, suite: str, items: Sequence[_Item]) -> tuple[list[DataFrame], list[tuple[_Item, str]]]:
+    """The shared scan, run now; expressions that fail are found by halving and left out."""
+    risky = [i for i in items if _can_fail(i.expectation)]
+    safe = [i for i in items if not _can_fail(i.expectation)]
+    scan = lambda some: union_all(_run_fused(df, suite, some))
+    done, refused = settled([items], lambda all_: scan(all_[0]), "suite")
+    if not refused:
+        return [frame for frame, _ in done], []
+    done, refused = settled(risky, scan, "suite")
+    return _run_fused(df, suite, safe) + [frame for frame, _ in done], refused
+
+
 def _run_distinct(df: DataFrame, suite: str, column: str, items: Sequence[_Item]) -> DataFrame:
     """All distinct-value checks of one column on one value count; null is one value."""
     counts = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
@@ -370,7 +388,9 @@ def run_suite(suite: E.ExpectationSuite, df: DataFrame) -> DataFrame:
     """One result row per expectation, in the shape of ``results.EXPECTATION_RESULTS``.
 
     An expectation that cannot be planned (unknown column, wrong type, bad pattern) is a
-    failed row with ``exception`` set; the others still run.
+    failed row with ``exception`` set; the others still run. The same holds for a custom
+    expression that fails while it runs: a suite with custom expressions runs its shared
+    scan now, and if it fails, again without those that fail.
     """
     spark: SparkSession = df.sparkSession
     constant: list[tuple] = []
@@ -394,7 +414,14 @@ def run_suite(suite: E.ExpectationSuite, df: DataFrame) -> DataFrame:
             divergences.append(item)
         else:
             fused.append(item)
-    parts = _run_fused(df, suite.name, fused)
+    if any(_can_fail(item.expectation) for item in fused):
+        parts, refused = _run_isolated(df, suite.name, fused)
+        for item, problem in refused:
+            e = item.expectation
+            constant.append((suite.name, item.position, e.kind, e.column, False, None, None, None, None,
+                             None, None, f"Failed while running: {problem}"))
+    else:
+        parts = _run_fused(df, suite.name, fused)
     parts += [_run_distinct(df, suite.name, c, items) for c, items in distinct.items()]
     if quantiles:
         parts.append(_run_quantiles(df, suite.name, quantiles))

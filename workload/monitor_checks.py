@@ -520,6 +520,57 @@ SELECT * FROM ({monitor_sql(
     score="age", threshold="lim", ts=AS_OF_SQL, message=_FRESH_MESSAGE)})"""
 
 
+def _run_set_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitors that fail while they run, beside others that share their tables' scans."""
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "events")}
+    cfgs = [
+        M.CustomSql("err-sql", "orders", query="SELECT sum(o_totalprice / (o_orderkey % 2)) FROM orders"),
+        M.Cost("err-cost", "lineitem", cost_column="l_extendedprice / (l_orderkey % 2)", budget=1.0),
+        M.Freshness("err-by", "events", max_age_seconds=100_000, by=["event_type"]),
+        M.Freshness("err-fresh", "events", max_age_seconds=100_000),
+        M.Cost("err-spent", "lineitem", cost_column="l_discount", resource_column="l_returnflag", budget=1e9),
+        M.Correlation("err-pearson", "lineitem", column_x="l_quantity", column_y="l_extendedprice", min_abs=0.5),
+        M.ReferentialIntegrity("err-ref", "lineitem", columns=["l_orderkey"], target_table="orders", target_columns=["o_orderkey"]),
+        M.Uniqueness("err-column", "orders", columns=["o_nothing"]),
+    ]
+    return flat_monitor(M.run_monitors(cfgs, tables, AS_OF))
+
+
+def _error_sql(monitor: str, table_name: str, problem: str) -> str:
+    return monitor_sql(
+        "(SELECT 1)", monitor_id=f"'{monitor}'", kind="error", table_name=table_name, alert="true", critical="true",
+        score="NULL", threshold="NULL", ts=AS_OF_SQL, message=f"'Monitor failed: {problem}'",
+    )
+
+
+_RUN_SET_ERRORS_SQL = "\nUNION ALL\n".join(f"SELECT * FROM ({q})" for q in (
+    _error_sql("err-sql", "orders", "DIVIDE_BY_ZERO"),
+    _error_sql("err-cost", "lineitem", "UNRESOLVED_COLUMN.WITH_SUGGESTION"),
+    _error_sql("err-column", "orders", "UNRESOLVED_COLUMN.WITH_SUGGESTION"),
+    monitor_sql(
+        f"(SELECT event_type, CAST((epoch_us({AS_OF_SQL}) - epoch_us(max(ts))) // 1000000 AS DOUBLE) AS age, 100000.0 AS lim FROM events GROUP BY 1)",
+        monitor_id="'err-by:' || event_type", kind="freshness", table_name="events", alert="age > lim", critical="age > 2 * lim",
+        score="age", threshold="lim", ts=AS_OF_SQL, message=_FRESH_MESSAGE),
+    monitor_sql(
+        f"(SELECT CAST((epoch_us({AS_OF_SQL}) - epoch_us(max(ts))) // 1000000 AS DOUBLE) AS age, 100000.0 AS lim FROM events)",
+        monitor_id="'err-fresh'", kind="freshness", table_name="events", alert="age > lim", critical="age > 2 * lim",
+        score="age", threshold="lim", ts=AS_OF_SQL, message=_FRESH_MESSAGE),
+    monitor_sql(
+        "(SELECT l_returnflag, sum(l_discount) AS spent FROM lineitem GROUP BY 1)",
+        monitor_id="'err-spent:' || l_returnflag", kind="cost", table_name="lineitem", alert="spent > 1e9", critical="false",
+        score="spent", threshold="1e9", ts=AS_OF_SQL, message="printf('Cost OK: query_cost cost=%.2f within budget=1000000000.00', spent)"),
+    monitor_sql(
+        "(SELECT corr(l_quantity, l_extendedprice) AS c FROM lineitem)",
+        monitor_id="'err-pearson'", kind="correlation", table_name="lineitem", alert="abs(c) < 0.5", critical="false",
+        score="c", threshold="0.5", ts=AS_OF_SQL,
+        message="CASE WHEN abs(c) < 0.5 THEN printf('Correlation alert: pearson=%.4f below threshold 0.5000', c) ELSE printf('Correlation OK: pearson=%.4f', c) END"),
+    monitor_sql(
+        "(SELECT count(*) AS o FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))",
+        monitor_id="'err-ref'", kind="referential", table_name="lineitem", alert="o > 0", critical="true",
+        score="o", threshold="0", ts=AS_OF_SQL, message="CASE WHEN o > 0 THEN 'bad' ELSE 'Referential integrity OK: no orphan rows' END"),
+))
+
+
 def event_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-day volume results per event type, the input of histories, hints and incidents."""
     cfg = M.Volume("vol", "events", by=["event_type"], bucket="12 hours")
@@ -555,6 +606,7 @@ QUERIES = {
     "mon_ml_drift": _ml_drift,
     "mon_cost": _cost,
     "mon_run_set": _run_set,
+    "mon_run_set_errors": _run_set_errors,
 }
 
 _KS_TEXT, _JS_TEXT, _CHI_TEXT = (_drift_texts("lineitem", m) for m in ("ks", "js", "chi_square"))
@@ -588,4 +640,5 @@ ORACLE = {
     "mon_ml_drift": _ml_drift_sql(),
     "mon_cost": _cost_sql(),
     "mon_run_set": _RUN_SET_SQL,
+    "mon_run_set_errors": _RUN_SET_ERRORS_SQL,
 }

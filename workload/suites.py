@@ -256,7 +256,8 @@ QUERIES: dict[str, Query] = {
     ),
     "exp_errors": suite_query(
         (O, [E.not_null("gone"), E.between("o_orderstatus", 0, 1), E.custom("typo", "o_total > 0"),
-             E.match_regex("o_orderstatus", "("), E.not_null("o_orderkey")])
+             E.match_regex("o_orderstatus", "("), E.not_null("o_orderkey"), E.custom("zero", "o_totalprice / (o_orderkey % 2) > 0"),
+             E.custom("positive", "o_totalprice > 0"), E.custom("number", "CAST(o_orderstatus AS INT) > 0")])
     ),
     "suite_summary": _summary,
     "exp_failing_rows": _failing,
@@ -393,9 +394,12 @@ UNION ALL
 SELECT 'orders' AS suite, p AS position, k AS expectation, c AS column_name, false AS success,
   CAST(NULL AS DOUBLE) AS observed, CAST(NULL AS BIGINT) AS total
 FROM (VALUES (0, 'not_null', 'gone'), (1, 'between', 'o_orderstatus'), (2, 'custom', NULL),
-  (3, 'match_regex', 'o_orderstatus')) t(p, k, c)
+  (3, 'match_regex', 'o_orderstatus'), (5, 'custom', NULL), (7, 'custom', NULL)) t(p, k, c)
 UNION ALL
-""" + row(O, 4, E.NOT_NULL, "o_orderkey", "count_if(o_orderkey IS NULL) = 0", "count_if(o_orderkey IS NULL)", "count(*)", O),
+""" + rows(
+        row(O, 4, E.NOT_NULL, "o_orderkey", "count_if(o_orderkey IS NULL) = 0", "count_if(o_orderkey IS NULL)", "count(*)", O),
+        row(O, 6, E.CUSTOM, None, "count_if(NOT o_totalprice > 0) = 0", "count_if(NOT o_totalprice > 0)", "count(*)", O),
+    ),
     "suite_summary": _SUMMARY_SQL,
     "exp_failing_rows": _FAILING_SQL,
 }
