@@ -1,143 +1,69 @@
 """Table and column lineage from a table of SQL statements.
 
-Statements are recognised by their clauses, as Spark's grammar names them: what creates, inserts into or merges
-into a table has a target, what FROM, JOIN or USING introduce are sources. Comments and quoted text are taken
-out first, so neither gives a source.
+Statements are read in Arrow batches, token by token with a stack of query scopes (``statement_scopes``); what follows from
+them, edges and neighbours, is joins and groups. What creates, inserts into or merges into a table has a target; what FROM,
+JOIN or MERGE's USING name are sources. Names of CTEs and aliases of subqueries are no tables: their columns are followed to
+the tables behind them. Comments and literals give neither tables nor columns. An unreadable text has no target, and the
+sources that were read.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NAME = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"
-TARGET = (
-    r"(?i)\b(?:create (?:or replace )?(?:(?:global|temporary|temp|external|materialized) )*(?:table|view)(?: if not exists)?"
-    r"|insert(?: (?:into|overwrite|table)\b)+|merge into) (" + NAME + ")"
-)
-# Words that end a table's place in a FROM list, so none of them is an alias.
-CLAUSES = (
-    "on|where|join|inner|left|right|full|cross|natural|semi|anti|using|group|order|sort|cluster|distribute|limit|having|union"
-    "|except|intersect|lateral|window|when|set|pivot|unpivot|tablesample|select|insert|values"
-)
-ITEM = rf"{NAME}(?: (?:as )?(?!(?:{CLAUSES})\b)[A-Za-z_]\w*)?"
-SOURCES = rf"(?i)\b(?:from|join|using) ({ITEM}(?: ?, ?{ITEM})*)"
-SELECT_LIST = r"(?i)\bselect (?:distinct |all )?(.+?)(?: (?:from|where|group|order|limit|having) |;|$)"
-ALIASED = r"(?i)^(.+?) as ([A-Za-z_]\w*)$"
-RENAMED = rf"(?i)^({NAME}|.+\)) (?!(?:end|null|asc|desc)$)([A-Za-z_]\w*)$"
-QUALIFIED = r"(?<![\w.'])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\.([A-Za-z_]\w*)(?![\w.]| ?\()"
-BARE = r"(?<![\w.'])([A-Za-z_]\w*)(?![\w.]| ?\()"
-# Words of an expression that name no column.
-WORDS = (
-    "and", "as", "asc", "between", "by", "case", "cast", "current_date", "current_timestamp", "desc", "distinct", "else", "end",
-    "exists", "false", "filter", "first", "following", "in", "interval", "is", "last", "like", "not", "null", "nulls", "or",
-    "order", "over", "partition", "preceding", "range", "rlike", "rows", "then", "true", "unbounded", "when", "where",
-    "bigint", "boolean", "date", "decimal", "double", "float", "int", "string", "timestamp",
-    "day", "days", "hour", "hours", "minute", "minutes", "month", "months", "year", "years",
-)
-
-
-def _plain(queries: DataFrame, sql: str) -> DataFrame:
-    """One line without comments, quoted text (left as two quotes) and quotes around names. A step of its own, computed once."""
-    text = F.regexp_replace(F.col(sql), r"--[^\n]*|/\*[\s\S]*?\*/", " ")
-    text = F.regexp_replace(text, r"'(?:[^'\\]|\\.|'')*'", "''")
-    text = F.regexp_replace(text, '[`"]', "")
-    return queries.withColumn("_text", F.trim(F.regexp_replace(text, r"\s+", " ")))
-
-
-def _sources(text: Column) -> Column:
-    """Structs (name, alias) in order; the alias is empty where there is none."""
-    items = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SOURCES), 1), lambda part: F.split(part, " ?, ?")))
-    words = F.transform(items, lambda item: F.split(item, " "))
-    return F.transform(
-        words, lambda w: F.struct(w[0].alias("name"), F.when(F.size(w) > 1, F.element_at(w, -1)).otherwise("").alias("alias"))
-    )
+from .statement_scopes import ByTemplate, mappings_of, tables_of
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def statements(queries: DataFrame, sql: str = "sql") -> DataFrame:
-    """Add ``target_table`` and ``source_tables`` (in order, without repeats) to query rows."""
-    text = F.col("_text")
-    target = F.regexp_extract(text, TARGET, 1)
-    return (
-        _plain(queries, sql)
-        .withColumns(
-            {
-                "target_table": F.when(target != "", target),
-                "source_tables": F.array_distinct(F.transform(_sources(text), lambda s: s["name"])),
-            }
-        )
-        .drop("_text")
-    )
+_TABLES = T.StructType().add("target_table", "string").add("source_tables", T.ArrayType(T.StringType()))
+_MAPPINGS = T.StructType().add("position", "integer")
+for _name in ("target_column", "source_table", "source_column", "expression"):
+    _MAPPINGS.add(_name, "string")
 
 
-def _split_list(body: Column) -> Column:
-    """Parts of a select list, cut at commas outside parentheses."""
+def _read(queries: DataFrame, sql: str, found: T.StructType, rows_of: Callable[[str], list[tuple]]) -> DataFrame:
+    """``queries`` with the columns of ``found``, one row for each tuple that a statement gives."""
+    added = set(found.names)
+    plain = queries.select(*(c for c in queries.columns if c not in added))
+    kinds = [pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else pa.int32() if f.dataType == T.IntegerType() else pa.string() for f in found.fields]
+    names = found.names
 
-    def step(acc: Column, part: Column) -> Column:
-        text = F.when(acc["rest"].isNull(), part).otherwise(F.concat_ws(",", acc["rest"], part))
-        opened = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
-        closed = F.length(text) - F.length(F.replace(text, F.lit(")"), F.lit("")))
-        whole = opened <= closed
-        return F.struct(
-            F.when(whole, F.array_append(acc["done"], text)).otherwise(acc["done"]).alias("done"),
-            F.when(~whole, text).alias("rest"),
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = ByTemplate(rows_of)
+        for batch in batches:
+            own = [read(text or "") for text in batch.column(sql).to_pylist()]
+            at = pa.array(chain.from_iterable([k] * len(rows) for k, rows in enumerate(own)), pa.int64())
+            columns = list(zip(*chain.from_iterable(own), strict=True)) or [()] * len(names)
+            kept = batch.take(at)
+            yield pa.record_batch(
+                [*kept.columns, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=[*batch.schema.names, *names]
+            )
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("rest")
-    )
-    return F.aggregate(
-        F.split(body, ","),
-        start,
-        step,
-        lambda acc: F.when(acc["rest"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["rest"])),
-    )
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *found.fields]))
 
 
-def _named(expression: Column) -> Column:
-    """Distinct structs (qualifier, column) of an expression: qualified columns, then bare ones with no qualifier."""
-    qualified = F.arrays_zip(
-        F.regexp_extract_all(expression, F.lit(QUALIFIED), 1).alias("qualifier"),
-        F.regexp_extract_all(expression, F.lit(QUALIFIED), 2).alias("column"),
-    )
-    bare = F.filter(F.regexp_extract_all(expression, F.lit(BARE), 1), lambda w: ~F.lower(w).isin(*WORDS))
-    no_table = F.lit(None).cast("string").alias("qualifier")
-    return F.array_distinct(F.concat(qualified, F.transform(bare, lambda w: F.struct(no_table, w.alias("column")))))
+def statements(queries: DataFrame, sql: str = "sql") -> DataFrame:
+    """Add ``target_table`` and ``source_tables`` (in order, without repeats) to query rows."""
+    return _read(queries, sql, _TABLES, lambda text: [tables_of(text)])
 
 
 def column_mappings(queries: DataFrame, sql: str = "sql") -> DataFrame:
     """One row per selected column and column it is made of: input columns plus (position, target_column,
     source_table, source_column, expression).
 
-    Table aliases are replaced by their tables. ``*`` is left out; a source without a qualifier has no
-    table, and an expression of no column has no source.
+    Aliases are replaced by their tables, columns of CTEs and subqueries by the columns behind them; branches of a set
+    operation share the positions and names of the first. ``*`` is left out; a source without a qualifier has no table,
+    unless it is in a CTE or subquery over one table; and an expression of no column has no source.
     """
-    text = F.col("_text")
-    parts = F.filter(
-        F.transform(_split_list(F.regexp_extract(text, SELECT_LIST, 1)), lambda p: F.trim(p)), lambda p: (p != "") & ~p.endswith("*")
-    )
-    items = _plain(queries, sql).select(
-        *queries.columns, _sources(text).alias("_tables"), F.posexplode(parts).alias("position", "_part")
-    )
-    part = F.col("_part")
-    body = F.when(part.rlike(ALIASED), F.regexp_extract(part, ALIASED, 1)).when(
-        part.rlike(RENAMED), F.regexp_extract(part, RENAMED, 1)
-    ).otherwise(part)
-    items = items.withColumn("_body", body)
-    items = items.withColumn("_from", F.explode_outer(_named(F.col("_body"))))
-    target = F.when(part.rlike(ALIASED), F.regexp_extract(part, ALIASED, 2)).when(
-        part.rlike(RENAMED), F.regexp_extract(part, RENAMED, 2)
-    ).when(part.rlike(f"^{NAME}$"), F.element_at(F.split(part, r"\."), -1)).otherwise(part)
-    qualifier = F.col("_from.qualifier")
-    real = F.get(F.filter("_tables", lambda t: F.lower(t["alias"]) == F.lower(qualifier)), F.lit(0))["name"]
-    return items.select(
-        *queries.columns,
-        "position",
-        target.alias("target_column"),
-        F.coalesce(real, qualifier).alias("source_table"),
-        F.col("_from.column").alias("source_column"),
-        part.alias("expression"),
-    )
+    return _read(queries, sql, _MAPPINGS, mappings_of)
 
 
 def edges(queries: DataFrame, sql: str = "sql") -> DataFrame:
@@ -148,20 +74,17 @@ def edges(queries: DataFrame, sql: str = "sql") -> DataFrame:
 
 def column_edges(queries: DataFrame, sql: str = "sql") -> DataFrame:
     """Distinct rows (target_table, target_column, source_table, source_column, transformation)."""
-    parsed = column_mappings(statements(queries, sql), sql)
+    found = T.StructType([_TABLES[0], *_MAPPINGS.fields[1:]])
+    parsed = _read(queries.select(sql), sql, found, lambda text: [(tables_of(text)[0], *row[1:]) for row in mappings_of(text)])
     return (
         parsed.where("target_table IS NOT NULL AND source_table IS NOT NULL")
-        .select(
-            "target_table", "target_column", "source_table", "source_column",
-            F.col("expression").alias("transformation"),
-        )
+        .select("target_table", "target_column", "source_table", "source_column", F.col("expression").alias("transformation"))
         .distinct()
     )
 
 
-def neighbours(queries: DataFrame, sql: str = "sql") -> DataFrame:
-    """Distinct rows (table, direction, neighbour); a table without any has one row with nulls."""
-    parsed = statements(queries, sql)
+def _links(queries: DataFrame, sql: str) -> DataFrame:
+    """Distinct rows (table, direction, neighbour): both directions of every edge, and every table on its own with nulls."""
     target, none = F.col("target_table"), F.lit(None).cast("string")
 
     def link(table: Column, direction: Column, neighbour: Column) -> Column:
@@ -169,16 +92,20 @@ def neighbours(queries: DataFrame, sql: str = "sql") -> DataFrame:
 
     up, down = F.lit("upstream"), F.lit("downstream")
     known = target.isNotNull()
-    # Both directions of every edge, and every table on its own, from one parse.
     rows = F.concat(
         F.transform("source_tables", lambda s: link(s, F.when(known, down), target)),
         F.transform("source_tables", lambda s: link(target, F.when(known, up), F.when(known, s))),
         F.array(link(target, none, none)),
     )
-    seen = parsed.select(F.inline(rows)).where("table IS NOT NULL").distinct()
+    return statements(queries, sql).select(F.inline(rows)).where("table IS NOT NULL").distinct()
+
+
+def neighbours(queries: DataFrame, sql: str = "sql") -> DataFrame:
+    """Distinct rows (table, direction, neighbour); a table without any has one row with nulls."""
+    seen = _links(queries, sql)
     linked = seen.where("direction IS NOT NULL")
-    lonely = seen.where("direction IS NULL").join(linked.select("table").distinct(), "table", "left_anti")
-    return linked.unionByName(lonely)
+    lonely = seen.groupBy("table").agg(F.max("direction").alias("direction"), F.lit(None).cast("string").alias("neighbour"))
+    return linked.unionByName(lonely.where("direction IS NULL"))
 
 
 def table_lineage(queries: DataFrame, sql: str = "sql") -> DataFrame:
@@ -186,7 +113,7 @@ def table_lineage(queries: DataFrame, sql: str = "sql") -> DataFrame:
 
     A table with very many neighbours makes a long list; ``neighbours`` gives the same as rows.
     """
-    rows = neighbours(queries, sql)
+    rows = _links(queries, sql)
     of = lambda direction: F.sort_array(
         F.collect_list(F.when(F.col("direction") == direction, F.col("neighbour")))
     )

@@ -1,9 +1,7 @@
 import json
 
-
-
 from tablewatch.plans import expectations as E
-from tablewatch.plans.importers import airflow, dbt, expectation_suites, sql_lineage
+from tablewatch.plans.importers import airflow, dbt, expectation_suites, sql_lineage, statement_scopes
 from tablewatch.plans.suite import run_suite
 
 
@@ -19,7 +17,16 @@ def test_statements(spark):
         "MERGE INTO out.m t USING in.news AS n ON t.k = n.k WHEN MATCHED THEN UPDATE SET v = n.v": ("out.m", ["in.news"]),
         "CREATE OR REPLACE VIEW out.v AS SELECT * FROM `in`.`q`": ("out.v", ["in.q"]),
         "CREATE TABLE IF NOT EXISTS t -- from nowhere\n AS /* join hidden */ SELECT * FROM s WHERE c <> 'from dual'": ("t", ["s"]),
-        "WITH c AS (SELECT k FROM base) INSERT INTO t SELECT k FROM c": ("t", ["base", "c"]),
+        "WITH c AS (SELECT k FROM base), d AS (SELECT * FROM C) INSERT INTO t SELECT k FROM d": ("t", ["base"]),
+        "SELECT EXTRACT(year FROM ts), trim(BOTH 'x' FROM n) FROM logs": (None, ["logs"]),
+        "SELECT a.k IS DISTINCT FROM a.j FROM logs a": (None, ["logs"]),
+        "SELECT * FROM `my tab` m JOIN \"Other `Tab\" USING (k)": (None, ["my tab", "Other `Tab"]),
+        "CREATE TABLE t USING parquet AS (SELECT x.a FROM (SELECT a FROM deep) x, (one o JOIN two ON o.a = two.a))": ("t", ["deep", "one", "two"]),
+        "INSERT INTO t SELECT x FROM range(10) r LATERAL VIEW explode(r.xs) e AS x WHERE x IN (SELECT k FROM known)": ("t", ["known"]),
+        "WITH RECURSIVE r AS (SELECT id FROM tree UNION ALL SELECT t.id FROM tree t JOIN r ON t.up = r.id) SELECT id FROM r": (None, ["tree"]),
+        "MERGE INTO m USING (SELECT k FROM fresh) f ON m.k = f.k WHEN NOT MATCHED THEN INSERT (k) VALUES (f.k)": ("m", ["fresh"]),
+        "DROP TABLE old; INSERT INTO new SELECT a FROM b": ("new", ["b"]),
+        "SELECT a FROM": (None, []), "WITH": (None, []), "SELECT ((": (None, []), "": (None, []), "CREATE": (None, []), "'open": (None, []),
         "SELECT 1": (None, []),
     }
     got = sql_lineage.statements(texts(spark, *cases)).orderBy("id").collect()
@@ -27,16 +34,40 @@ def test_statements(spark):
 
 
 def test_column_mappings(spark):
-    sql = (
-        "CREATE TABLE d AS SELECT p.k, q.v AS renamed, p.x + q.y AS both, COALESCE(p.a, p.b) AS mix, SUM(size) AS total, "
-        "f(g(h, i), p.j) AS called, 1 AS one, p.z zed FROM s1 p JOIN s2 AS q ON p.k = q.k"
-    )
-    got = sql_lineage.column_mappings(texts(spark, sql, "CREATE TABLE t AS SELECT * FROM s")).collect()
-    assert sorted((r["position"], r["target_column"], r["source_table"] or "", r["source_column"] or "") for r in got) == [
-        (0, "k", "s1", "k"), (1, "renamed", "s2", "v"), (2, "both", "s1", "x"), (2, "both", "s2", "y"), (3, "mix", "s1", "a"),
-        (3, "mix", "s1", "b"), (4, "total", "", "size"), (5, "called", "", "h"), (5, "called", "", "i"), (5, "called", "s1", "j"),
-        (6, "one", "", ""), (7, "zed", "s1", "z"),
-    ]
+    cases = {
+        "INSERT INTO wine SELECT upper(v.grape), v.year, 12 bottles, *, v.* FROM cellar.vat v": [
+            (0, "upper(v.grape)", "cellar.vat", "grape"), (1, "year", "cellar.vat", "year"), (2, "bottles", None, None)],
+        "SELECT least(n.low, m.high) edge, day, -m.depth FROM north n, south m": [
+            (0, "edge", "north", "low"), (0, "edge", "south", "high"), (1, "day", None, "day"), (2, "-m.depth", "south", "depth")],
+        "SELECT CAST(q.z AS DECIMAL(9, 2)) AS z, date '2024-01-01' + INTERVAL 3 day AS due, q.w::int w, lag(q.p) OVER (PARTITION BY q.o ORDER BY r) FROM q": [
+            (0, "z", "q", "z"), (1, "due", None, None), (2, "w", "q", "w"), (3, "lag(q.p) OVER (PARTITION BY q.o ORDER BY r)", "q", "p"),
+            (3, "lag(q.p) OVER (PARTITION BY q.o ORDER BY r)", "q", "o"), (3, "lag(q.p) OVER (PARTITION BY q.o ORDER BY r)", None, "r")],
+        "WITH c AS (SELECT k, a + b AS ab FROM base), d AS (SELECT c.ab, c.k FROM c) SELECT d.ab, d.k AS id FROM d": [
+            (0, "ab", "base", "a"), (0, "ab", "base", "b"), (1, "id", "base", "k")],
+        "SELECT s.x, s.gone FROM (SELECT * FROM deep) s": [(0, "x", "deep", "x"), (1, "gone", "deep", "gone")],
+        "SELECT t.u AS v FROM t UNION SELECT w.x FROM w": [(0, "v", "t", "u"), (0, "v", "w", "x")],
+        "SELECT (SELECT max(i.n) FROM inner_t i WHERE i.k = o.k) AS top, o.k IS DISTINCT FROM o.j FROM outer_t o": [
+            (0, "top", "inner_t", "n"), (1, "o.k IS DISTINCT FROM o.j", "outer_t", "k"), (1, "o.k IS DISTINCT FROM o.j", "outer_t", "j")],
+        "WITH RECURSIVE r AS (SELECT id FROM tree UNION ALL SELECT r.id FROM r) SELECT r.id FROM r": [(0, "id", "tree", "id")],
+        "SELECT 'a, b FROM c' AS words, CASE WHEN f.on_sale THEN 'x' END sale FROM f": [(0, "words", None, None), (1, "sale", "f", "on_sale")],
+        "CREATE TABLE t AS SELECT * FROM s": [], "SELECT ,": [], "nothing": [],
+    }
+    rows = sql_lineage.column_mappings(texts(spark, *cases, None)).collect()
+    for k, (sql, want) in enumerate(cases.items()):
+        got = [(r["position"], r["target_column"], r["source_table"], r["source_column"]) for r in rows if r["id"] == k]
+        assert sorted(got, key=str) == sorted(want, key=str), sql
+    assert {r["expression"] for r in rows if r["id"] == 8} == {"'a, b FROM c' AS words", "CASE WHEN f.on_sale THEN 'x' END sale"}
+
+
+def test_statements_that_differ_in_numbers_are_read_once():
+    read = []
+    own = statement_scopes.ByTemplate(lambda sql: read.append(sql) or statement_scopes.mappings_of(sql))
+    for a, b in ((1, 2), (30, 4), (5, 5), (6, 6), (1, 20)):
+        sql = f"INSERT INTO t_{a} SELECT x{b}.c_{a} AS d{b}, 7.9 + x{b}.e{a}{b} FROM s_{b}_{a} x{b} WHERE k = {a}"
+        assert own(sql) == statement_scopes.mappings_of(sql)
+    assert len(read) == 2  # two different numbers, or the same one twice
+    for sql in ("SELECT 1 a" + "".join(f", c{k} d" for k in range(60)), "SELECT \U0001d7ce1 FROM t2"):
+        assert own(sql) == statement_scopes.mappings_of(sql)
 
 
 def test_table_lineage(spark):

@@ -16,15 +16,15 @@ UNION = "\nUNION ALL\n"
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One statement per order, in ten shapes."""
+    """One statement per order, in sixteen shapes."""
     k = F.col("o_orderkey")
     mart = F.concat(F.lit("mart.c_"), F.col("o_custkey").cast("string"))
     raw = F.concat(F.lit("raw.orders_"), F.lower("o_orderstatus"))
     users = F.concat(F.lit("raw.users_"), F.substring("o_orderpriority", 1, 1))
     shapes = (
         "CREATE TABLE %1$s AS\n  SELECT b.key, b.price, who.label AS buyer\nFROM %2$s b JOIN %3$s who ON b.buyer = who.key",
-        "INSERT INTO %1$s SELECT week, SUM(price) as total, COALESCE(s.x, s.y) AS mix FROM %2$s AS s WHERE s.n > %4$d GROUP BY week",
-        "create or replace view %1$s as select p.c1, p.c2 + q.c3 AS both, c4 AS plain from %2$s p left join %3$s as q on p.k = q.k",
+        "INSERT INTO %1$s (shelf, worth) SELECT shelf, stock.left * stock.cost worth FROM %2$s stock WHERE stock.left < %4$d",
+        "create or replace view %1$s as select upper(g.town) town, datediff(g.until, h.since) as days_open, kind from %3$s h right join %2$s as g on h.no = g.no",
         "CREATE TEMP TABLE %1$s AS SELECT * FROM %2$s;",
         "SELECT z.key AS k FROM %1$s z JOIN %2$s ON 1 = 1",
         "WITH w AS (SELECT key FROM %2$s) INSERT INTO %1$s SELECT w.key FROM w",
@@ -32,16 +32,26 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "MERGE INTO %1$s t USING %2$s AS d ON t.k = d.k WHEN MATCHED THEN UPDATE SET t.v = d.v",
         "CREATE VIEW IF NOT EXISTS `%1$s` AS /* join hidden */ SELECT COUNT(*) AS rows_seen, MAX(h.at) newest FROM `%2$s` h",
         "insert into table %1$s select distinct case when u.ok then u.a else 0 end as picked, 1 as one from %2$s u",
+        "CREATE TABLE %1$s USING parquet AS SELECT EXTRACT(year FROM at) AS y, a.i IS DISTINCT FROM a.j AS moved, a.k + 1 plus FROM %2$s a",
+        "WITH c AS (SELECT k, v * 2 AS w FROM %2$s) INSERT INTO %1$s SELECT c.k, c.w + o.x AS sum FROM c JOIN %3$s o ON o.k = c.k",
+        "INSERT INTO %1$s SELECT s.top, concat(s.name, ', from ', e.town) label FROM (SELECT max(v) AS top, n AS name FROM %2$s GROUP BY n) s, %3$s e",
+        "SELECT `a b`.c FROM `my tab` `a b` WHERE EXISTS (SELECT 1 FROM %2$s z WHERE z.c = `a b`.c)",
+        "CREATE VIEW %1$s AS SELECT t.u FROM %2$s t UNION ALL SELECT r.v FROM %3$s r",
+        "INSERT INTO %1$s SELECT (SELECT max(q.m) FROM %3$s q) AS most, d FROM %2$s",
     )
-    text = F.element_at(F.array(*(F.format_string(s.replace("%4$d", "%4$s"), mart, raw, users, k) for s in shapes)), (k % 10 + 1).cast("int"))
+    written = [F.format_string(s.replace("%4$d", "%4$s"), mart, raw, users, k) for s in shapes]
+    text = F.when(k % 16 == 0, written[0])
+    for shape, one in enumerate(written[1:], start=1):
+        text = text.when(k % 16 == shape, one)
     return table(spark, sf_dir, "orders").select(k.alias("query_id"), text.alias("sql"))
 
 
-_LOG = """log AS (SELECT o_orderkey AS query_id, o_orderkey % 10 AS shape, 'mart.c_' || o_custkey AS mart,
+_LOG = """log AS (SELECT o_orderkey AS query_id, o_orderkey % 16 AS shape, 'mart.c_' || o_custkey AS mart,
   'raw.orders_' || lower(o_orderstatus) AS raw, 'raw.users_' || substr(o_orderpriority, 1, 1) AS users FROM orders)"""
 
 # Sources of a statement, in order.
-_SOURCES = """CASE WHEN shape IN (0, 2, 6) THEN [raw, users] WHEN shape = 4 THEN [mart, raw] WHEN shape = 5 THEN [raw, 'w'] ELSE [raw] END"""
+_SOURCES = """CASE WHEN shape IN (0, 6, 11, 12, 14) THEN [raw, users] WHEN shape IN (2, 15) THEN [users, raw] WHEN shape = 4 THEN [mart, raw]
+  WHEN shape = 13 THEN ['my tab', raw] ELSE [raw] END"""
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +62,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TABLES_SQL = f"""
 WITH {_LOG}
-SELECT query_id, CASE WHEN shape <> 4 THEN mart END AS target_table,
+SELECT query_id, CASE WHEN shape NOT IN (4, 13) THEN mart END AS target_table,
   array_to_string({_SOURCES}, ',') AS source_tables FROM log"""
 
 
@@ -65,20 +75,27 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLUMNS_SQL = f"""
 WITH {_LOG}
 SELECT query_id, CAST(p AS INTEGER) AS position, c AS target_column,
-  CASE t WHEN 'raw' THEN raw WHEN 'users' THEN users WHEN 'mart' THEN mart WHEN 'w' THEN 'w' END AS source_table,
-  s AS source_column, e AS expression
+  CASE t WHEN 'raw' THEN raw WHEN 'users' THEN users WHEN 'mart' THEN mart WHEN 'my' THEN 'my tab' END AS source_table,
+  s AS source_column, replace(e, '$', users) AS expression
 FROM log JOIN (VALUES
   (0, 0, 'key', 'raw', 'key', 'b.key'), (0, 1, 'price', 'raw', 'price', 'b.price'), (0, 2, 'buyer', 'users', 'label', 'who.label AS buyer'),
-  (1, 0, 'week', NULL, 'week', 'week'), (1, 1, 'total', NULL, 'price', 'SUM(price) as total'),
-  (1, 2, 'mix', 'raw', 'x', 'COALESCE(s.x, s.y) AS mix'), (1, 2, 'mix', 'raw', 'y', 'COALESCE(s.x, s.y) AS mix'),
-  (2, 0, 'c1', 'raw', 'c1', 'p.c1'), (2, 1, 'both', 'raw', 'c2', 'p.c2 + q.c3 AS both'), (2, 1, 'both', 'users', 'c3', 'p.c2 + q.c3 AS both'),
-  (2, 2, 'plain', NULL, 'c4', 'c4 AS plain'),
+  (1, 0, 'shelf', NULL, 'shelf', 'shelf'), (1, 1, 'worth', 'raw', 'left', 'stock.left * stock.cost worth'),
+  (1, 1, 'worth', 'raw', 'cost', 'stock.left * stock.cost worth'),
+  (2, 0, 'town', 'raw', 'town', 'upper(g.town) town'), (2, 1, 'days_open', 'raw', 'until', 'datediff(g.until, h.since) as days_open'),
+  (2, 1, 'days_open', 'users', 'since', 'datediff(g.until, h.since) as days_open'), (2, 2, 'kind', NULL, 'kind', 'kind'),
   (4, 0, 'k', 'mart', 'key', 'z.key AS k'),
-  (5, 0, 'key', NULL, 'key', 'key'),
+  (5, 0, 'key', 'raw', 'key', 'w.key'),
   (6, 0, 'm', 'raw', 'm', 'l.m'), (6, 1, 'n', 'users', 'n', 'r.n'),
   (8, 0, 'rows_seen', NULL, NULL, 'COUNT(*) AS rows_seen'), (8, 1, 'newest', 'raw', 'at', 'MAX(h.at) newest'),
   (9, 0, 'picked', 'raw', 'ok', 'case when u.ok then u.a else 0 end as picked'), (9, 0, 'picked', 'raw', 'a', 'case when u.ok then u.a else 0 end as picked'),
-  (9, 1, 'one', NULL, NULL, '1 as one')) v(sh, p, c, t, s, e) ON sh = shape"""
+  (9, 1, 'one', NULL, NULL, '1 as one'),
+  (10, 0, 'y', NULL, 'at', 'EXTRACT(year FROM at) AS y'), (10, 1, 'moved', 'raw', 'i', 'a.i IS DISTINCT FROM a.j AS moved'),
+  (10, 1, 'moved', 'raw', 'j', 'a.i IS DISTINCT FROM a.j AS moved'), (10, 2, 'plus', 'raw', 'k', 'a.k + 1 plus'),
+  (11, 0, 'k', 'raw', 'k', 'c.k'), (11, 1, 'sum', 'raw', 'v', 'c.w + o.x AS sum'), (11, 1, 'sum', 'users', 'x', 'c.w + o.x AS sum'),
+  (12, 0, 'top', 'raw', 'v', 's.top'), (12, 1, 'label', 'raw', 'n', 'concat(s.name, '', from '', e.town) label'),
+  (12, 1, 'label', 'users', 'town', 'concat(s.name, '', from '', e.town) label'),
+  (13, 0, 'c', 'my', 'c', '`a b`.c'), (14, 0, 'u', 'raw', 'u', 't.u'), (14, 0, 'u', 'users', 'v', 'r.v'),
+  (15, 0, 'most', 'users', 'm', '(SELECT max(q.m) FROM $ q) AS most'), (15, 1, 'd', NULL, 'd', 'd')) v(sh, p, c, t, s, e) ON sh = shape"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +105,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAPH_SQL = f"""
-WITH {_LOG}, parsed AS (SELECT CASE WHEN shape <> 4 THEN mart END AS target, {_SOURCES} AS sources FROM log),
+WITH {_LOG}, parsed AS (SELECT CASE WHEN shape NOT IN (4, 13) THEN mart END AS target, {_SOURCES} AS sources FROM log),
 link AS (SELECT DISTINCT target, unnest(sources) AS source FROM parsed WHERE target IS NOT NULL),
 seen AS (SELECT target AS t FROM parsed WHERE target IS NOT NULL UNION SELECT unnest(sources) FROM parsed)
 SELECT t AS table,
@@ -104,7 +121,7 @@ def _column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLUMN_EDGES_SQL = f"""
 SELECT DISTINCT mart AS target_table, target_column, source_table, source_column, expression AS transformation
 FROM ({_COLUMNS_SQL}) c JOIN (SELECT o_orderkey, 'mart.c_' || o_custkey AS mart FROM orders) o ON o.o_orderkey = c.query_id
-WHERE source_table IS NOT NULL AND o_orderkey % 10 <> 4"""
+WHERE source_table IS NOT NULL AND o_orderkey % 16 NOT IN (4, 13)"""
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
