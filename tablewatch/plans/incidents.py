@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import instant, iso_utc
 from ..operators.local_rows import union_all
+from ..operators.prefix_max import greatest_so_far
 from ..results import INFO
+from .isolate import kept
 
 # Ship the de-duplication functions with their tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,7 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DEDUP_SECONDS = 300
 # Time chunks of this many windows are walked in parallel.
 CHUNK_WINDOWS = 12
-DAY_MICROS = 86_400_000_000
+# Chunks of a key that one task puts in order; longer histories take more levels.
+CHUNKS_PER_GROUP = 64
 # Rules without a monitor meet every message; this many are broadcast at a time.
 RULES_PER_BROADCAST = 1_000
 
@@ -59,28 +62,18 @@ def from_results(results: DataFrame) -> DataFrame:
     )
 
 
-def _day(c: Column) -> Column:
-    return F.floor(F.unix_micros(c) / F.lit(DAY_MICROS)).cast("bigint")
-
-
 def maintenance_hits(incidents: DataFrame, windows: DataFrame) -> DataFrame:
     """Distinct incident ids inside a maintenance window (monitor_id or null, starts_at, ends_at).
 
-    A range join without a nested loop: windows are laid out over the days they cover
-    (never outside the incidents' own days) and meet incidents on the day.
+    An incident is inside one exactly if, of the windows that have started by then, the one that lasts longest has not
+    ended: overlapping windows count as their union, and nothing is laid out over days or paired.
     """
-    at = incidents.select("incident_id", "monitor_id", "ts", _day(F.col("ts")).alias("_day"))
-    span = at.agg(F.struct(F.min("_day").alias("lo"), F.max("_day").alias("hi")).alias("s")).scalar()
-    first = F.greatest(_day(F.col("_from")), span["lo"])
-    last = F.least(_day(F.col("_to")), span["hi"])
-    days = windows.select(
-        F.col("monitor_id").alias("_for"), instant("starts_at").alias("_from"), instant("ends_at").alias("_to")
-    ).where(first <= last)
-    days = days.withColumn("_day", F.explode(F.sequence(first, last)))
-    same_day = (at["_day"] == days["_day"]) & F.col("ts").between(F.col("_from"), F.col("_to"))
-    named = at.join(days.where("_for IS NOT NULL"), same_day & (F.col("_for") == F.col("monitor_id")), "left_semi")
-    general = at.join(days.where("_for IS NULL"), same_day, "left_semi")
-    return named.select("incident_id").unionByName(general.select("incident_id")).distinct()
+    at = incidents.select("incident_id", "monitor_id", "ts")
+    spans = windows.select("monitor_id", instant("starts_at").alias("ts"), instant("ends_at").alias("_until"))
+    named = greatest_so_far(at, spans.where("monitor_id IS NOT NULL"), ["monitor_id"], "ts", "_until")
+    general = greatest_so_far(at, spans.where("monitor_id IS NULL").drop("monitor_id"), [], "ts", "_until")
+    inside = lambda hits: hits.where("ts <= _until").select("incident_id")
+    return inside(named).unionByName(inside(general)).distinct()
 
 
 def ignore_hits(incidents: DataFrame, rules: DataFrame) -> DataFrame:
@@ -119,59 +112,131 @@ def _walk(ts: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
         at = np.where(moving, ahead, at)
 
 
-def _kept_ids(key, ts, chunk, row_id, df: DataFrame, window: int) -> DataFrame:
-    """Rows (_id) of the kept events. See ``kept_rows``."""
+# A chunk's map says where it leaves off: entered when events may be kept from ``free`` on, its first kept event is at the
+# first of ``_bounds`` that is not before ``free``, and its last one at the same place of ``_exits``. Beyond the last bound
+# the chunk keeps nothing. Chunks last many windows, so an entry is less than a window past the start of the chunk.
+_MAP = "_key string, _chunk bigint, _bounds array<bigint>, _exits array<bigint>"
+_FREE = np.iinfo(np.int64).min
+
+
+def _short(bounds: np.ndarray, exits: np.ndarray) -> tuple[list[int], list[int]]:
+    """The last bound of each run of equal exits says as much as the run."""
+    last = np.append(exits[1:] != exits[:-1], True)
+    return bounds[last].tolist(), exits[last].tolist()
+
+
+def _left_at(bounds, exits, free: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Last kept times of a chunk entered at ``free``; ``otherwise`` where it keeps nothing."""
+    at = np.searchsorted(bounds, free, side="left")
+    inside = at < len(bounds)
+    return np.where(inside, np.asarray(exits)[np.minimum(at, len(bounds) - 1)], otherwise)
+
 
+def _chunk_maps(events: DataFrame, window: int) -> DataFrame:
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Where the chunk ends up for each moment from which events may be kept again.
         times = np.sort(pdf["_ts"].to_numpy())
-        limit = (int(pdf["_chunk"].iloc[0])) * window * CHUNK_WINDOWS + window
+        chunk = int(pdf["_chunk"].iloc[0])
+        limit = chunk * window * CHUNK_WINDOWS + window
         candidates = np.arange(min(len(times), int(np.searchsorted(times, limit, side="left")) + 1))
-        exits = times[_walk(times, candidates, window)]
-        last = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame(
-            {
-                "_key": [pdf["_key"].iloc[0]],
-                "_chunk": [pdf["_chunk"].iloc[0]],
-                "_bounds": [times[candidates][last].tolist()],
-                "_exits": [exits[last].tolist()],
-            }
-        )
+        bounds, exits = _short(times[candidates], times[_walk(times, candidates, window)])
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]], "_chunk": [chunk], "_bounds": [bounds], "_exits": [exits]})
+
+    return events.groupBy("_key", "_chunk").applyInPandas(transfer, _MAP)
+
+
+def _composed(maps: DataFrame, level: int, window: int, first: int = 0) -> DataFrame:
+    """Maps of groups of ``CHUNKS_PER_GROUP`` neighbours of a level, numbered as chunks of the level above.
+
+    Chunks are counted from ``first`` on.
+    """
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Chunks of one key in order of time: one short row each.
         pdf = pdf.sort_values("_chunk")
-        free, entries = np.iinfo(np.int64).min, []
+        above = int(pdf["_chunk"].iloc[0]) // CHUNKS_PER_GROUP
+        # no entry of the group lies beyond this, so bounds after the first one past it are never asked for
+        limit = (first + above * CHUNKS_PER_GROUP ** (level + 1)) * window * CHUNK_WINDOWS + window
+        bounds, exits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for own_bounds, own_exits in zip(pdf["_bounds"], pdf["_exits"], strict=True):
+            own_bounds, own_exits = np.asarray(own_bounds), np.asarray(own_exits)
+            exits = _left_at(own_bounds, own_exits, exits + window, exits)
+            if not len(bounds) or bounds[-1] < limit:
+                fresh = slice(0, int(np.searchsorted(own_bounds, limit, side="left")) + 1)
+                bounds, exits = np.append(bounds, own_bounds[fresh]), np.append(exits, own_exits[fresh])
+        bounds, exits = _short(bounds, exits)
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]], "_chunk": [above], "_bounds": [bounds], "_exits": [exits]})
+
+    group = F.floor(F.col("_chunk") / CHUNKS_PER_GROUP)
+    return maps.groupBy("_key", group).applyInPandas(compose, _MAP)
+
+
+def _entries(maps: DataFrame, above: DataFrame, window: int) -> DataFrame:
+    """Rows (_key, _chunk, _free) of a level from those of the level above."""
+
+    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        free, out = int(pdf["_free"].iloc[0]), []
         for bounds, exits in zip(pdf["_bounds"], pdf["_exits"], strict=True):
-            entries.append(free)
+            out.append(free)
             i = int(np.searchsorted(np.asarray(bounds), free, side="left"))
             if i < len(bounds):
                 free = int(exits[i]) + window
-        return pd.DataFrame({"_key": pdf["_key"], "_chunk": pdf["_chunk"], "_free": entries})
+        return pd.DataFrame({"_key": pdf["_key"], "_chunk": pdf["_chunk"], "_free": out})
+
+    group = F.floor(F.col("_chunk") / CHUNKS_PER_GROUP)
+    same = maps["_key"].eqNullSafe(above["_above"]) & (group == above["_group"])
+    return maps.join(above, same).groupBy("_key", "_group").applyInPandas(descend, "_key string, _chunk bigint, _free bigint")
+
+
+def _chunk_entries(maps: DataFrame, window: int, start: DataFrame | None) -> DataFrame:
+    """From when each chunk may keep events: up the levels by composition, down again with the entries.
+
+    A level puts ``CHUNKS_PER_GROUP`` maps of a key together, so no task sees more of a key than that many short lists,
+    however long the key's history is. ``start`` (_key, _free) has the entries of keys with a past.
+    """
+    own = kept(maps, "chunks")
+    first, last = own.agg(F.min("_chunk"), F.max("_chunk")).first()
+    first, span = first or 0, (last or 0) - (first or 0)
+    levels = [own.withColumn("_chunk", F.col("_chunk") - first)]
+    while span := span // CHUNKS_PER_GROUP:
+        levels.append(kept(_composed(levels[-1], len(levels) - 1, window, first), "chunks"))
+    group = F.floor(F.col("_chunk") / CHUNKS_PER_GROUP)
+    top = levels[-1].select("_key", group.alias("_group")).distinct()
+    if start is None:
+        entries = top.select(F.col("_key").alias("_above"), "_group", F.lit(_FREE).alias("_free"))
+    else:
+        past = start.select(F.col("_key").alias("_above"), F.col("_free").alias("_past"))
+        entries = top.join(past, top["_key"].eqNullSafe(past["_above"]), "left").select(
+            F.col("_key").alias("_above"), "_group", F.coalesce("_past", F.lit(_FREE)).alias("_free")
+        )
+    for level in reversed(levels):
+        found = _entries(level, entries, window)
+        entries = found.select(F.col("_key").alias("_above"), F.col("_chunk").alias("_group"), "_free")
+    return found.withColumn("_chunk", F.col("_chunk") + first)
+
+
+def _kept_ids(key, ts, chunk, row_id, df: DataFrame, window: int, start: DataFrame | None = None) -> DataFrame:
+    """Rows (_key, _ts, _id) of the kept events. See ``kept_rows``."""
 
     def keep(events: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         events = events.sort_values("_ts")
-        times, free, kept = events["_ts"].to_numpy(), int(entry["_free"].iloc[0]), []
+        times, free, found = events["_ts"].to_numpy(), int(entry["_free"].iloc[0]), []
         i = int(np.searchsorted(times, free, side="left"))
         while i < len(times):
-            kept.append(i)
+            found.append(i)
             i = int(np.searchsorted(times, times[i] + window, side="left"))
-        return pd.DataFrame({"_id": events["_id"].to_numpy()[kept]})
+        return events.iloc[found][["_key", "_ts", "_id"]]
 
     events = (
         df.select(key.alias("_key"), ts.alias("_ts"), chunk.alias("_chunk"), row_id.alias("_id"))
         .groupBy("_key", "_chunk", "_ts")
         .agg(F.min("_id").alias("_id"))
     )
-    maps = events.groupBy("_key", "_chunk").applyInPandas(
-        transfer, "_key string, _chunk bigint, _bounds array<bigint>, _exits array<bigint>"
-    )
-    entries = maps.groupBy("_key").applyInPandas(compose, "_key string, _chunk bigint, _free bigint")
+    entries = _chunk_entries(_chunk_maps(events, window), window, start)
     id_type = events.schema["_id"].dataType.simpleString()
     return (
         events.groupBy("_key", "_chunk")
         .cogroup(entries.groupBy("_key", "_chunk"))
-        .applyInPandas(keep, f"_id {id_type}")
+        .applyInPandas(keep, f"_key string, _ts bigint, _id {id_type}")
     )
 
 
@@ -181,22 +246,27 @@ def kept_rows(
     ts: str = "ts",
     row_id: str = "incident_id",
     window_seconds: int = DEDUP_SECONDS,
+    last_kept: DataFrame | None = None,
 ) -> DataFrame:
-    """Ids of the rows that follow the last *kept* row of their key by the window or more.
+    """Rows (``row_id``, ``kept_key``, ``kept_micros``) that follow the last *kept* row of their key by the window or more.
 
     Keeping is a chain (a kept row starts a new window, a dropped one does not), yet no
     key is ever walked in one place. Time is cut into chunks. Each chunk first tells, for
     every moment its predecessor could leave it in, what its own last kept row would be;
-    chains merge quickly, so this is a handful of numbers. Putting the chunks of a key in
-    order then needs one short row per chunk, and the kept rows follow per chunk.
+    there are at most as many as events in one window. Neighbouring chunks are composed in
+    levels, at most CHUNKS_PER_GROUP in a task, the entries come down again, and the kept rows
+    follow per chunk. ``last_kept`` (``kept_key``, ``kept_micros``) goes on from earlier rows: those before
+    it, out of order, are not kept.
     """
     micros = window_seconds * 1_000_000
     at = F.unix_micros(instant(ts))
     chunk = F.floor(at / F.lit(micros * CHUNK_WINDOWS)).cast("bigint")
     timed = df.where(at.isNotNull())
-    return _kept_ids(F.col(key).cast("string"), at, chunk, F.col(row_id), timed, micros).select(
-        F.col("_id").alias(row_id)
-    )
+    start = None
+    if last_kept is not None:
+        start = last_kept.select(F.col("kept_key").alias("_key"), (F.col("kept_micros") + micros).alias("_free"))
+    found = _kept_ids(F.col(key).cast("string"), at, chunk, F.col(row_id), timed, micros, start)
+    return found.select(F.col("_id").alias(row_id), F.col("_key").alias("kept_key"), F.col("_ts").alias("kept_micros"))
 
 
 def mark_duplicates(
@@ -205,14 +275,15 @@ def mark_duplicates(
     ts: str = "ts",
     row_id: str = "incident_id",
     window_seconds: int = DEDUP_SECONDS,
+    last_kept: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``duplicate``: the row follows the last *kept* row of its key by less than the window.
 
     A row without a time is never a duplicate.
     """
-    kept = kept_rows(df, key, ts, row_id, window_seconds).withColumn("_kept", F.lit(True))
+    found = kept_rows(df, key, ts, row_id, window_seconds, last_kept).select(row_id, F.lit(True).alias("_kept"))
     return (
-        df.join(kept, row_id, "left")
+        df.join(found, row_id, "left")
         .withColumn("duplicate", F.col("_kept").isNull() & F.col(key).isNotNull() & instant(ts).isNotNull())
         .drop("_kept")
     )
@@ -250,10 +321,10 @@ def register(
         out = tag(out, ignore_hits(out, ignore_rules), "IGNORED")
     if dedup_seconds is not None:
         # Tags do not matter for keeping, so only the untagged columns are walked.
-        kept = kept_rows(base, window_seconds=dedup_seconds).withColumn("_kept", F.lit(True))
+        found = kept_rows(base, window_seconds=dedup_seconds).select("incident_id", F.lit(True).alias("_kept"))
         again = F.col("_kept").isNull()
         out = (
-            out.join(kept, "incident_id", "left")
+            out.join(found, "incident_id", "left")
             .withColumns(
                 {
                     "severity": F.when(again, F.lit(INFO)).otherwise(F.col("severity")),

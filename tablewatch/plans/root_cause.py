@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio
 from ..functions.timing import instant, iso_utc
 from ..functions.text import say
+from ..operators.prefix_max import greatest_so_far
 from ..results import detail_double
 from ..sources.history import LATEST_DEFAULT, latest_n
 
@@ -103,32 +104,13 @@ def dimension_isolation(
 def recent_deployments(results: DataFrame, deployments: DataFrame, window_seconds: int) -> DataFrame:
     """Rows (monitor_id, ts, deployment, deployed_at): the newest deployment within the window.
 
-    An as-of match without pairing anything: time is cut into slots as long as the window.
-    In its own slot an alert takes the deployment before it in the slot's order; otherwise
-    the newest one of the slot before, if it is still within the window.
+    An as-of match without pairing anything: the newest deployment so far, by ranges of time.
     """
-    micros = window_seconds * 1_000_000
-    slot = lambda c: F.floor(F.unix_micros(c) / F.lit(micros)).cast("bigint")
-    shipped = deployments.select(F.struct(instant("deployed_at").alias("at"), "name").alias("d"))
-    shipped = shipped.withColumn("_slot", slot(F.col("d.at")))
-    alerts = results.select("monitor_id", "ts").distinct().withColumn("_slot", slot(F.col("ts")))
-    both = alerts.withColumn("d", F.lit(None).cast(shipped.schema["d"].dataType)).unionByName(
-        shipped.select(F.lit(None).cast("string").alias("monitor_id"), F.col("d.at").alias("ts"), "_slot", "d")
-    )
-    # Deployments come before alerts of the same instant.
-    so_far = (
-        Window.partitionBy("_slot")
-        .orderBy("ts", F.col("d").isNull(), "d")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    own = both.withColumn("own", F.last("d", ignorenulls=True).over(so_far)).where("d IS NULL")
-    earlier = shipped.groupBy((F.col("_slot") + 1).alias("_slot")).agg(F.max("d").alias("earlier"))
-    found = own.join(earlier, "_slot", "left")
-    in_reach = F.unix_micros("ts") - F.unix_micros("earlier.at") <= micros
-    best = F.coalesce("own", F.when(in_reach, F.col("earlier")))
-    return found.withColumn("best", best).where("best IS NOT NULL").select(
-        "monitor_id", "ts", F.col("best.name").alias("deployment"), F.col("best.at").alias("deployed_at")
-    )
+    shipped = deployments.select(instant("deployed_at").alias("ts"), F.struct(instant("deployed_at").alias("at"), "name").alias("d"))
+    alerts = results.select("monitor_id", "ts").distinct()
+    found = greatest_so_far(alerts, shipped, [], "ts", "d")
+    in_reach = F.unix_micros("ts") - F.unix_micros("d.at") <= window_seconds * 1_000_000
+    return found.where(in_reach).select("monitor_id", "ts", F.col("d.name").alias("deployment"), F.col("d.at").alias("deployed_at"))
 
 
 def _say(text: str, *args: Column) -> Column:

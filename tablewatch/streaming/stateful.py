@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.timing import instant
+from ..plans.incidents import kept_rows, mark_duplicates
 
 # Ship the processors with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,6 +83,35 @@ def deduplicate_stream(
     return timed.unionByName(untimed)
 
 
+def deduplicate_batches(
+    stream: DataFrame, key: str, ts_column: str, row_id: str, path: str, checkpoint: str, window_seconds: int = 300,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Write every row of the stream with ``duplicate`` below ``path``/rows: repeats within the window of the last kept row.
+
+    Each micro-batch is reduced per key and chunk of time and composed in levels, as a batch is (``kept_rows``), before it
+    meets what earlier batches have left: one row per key with the last kept time, written for each batch. So no task
+    holds all rows of a key. Rows of a batch are taken in order of time; a row older than the last kept one, or without a
+    key or time, changes nothing. A repeated batch starts from the same state and replaces its own files. The folders of
+    states before the last two are not needed again.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = spark.read.parquet(f"{path}/state/batch_id={number - 1}") if number else None
+        marked = mark_duplicates(batch, key, ts_column, row_id, window_seconds, last)
+        marked.write.mode("overwrite").parquet(f"{path}/rows/batch_id={number}")
+        kept = kept_rows(batch.where(F.col(key).isNotNull()), key, ts_column, row_id, window_seconds, last).select("kept_key", "kept_micros")
+        both = kept if last is None else kept.unionByName(last)
+        state = both.groupBy("kept_key").agg(F.max("kept_micros").alias("kept_micros"))
+        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={number}")
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 class _Threshold(StatefulProcessor):
     """State: the last scores of the monitor, oldest first, at most the window size."""
 

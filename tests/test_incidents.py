@@ -53,6 +53,45 @@ def test_chains_across_chunks_match_a_sequential_walk(spark, seed, mean_gap):
     assert marked(spark, rows) == by_hand(rows, 300)
 
 
+def test_levels_match_a_sequential_walk(spark, monkeypatch):
+    """Groups of four chunks: many levels; keys with gaps of many chunks and regular beats."""
+    monkeypatch.setattr(I, "CHUNKS_PER_GROUP", 4)
+    monkeypatch.setattr(I, "CHUNK_WINDOWS", 2)
+    rng = random.Random(3)
+    rows = [("beat", 0.7 * k) for k in range(1200)] + [("slow", 31.0 * k) for k in range(60)]
+    now = -400.0
+    for _ in range(300):
+        now += rng.choice([1.0, 9.0, 10.0, 11.0, 25.0, 100.0])
+        rows.append(("gaps", now))
+    rng.shuffle(rows)
+    assert marked(spark, rows, 10) == by_hand(rows, 10)
+
+
+def test_times_before_and_after_1970(spark):
+    rows = [("a", -1_700_000_000.0 + s) for s in (-400.0, -200.0, -99.0, 0.0, 150.0, 201.0, 500.0, 100_000.0)]
+    assert marked(spark, rows) == by_hand(rows, 300)
+
+
+def test_a_million_regular_events_of_one_key(spark, monkeypatch):
+    """No task sees more than the events of a chunk or the chunks of a group, and no chunk's list more than a window's events."""
+    df = spark.range(1_000_000).select(F.col("id"), F.lit("hot").alias("key"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
+    maps = I._chunk_maps(df.select(F.lit("hot").alias("_key"), F.unix_micros("ts").alias("_ts"), F.floor(F.unix_micros("ts") / 3_600_000_000).alias("_chunk")), 300_000_000)
+    assert maps.agg(F.max(F.size("_bounds"))).first()[0] <= 301
+    levels = []
+    composed = I._composed
+    monkeypatch.setattr(I, "_composed", lambda maps, *more: levels.append(maps.groupBy("_key", F.floor(F.col("_chunk") / I.CHUNKS_PER_GROUP)).count().agg(F.max("count")).first()[0]) or composed(maps, *more))
+    kept = I.kept_rows(df, "key", "ts", "id")
+    assert kept.agg(F.count("*"), F.min("id"), F.max("id")).first()[:] == (3334, 0, 999_900)
+    assert kept.where("id % 300 <> 0").count() == 0
+    assert levels and max(levels) <= I.CHUNKS_PER_GROUP
+
+
+def test_goes_on_from_earlier_rows(spark):
+    last = spark.createDataFrame([("a", 1_700_000_100_000_000)], "kept_key STRING, kept_micros BIGINT")
+    got = I.mark_duplicates(events(spark, [("a", 50.0), ("a", 399.0), ("a", 400.0), ("b", 0.0)]), "key", "ts", "id", 300, last)
+    assert [r["duplicate"] for r in got.orderBy("id").collect()] == [True, True, False, False]
+
+
 def result_rows(spark, *rows):
     return spark.createDataFrame(rows, "monitor_id STRING, severity STRING, message STRING, at STRING").select(
         "monitor_id", F.lit("volume").alias("monitor_type"), F.lit("t").alias("table_name"), F.lit(True).alias("alert"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,25 @@ def test_dedup_keeps_state_between_batches(spark, feed, tmp_path):
     assert {r["row_id"]: r["duplicate"] for r in got.collect()} == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False}
 
 
+def test_dedup_by_batches_equals_one_pass(spark, feed, tmp_path):
+    pick, batches, at = random.Random(8), [], 0
+    for b in range(4):
+        rows = []
+        for k in range(40):
+            at += pick.choice([1, 99, 100, 101, 150, 700])
+            rows.append((100 * b + k, pick.choice("aab"), at, 1))
+        pick.shuffle(rows)
+        batches.append(rows)
+    batches[2].append((999, "a", 0, 1))  # older than what was kept
+    streaming.deduplicate_batches(feed(*batches), "key", "ts", "id", str(tmp_path / "o"), str(tmp_path / "c"), 300, True).awaitTermination()
+    got = {r["id"]: r["duplicate"] for r in spark.read.parquet(str(tmp_path / "o" / "rows")).collect()}
+    last, want = {}, {999: True}
+    for i, key, at, _ in sorted((r for b in batches for r in b if r[0] != 999), key=lambda r: r[2]):
+        want[i] = key in last and at - last[key] < 300
+        last[key] = last[key] if want[i] else at
+    assert got == want
+
+
 def test_threshold_rolls_over_batches(spark, feed, tmp_path):
     scores = [10.0, 12.0, 11.0, 50.0, 10.0, 13.0]
     stream = feed([(i, "m", i, s) for i, s in enumerate(scores[:3])], [(i + 3, "m", i + 3, s) for i, s in enumerate(scores[3:])])

@@ -49,10 +49,11 @@ GROUP BY w HAVING w + INTERVAL 2 DAY <= (SELECT date_trunc('millisecond', max(ts
 
 
 def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streaming.deduplicate_stream(event_stream(spark, sf_dir), "event_type", "ts", "event_id", WINDOW)
-    return streaming.drain(rows, "stream-dedup").select(
-        F.col("row_id").alias("event_id"), F.col("group_key").alias("event_type"), "duplicate"
-    )
+    base = shared_dir(spark, "stream-dedup")
+    streaming.deduplicate_batches(
+        event_stream(spark, sf_dir), "event_type", "ts", "event_id", base, f"{base}/checkpoint", WINDOW, available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/rows").select("event_id", "event_type", "duplicate")
 
 
 _DEDUP_SQL = f"""
