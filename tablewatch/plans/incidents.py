@@ -27,8 +27,10 @@ DEDUP_SECONDS = 300
 CHUNK_WINDOWS = 12
 # Chunks of a key that one task puts in order; longer histories take more levels.
 CHUNKS_PER_GROUP = 64
-# Rules without a monitor meet every message; this many are broadcast at a time.
+# Rules without a monitor and with a very short pattern meet every message; this many are broadcast at a time.
 RULES_PER_BROADCAST = 1_000
+# Length of the runs of characters by which patterns and messages meet.
+GRAM = 3
 
 
 def from_results(results: DataFrame) -> DataFrame:
@@ -79,28 +81,54 @@ def maintenance_hits(incidents: DataFrame, windows: DataFrame) -> DataFrame:
 def ignore_hits(incidents: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct incident ids matched by a rule (monitor_id or null, pattern or null, expires_at or null).
 
-    Rules naming a monitor are joined on it. The others have to see every message; they
-    are counted first and broadcast in groups of RULES_PER_BROADCAST.
+    Rules naming a monitor are joined on it. Of the others, a pattern of ``GRAM`` characters or more meets the messages
+    that hold its rarest run of so many characters; a shorter one has to see every message, in groups of
+    RULES_PER_BROADCAST.
     """
     rules = rules.select(
         F.col("monitor_id").alias("_for"), F.col("pattern").alias("_pattern"),
         instant("expires_at").alias("_until"),
     ).distinct()
     messages = incidents.select("incident_id", "monitor_id", "message", "ts")
-    valid = F.col("_until").isNull() | (F.col("ts") <= F.col("_until"))
-    says = F.col("_pattern").isNull() | F.col("message").contains(F.col("_pattern"))
     named = messages.join(
-        rules.where("_for IS NOT NULL"), (F.col("_for") == F.col("monitor_id")) & valid & says, "left_semi"
+        rules.where("_for IS NOT NULL"), (F.col("_for") == F.col("monitor_id")) & _applies(), "left_semi"
     )
     hits = [named.select("incident_id")]
-    general = rules.where("_for IS NULL")
-    groups = -(-general.count() // RULES_PER_BROADCAST)
+    general = rules.where("_for IS NULL").drop("_for")
+    long = F.coalesce(F.length("_pattern"), F.lit(0)) >= GRAM
+    hits.append(_gram_hits(messages, general.where(long)))
+    short = general.where(~long)
+    groups = -(-short.count() // RULES_PER_BROADCAST)
     for g in range(groups):
-        part = general.where(F.pmod(F.xxhash64("_pattern", "_until"), F.lit(groups)) == g)
-        hits.append(messages.join(F.broadcast(part), valid & says, "left_semi").select("incident_id"))
+        part = short.where(F.pmod(F.xxhash64("_pattern", "_until"), F.lit(groups)) == g)
+        hits.append(messages.join(F.broadcast(part), _applies(), "left_semi").select("incident_id"))
     return union_all(hits).distinct()
 
 
+def _applies() -> Column:
+    valid = F.col("_until").isNull() | (F.col("ts") <= F.col("_until"))
+    return valid & (F.col("_pattern").isNull() | F.col("message").contains(F.col("_pattern")))
+
+
+def _grams(text: str) -> Column:
+    """Distinct runs of ``GRAM`` characters of a text that has one."""
+    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(GRAM))))
+
+
+def _gram_hits(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Ids of messages that contain a pattern: an inverted index of the patterns' runs, then a look at the text itself."""
+    wanted = rules.select("_pattern").distinct().withColumn("_gram", F.explode(_grams("_pattern")))
+    said = messages.where(F.length("message") >= GRAM).select("incident_id", "message", "ts", F.explode(_grams("message")).alias("_gram"))
+    said = said.join(wanted.select("_gram").distinct(), "_gram")
+    seen = said.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a pattern with a run that no message holds is in none of them
+    rarest = wanted.join(seen, "_gram", "left").groupBy("_pattern").agg(
+        F.min_by("_gram", "_n").alias("_gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all")
+    ).where("_all").drop("_all")
+    return said.join(rarest, "_gram").join(rules, "_pattern").where(_applies()).select("incident_id")
+
+
 def _walk(ts: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
     """Last kept position when the first kept event is at ``start`` (vectorised)."""
     at = start.copy()

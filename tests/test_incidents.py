@@ -126,11 +126,31 @@ def test_blank_rule_matches_everything(spark):
     assert I.register(results, ignore_rules=rules).first()["message"] == "[IGNORED] x"
 
 
-def test_many_general_rules_are_taken_in_groups(spark, monkeypatch):
+def test_rules_equal_a_plain_search(spark, monkeypatch):
     monkeypatch.setattr(I, "RULES_PER_BROADCAST", 3)
-    results = result_rows(spark, *[("m", "CRITICAL", f"text {i}.", f"2024-01-01 10:{i:02d}:00") for i in range(20)])
+    rng = random.Random(9)
+    alphabet = ["a", "b", "aa", "ü", " ", "%", "日本", "x" * 5]
+    text = lambda n: "".join(rng.choices(alphabet, k=rng.randint(0, n)))
+    at = lambda: f"2024-01-0{rng.randint(1, 9)} 00:00:00"
+    results = [("m" + str(k % 3), "CRITICAL", text(9), f"2024-01-0{k % 9 + 1} 00:00:{k % 60:02d}") for k in range(150)] + [("m0", "CRITICAL", "common text " * 3, f"2024-01-02 00:{k:02d}:00") for k in range(50)]
+    rules = [(rng.choice([None, None, None, "m1", "m9"]), text(3), rng.choice([None, at()])) for _ in range(40)] + [(None, "common", "2024-01-02 00:20:00"), (None, "never said", None)]
+    rules = [r for r in rules if r[1] != "" or r[2]]
+    incidents = I.from_results(result_rows(spark, *results))
+    got = {r["incident_id"] for r in I.ignore_hits(incidents, stamps(spark, "monitor_id STRING, pattern STRING, expires_at STRING", *rules)).collect()}
+    want = {
+        r["incident_id"] for r in incidents.collect()
+        if any(m in (None, r["monitor_id"]) and p in r["message"] and (u is None or str(r["ts"]) <= u) for m, p, u in rules)
+    }
+    assert got == want and 0 < len(got) < len(results)
+
+
+def test_long_patterns_meet_no_message_without_their_runs(spark):
+    """No nested loop for patterns of three characters or more."""
+    incidents = I.from_results(result_rows(spark, *[("m", "CRITICAL", f"text {i}.", f"2024-01-01 10:{i:02d}:00") for i in range(20)]))
     rules = stamps(spark, "monitor_id STRING, pattern STRING, expires_at STRING", *[(None, f"text {i}.", None) for i in range(0, 20, 2)])
-    assert I.ignore_hits(I.from_results(results), rules).count() == 10
+    hits = I.ignore_hits(incidents, rules)
+    assert hits.count() == 10
+    assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
 def test_state_folds_the_log(spark):
