@@ -6,8 +6,8 @@ sequence of independent chunks: a run of markers and the characters up to the ne
 segmented once and kept in a table with its ids, their decimal form and its decoded text; a document's ids are
 its chunks' entries joined back by position. Decoding looks the same chunks up by their ids.
 
-The table lives in the task, not in a shuffle: a row per occurrence of a word would move several times the
-text, while a table fills within seconds and documents stay where they are read. It is emptied when it
+The table lives in the Python worker, not in a shuffle: a row per occurrence of a word would move several times the
+text, while a table fills within seconds, serves the worker's later tasks too, and documents stay where they are read. It is emptied when it
 reaches ``MAX_CHUNKS``, so memory is bounded whatever the vocabulary (chunks longer than ``LONG`` are not
 kept). A model whose pieces can cross a marker is refused by ``split_safe``.
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,8 @@ class ChunkTable:
         if not split_safe(model, pieces):
             raise ValueError("pieces of this model can cross white space markers")
         self.model = model
-        self.rows: dict[str, tuple[list[int], str, str]] = {}
+        # number of ids, ids as text, decoded text: plain values, which the garbage collector does not visit again and again
+        self.rows: dict[str, tuple[int, str, str]] = {}
         self.number = [str(i) for i in range(len(pieces))]
         self.opens = np.array([p.startswith(MARK) for p in pieces])
         self.blank = np.array([not p.strip(MARK) for p in pieces])
@@ -82,7 +85,7 @@ class ChunkTable:
                 self._keep(chunk, self.model.encode(chunk) or [self.model.piece_to_id(MARK)])
 
     def _keep(self, chunk: str, ids: list[int]) -> None:
-        self.rows[chunk] = (ids, ",".join([self.number[i] for i in ids]), self._decoded(ids))
+        self.rows[chunk] = (len(ids), ",".join([self.number[i] for i in ids]), self._decoded(ids))
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text in order, each without its first marker."""
@@ -91,7 +94,7 @@ class ChunkTable:
         # one marker goes before the text; then every chunk starts with one
         return [c[1:] for c in _CHUNKS.findall(MARK + text)]
 
-    def look_up(self, chunks: list[str]) -> list[tuple[list[int], str, str]]:
+    def look_up(self, chunks: list[str]) -> list[tuple[int, str, str]]:
         rows = self.rows
         new = set(chunks).difference(rows)
         if new:
@@ -106,7 +109,8 @@ class ChunkTable:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.look_up(self.chunks(text)) for i in ids]
+        ids = ",".join([r[1] for r in self.look_up(self.chunks(text))])
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, hash of the ids and hash of the decoded text."""
@@ -114,14 +118,18 @@ class ChunkTable:
         ids = hashlib.sha256(",".join([r[1] for r in rows]).encode()).hexdigest()
         # the first chunk's leading marker is the one that decoding drops
         decoded = "".join([r[2] for r in rows])[1:] if rows else ""
-        return sum([len(r[0]) for r in rows]), ids, hashlib.sha256(decoded.encode()).hexdigest()
+        return sum([r[0] for r in rows]), ids, hashlib.sha256(decoded.encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
 
 def _load(model_path: str) -> ChunkTable:
-    return ChunkTable(sentencepiece.SentencePieceProcessor(model_file=model_path))
+    """The table of a model, kept for the life of a Python worker: its next task starts with the words of the last one."""
+    kept = sys.modules.setdefault("_kept_chunks", types.ModuleType("_kept_chunks")).__dict__
+    if model_path not in kept:
+        kept[model_path] = ChunkTable(sentencepiece.SentencePieceProcessor(model_file=model_path))
+    return kept[model_path]
 
 
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
