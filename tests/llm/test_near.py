@@ -86,16 +86,6 @@ def test_near_duplicates_of_five_words_and_empty_tables(spark):
     assert [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(rows, 2).distinct().collect()] == [(1, 1)]
 
 
-def bits_of(words):
-    votes = [0] * 64
-    for w, after in zip(words, [*words[1:], None], strict=True):
-        h = xxhash.xxh64_intdigest(w.encode(), seed=42)
-        h = h if after is None else xxhash.xxh64_intdigest(after.encode(), seed=h)
-        for k in range(64):
-            votes[k] += h >> k & 1
-    return sum((2 * v > len(words)) << k for k, v in enumerate(votes))
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -105,60 +95,21 @@ def edits(a, b):
     return row[-1]
 
 
-def kept_by_all_pairs(rows):
-    places = {}
-    blank = set()
-    for i, text in rows:
-        for k, line in enumerate(text.split("\n")):
-            words = tuple(re.findall(r"[^\W_]+", line.lower()))
-            if words:
-                places.setdefault(words, []).append((i, k))
-            else:
-                blank.add((i, k))
-    first = {w: min(p) for w, p in places.items()}
-    bits = {w: bits_of(w) for w in first}
-    links = [
-        (first[a], first[b]) for a, b in combinations(first, 2)
-        if (bits[a] ^ bits[b]).bit_count() <= 3 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-6
-    ]
-    groups = smallest(first.values(), links)
-    kept = {p for p, g in groups.items() if p == g} | blank
-    return {i: [k for k in range(text.count("\n") + 1) if (i, k) in kept] for i, text in rows}, len(links)
-
-
-def test_lines_equal_all_pairs(spark):
-    pick = random.Random(4)
-    vocabulary = [f"word{k}" for k in range(300)]
-    base = [[pick.choice(vocabulary) for _ in range(pick.randint(1, 90))] for _ in range(40)]
-    rows = []
-    for i in range(60):
-        lines = []
-        for _ in range(pick.randint(1, 5)):
-            words = list(pick.choice(base))
-            for _ in range(pick.randint(0, 1)):
-                words[pick.randrange(len(words))] = pick.choice(vocabulary)
-            lines.append(pick.choice([" ", ", "]).join(words).title() if pick.random() < 0.3 else " ".join(words))
-        rows.append((i, "\n".join([*lines, "", "--"])))
-    rows += [(500, ""), (501, "same words here"), (502, "Same, words -- HERE!"), (503, "x" * 70_000)]
-    want, n_links = kept_by_all_pairs(rows)
-    assert n_links > 3
-    docs = frame(spark, rows)
-    got = {r.doc_id: r.kept for r in line_dedup.kept_lines(docs).collect()}
-    assert got == want
-    texts = {r.doc_id: (r.text, r.n_chars, r.key) for r in line_dedup.dedup_lines(docs).collect()}
-    for i, text in rows:
-        new = "\n".join(text.split("\n")[k] for k in want[i])
-        assert texts[i] == (new, len(new), "k")
-
-
 def test_line_rows(spark):
     rows = frame(spark, [(1, None), (None, "one line\none line"), (2, "one line\none line\n")])
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(rows).collect()}
     assert got == {1: None, None: "one line\none line", 2: "one line\n"}
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
+
+def test_line_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b\na b", 7, "x", 3), (None, None, 8, "y", None)], "doc_id LONG, text STRING, kept_id INT, kept_lines STRING, kept_0 INT")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [(1, "a b", 7, "x", 3), (None, None, 8, "y", None)]
+
+
 def kept_by_edits_alone(rows):
-    """Like ``kept_by_all_pairs``, but only the edit similarity of two lines says whether they are linked."""
+    """Kept lines if the edit similarity of two lines says whether they are linked; all pairs are compared."""
     places = {}
     for i, text in rows:
         for k, line in enumerate(text.split("\n")):
