@@ -84,10 +84,10 @@ def test_histogram_closes_the_last_bin(spark):
 
 
 def test_chi_square(spark):
-    labels = ["a", "b", "a", "b", "a"]
-    assert pair(chi_square_drift, spark, labels, labels, "STRING")["score"] == 0
-    gone = pair(chi_square_drift, spark, ["a"] * 4, ["b"] * 4, "STRING", p_value=True)
-    assert gone["score"] == 4 and gone["significant"] and gone["degrees_of_freedom"] == 1 and gone["p_value"] is None
+    fruit = ["fig"] * 7 + ["plum"] * 2 + ["pear"]
+    assert pair(chi_square_drift, spark, fruit, fruit[::-1], "STRING")["score"] == 0
+    gone = pair(chi_square_drift, spark, ["fig"] * 7, ["plum"] * 7, "STRING", p_value=True)
+    assert gone["score"] == 7 and gone["significant"] and gone["degrees_of_freedom"] == 1 and gone["p_value"] is None
     r = pair(chi_square_drift, spark, ["a"] * 6 + ["b"] * 6, ["a"] * 9 + ["b"] * 3, "STRING", p_value=True)
     assert r["score"] == pytest.approx(3.0) and r["p_value"] == pytest.approx(0.08326451666355)
 
@@ -124,15 +124,13 @@ def scalar(spark, values, expr):
 
 
 def test_auto_threshold(spark):
-    h = [1.0, 2.0, 1.5, 2.5, 2.0, 1.8, 2.2, 1.0, 3.0, 2.5]
-    med = float(np.median(h))
-    mad = float(np.median(np.abs(np.array(h) - med)))
+    h = [7.0, 31.0, 4.0, 12.0, 9.0, 16.0, 5.0, 22.0]  # sorted: 4 5 7 9 12 16 22 31
+    med, mad = 10.5, 5.5  # distances, sorted: 1.5 1.5 3.5 5.5 5.5 6.5 11.5 20.5
     assert scalar(spark, h, array_median) == pytest.approx(med)
     assert scalar(spark, h, array_mad) == pytest.approx(mad)
-    assert scalar(spark, h, lambda c: auto_threshold(c, "mad", 3.0, 0.001, 100.0)) == pytest.approx(med + 3 * 1.4826 * mad)
-    assert scalar(spark, h, lambda c: auto_threshold(c, "sigma")) == pytest.approx(np.mean(h) + 3 * np.std(h))
-    s = sorted(h)
-    assert scalar(spark, h, lambda c: auto_threshold(c, "iqr")) == pytest.approx(s[7] + 3 * (s[7] - s[2]))
+    assert scalar(spark, h, lambda c: auto_threshold(c, "mad", 3.0, 0.001, 100.0)) == pytest.approx(10.5 + 3 * 1.4826 * 5.5)
+    assert scalar(spark, h, lambda c: auto_threshold(c, "sigma")) == pytest.approx(13.25 + 3 * math.sqrt(76.4375))
+    assert scalar(spark, h, lambda c: auto_threshold(c, "iqr")) == pytest.approx(22 + 3 * (22 - 7))
     assert scalar(spark, h, lambda c: auto_threshold(c, "mad", max_threshold=2.0)) == 2.0
     assert scalar(spark, [], lambda c: auto_threshold(c, "mad", min_threshold=0.5)) == 0.5
     assert scalar(spark, None, auto_threshold) == 0.001

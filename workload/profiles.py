@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewatch.operators.distinct import top_k
-from tablewatch.operators.local_rows import union_all
+from tablewatch.operators.local_rows import constant_rows, union_all
 from tablewatch.plans.profile import profile, profile_shapes
 from tablewatch.plans.suggest import suggest, to_suite
 from tablewatch.plans.suite import run_suite, summarize
-from tablewatch.sources.inventory import table_inventory
+from tablewatch.session import shared_dir
+from tablewatch.sources.files import inline, open_table
+from tablewatch.sources.inventory import execute_query, table_inventory
 
 from .common import AS_OF, INJECTED, TABLES, injected_sql, r, table
 from .statistics import _histogram_sql
@@ -211,7 +213,55 @@ FROM duckdb_columns() c JOIN (""" + UNION.join(
     f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TABLES
 ) + ") n ON n.table_name = c.table_name"
 
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV and read back with their types found."""
+    path = shared_dir(spark, "csv")
+    table(spark, sf_dir, "customer").write.option("header", True).csv(path)
+    back = open_table(spark, "csv", path)
+    return back.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("c_nationkey").cast("bigint").alias("nations"), r(F.sum("c_acctbal"), 2).alias("balance"),
+        F.countDistinct("c_name").alias("names"),
+    )
+
+
+_CSV_SQL = """
+SELECT c_mktsegment, count(*) AS customers, CAST(sum(c_nationkey) AS BIGINT) AS nations, round(sum(c_acctbal), 2) AS balance,
+  count(DISTINCT c_name) AS names FROM customer GROUP BY 1"""
+
+
+def _in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A local table of nations beside the customers."""
+    rows = [tuple(x) for x in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
+    nations = inline(spark, rows, "n_nationkey BIGINT, n_name STRING")
+    return table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(
+        F.count(F.lit(1)).alias("customers")
+    )
+
+
+_IN_MEMORY_SQL = "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
+
+
+def _execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of two queries as the runner reports them."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("executed_orders")
+    try:
+        runs = [
+            (name, execute_query(spark, f"SELECT * FROM executed_orders WHERE {condition}").row_count)
+            for name, condition in (("all", "true"), ("large", "o_totalprice > 200000"))
+        ]
+    finally:
+        spark.catalog.dropTempView("executed_orders")
+    return constant_rows(spark, "query STRING, row_count BIGINT", runs)
+
+
+_EXECUTION_SQL = """
+SELECT 'all' AS query, count(*) AS row_count FROM orders UNION ALL SELECT 'large', count_if(o_totalprice > 200000) FROM orders"""
+
+
 QUERIES = {
+    "source_csv": _csv,
+    "source_in_memory": _in_memory,
+    "query_execution": _execution,
     "profile_table": _profile,
     "profile_histogram": _histogram,
     "profile_top_k": _top_k,
@@ -220,6 +270,9 @@ QUERIES = {
     "table_inventory": _inventory,
 }
 ORACLE = {
+    "source_csv": _CSV_SQL,
+    "source_in_memory": _IN_MEMORY_SQL,
+    "query_execution": _EXECUTION_SQL,
     "profile_table": _PROFILE_SQL,
     "profile_histogram": _HISTOGRAM_SQL,
     "profile_top_k": _TOP_K_SQL,

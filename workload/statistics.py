@@ -236,12 +236,32 @@ def _spearman_sql(name: str, source: str, x: str, y: str) -> str:
 
 ED = injected_sql("events_drift")
 
+def _chi_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper tail of the test of order priorities against those of 1996: five of them, four degrees of freedom."""
+    orders = table(spark, sf_dir, "orders")
+    of = lambda year: F.year("o_orderdate") == year
+    drift = chi_square_drift(orders, "o_orderpriority", of(1996), {str(y): of(y) for y in (1995, 1997, 1999)}, p_value=True)
+    return drift.select("name", F.col("degrees_of_freedom").cast("int").alias("degrees_of_freedom"), r("score").alias("score"), r("p_value").alias("p_value"))
+
+
+def _chi_p_sql(year: int) -> str:
+    """With four degrees of freedom the upper tail of x is exp(-x / 2) * (1 + x / 2)."""
+    return f"""
+SELECT '{year}' AS name, CAST(k AS INTEGER) AS degrees_of_freedom, round(x, 6) AS score, round(exp(-x / 2) * (1 + x / 2), 6) AS p_value
+FROM (
+  SELECT sum((b - a * nb / na) ** 2 / (a * nb / na)) AS x, count(*) - 1 AS k FROM (
+    SELECT o_orderpriority, count_if(year(o_orderdate) = 1996)::DOUBLE AS a, count_if(year(o_orderdate) = {year})::DOUBLE AS b,
+      sum(count_if(year(o_orderdate) = 1996)) OVER ()::DOUBLE AS na, sum(count_if(year(o_orderdate) = {year})) OVER ()::DOUBLE AS nb
+    FROM orders GROUP BY 1))"""
+
+
 QUERIES = {
     "stat_ks": _ks,
     "stat_histogram": _histogram,
     "stat_kl": _kl,
     "stat_js": _js,
     "stat_chi_square": _chi,
+    "stat_chi_square_p": _chi_p,
     "stat_iqr_outliers": _iqr,
     "stat_zscore": _zscore,
     "stat_modified_zscore": _modified_z,
@@ -270,6 +290,7 @@ SELECT name, round(sum({_JS}) / 2, 9) AS score, CAST(sum(a) AS BIGINT) AS n_refe
 FROM ({_YEAR_CELLS} UNION ALL {_cells_sql("moved", ED, "moved", _HALF, f"NOT ({_HALF})")}) GROUP BY name
 UNION ALL
 SELECT 'nothing', NULL, count_if({_HALF}), 0 FROM events""",
+    "stat_chi_square_p": "\nUNION ALL\n".join(_chi_p_sql(y) for y in (1995, 1997, 1999)),
     "stat_chi_square": "\nUNION ALL\n".join(
         [
             *[
