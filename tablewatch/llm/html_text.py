@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tablewatch.llm.shared import written
 
 MOST = 0.8  # share of a page's text that its chosen container holds
-ENOUGH = 0.5  # share of the page's own choice that the host's path must hold
+BODY_FORM = 0.8  # a form with this share of a page's text is the page's frame, not an entry form
 LINKS = 0.6  # a part with this share of its text in links is a menu
 MAX_BROADCAST_HOSTS = 200_000  # a row of about 100 bytes each
 MAX_PATH = 400  # longer paths continue as a digest
@@ -60,6 +60,10 @@ JUNK_NAMES = frozenset(
     " signup login share sharing social related recommended comment comments respond replies disqus widget toolbar pagination pager"
     " disclaimer skip topbar".split()
 )
+CONTENT_NAMES = frozenset("article content entry main post story text body page".split())
+ARTICLES = frozenset(("article", "main"))
+FRAMES = frozenset("body main article section div td center table".split())  # what a page's main container can be
+HEADINGS = frozenset(("h1", "h2"))
 JUNK_HEADERS = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader", "top-header"))
 
 
@@ -72,6 +76,8 @@ class Page:
     path: list[str]
     text: list[int]  # characters below each container
     kept: list[bool]  # no link list around it
+    tags: list[str]  # of the containers
+    heading: int  # container of the first heading, -1 without one
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -88,10 +94,12 @@ def _is_junk(tag: str, attributes: dict[str, str], inside_article: bool) -> bool
         return True
     if tag in ("body", "html", "main", "article"):
         return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-    return bool(named) and (
-        any(w.lower() in JUNK_NAMES for w in _SPLIT.split(named)) or any(w.lower() in JUNK_HEADERS for w in named.split())
-    )
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    if any(w in JUNK_NAMES or w in JUNK_HEADERS for w in names):
+        return True
+    # a compound is junk by its head (comment-list, not no-sidebar), unless another name says that it is the content
+    heads = [next(filter(None, _SPLIT.split(w)), "").lower() for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    return any(w in JUNK_NAMES for w in heads) and not any(w in CONTENT_NAMES for w in names)
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -100,9 +108,23 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 def parse(source: str) -> Page:
-    """One scan over the page; every tag is pushed and popped at most once."""
-    page = Page([], [-1], [""], [0], [True])
-    linked, tags = [0], ["html"]
+    """The page's blocks and containers. A form around most of the text is read as a plain container."""
+    page, in_forms, left_out = _scan(source, frozenset())
+    total = page.text[0] + left_out
+    frames = frozenset(k for k, size in in_forms.items() if size >= BODY_FORM * total > 0)
+    return _scan(source, frames)[0] if frames else page
+
+
+def _scan(source: str, plain_forms: frozenset[int]) -> tuple[Page, dict[int, int], int]:
+    """One scan over the page; every tag is pushed and popped at most once.
+
+    Also the characters in each form that is left out, by the form's number, and in all parts that are left out.
+    """
+    page = Page([], [-1], [""], [0], [True], ["html"], -1)
+    in_forms: dict[int, int] = {}
+    forms, form, left_out = 0, -1, 0  # forms so far; the one that is being left out
+    linked, tags = [0], page.tags
+    inside = [False]  # an article
     stack: list[tuple[str, int]] = []  # open elements: tag, container outside it
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -131,8 +153,13 @@ def parse(source: str) -> Page:
             skip = -1
 
     def text(piece: str, coded: bool = True) -> None:
-        nonlocal size, link_size
-        if piece and skip < 0:
+        nonlocal size, link_size, left_out
+        if piece and skip >= 0:
+            seen = len(piece) - piece.count(" ") - piece.count("\n")
+            left_out += seen
+            if form >= 0:
+                in_forms[form] = in_forms.get(form, 0) + seen
+        elif piece:
             parts.append(entities.unescape(piece) if coded and "&" in piece else piece)
             size += len(piece)
             if opened["a"] > 0:
@@ -194,8 +221,14 @@ def parse(source: str) -> Page:
         attributes = _attributes(m[3])
         if tag in BLOCKS and skip < 0:
             flush()
-        if skip < 0 and _is_junk(tag, attributes, opened["article"] > 0 or opened["main"] > 0):
-            skip = len(stack)
+        forms += tag == "form"
+        if skip < 0:
+            form = -1
+            if not (tag == "form" and forms in plain_forms) and _is_junk(tag, attributes, opened["article"] > 0 or opened["main"] > 0):
+                skip = len(stack)
+                form = forms if tag == "form" else -1
+        if tag in HEADINGS and skip < 0 and page.heading < 0:
+            page.heading = here
         stack.append((tag, here))
         opened[tag] += 1
         if tag in CONTAINERS and skip < 0:
@@ -206,6 +239,7 @@ def parse(source: str) -> Page:
             page.kept.append(True)
             linked.append(0)
             tags.append(tag)
+            inside.append(inside[here] or tag in ARTICLES)
             here = len(page.path) - 1
     while stack:
         pop()
@@ -215,7 +249,7 @@ def parse(source: str) -> Page:
         page.text[page.parent[c]] += page.text[c]
         linked[page.parent[c]] += linked[c]
     for c in range(1, len(own)):
-        menu = tags[c] in LISTS and linked[c] >= LINKS * page.text[c] > 0 and 2 * page.text[c] < page.text[0]
+        menu = not inside[c] and tags[c] in LISTS and linked[c] >= LINKS * page.text[c] > 0 and 2 * page.text[c] < page.text[0]
         page.kept[c] = page.kept[page.parent[c]] and not menu
     page.text = [0] * len(own)
     page.blocks = [b for b in page.blocks if page.kept[b[1]]]
@@ -223,30 +257,42 @@ def parse(source: str) -> Page:
         page.text[c] += len(block)
     for c in range(len(own) - 1, 0, -1):
         page.text[page.parent[c]] += page.text[c]
-    return page
+    return page, in_forms, left_out
+
+
+def _below(page: Page, top: int) -> list[bool]:
+    out = [c == top for c in range(len(page.path))]
+    for c in range(top + 1, len(out)):
+        out[c] = out[c] or out[page.parent[c]]
+    return out
 
 
 def choice(page: Page) -> int:
-    """The deepest container with most of the text (0: the whole page)."""
-    best = 0
+    """The deepest container with most of the text (0: the whole page), not below an article and not past the first heading."""
+    best, around = 0, set()
+    c = page.heading
+    while c > 0:
+        around.add(c)
+        c = page.parent[c]
     for c in range(1, len(page.path)):
-        if page.parent[c] == best and page.text[c] >= MOST * page.text[0] > 0:
+        if page.tags[best] in ARTICLES:
+            break
+        if page.parent[c] == best and page.tags[c] in FRAMES and page.text[c] >= MOST * page.text[0] > 0:
+            if page.tags[c] not in ARTICLES and around and c not in around:
+                continue
             best = c
     return best
 
 
 def main_text(page: Page, winner: str | None) -> str:
-    own = choice(page)
+    """Text below the host's path; if that leaves out a block of the page's own choice, the own choice."""
+    own = _below(page, choice(page))
     holds = [False] * len(page.path)
     for c in range(len(page.path)):
         holds[c] = (c > 0 and holds[page.parent[c]]) or page.path[c] == winner
-    lines = [b for b, c in page.blocks if holds[c]] if winner is not None else []
-    if sum(map(len, lines)) < ENOUGH * page.text[own] or not lines:
-        own_path = [False] * len(page.path)
-        for c in range(len(page.path)):
-            own_path[c] = c == own or (c > 0 and own_path[page.parent[c]])
-        lines = [b for b, c in page.blocks if own_path[c]]
-    return "\n".join(lines)
+    if winner is None or any(own[c] and not holds[c] for _, c in page.blocks):
+        holds = own
+    return "\n".join(b for b, c in page.blocks if holds[c])
 
 
 def host(url: str | None) -> str:

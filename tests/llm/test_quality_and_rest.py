@@ -126,6 +126,34 @@ def test_main_text_of_a_page(html, text):
     assert html_text.main_text(html_text.parse(html), None) == text
 
 
+LONG = "words of an article " * 20
+WHOLE = LONG.strip()
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<div>a b</div><article><h1>The title</h1><p>The lead</p><div class=body>{LONG}</div></article>", f"The title\nThe lead\n{WHOLE}"),
+    (f"<article><p>intro</p><ul><li>{LONG}</li></ul><p>outro</p></article>", f"intro\n{WHOLE}\noutro"),
+    (f'<div class="content no-sidebar"><p>{LONG}</p></div>', WHOLE),
+    (f'<div class="post share-enabled"><p>{LONG}</p></div>', WHOLE),
+    (f"<form id=aspnetForm><div><p>{LONG}</p><form><p>search</p></form></div></form>", f"{WHOLE}\nsearch"),
+    (f'<p>{LONG}</p><form><p>leave a reply</p></form><div class="comment-list"><p>nice</p></div><div class="sidebar"><p>more</p></div>', WHOLE),
+    (f"<div><h1>Title</h1><div><p>{LONG}</p></div></div>", f"Title\n{WHOLE}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=x>See also this</a></li></ul></article>", f"{WHOLE}\nSee also this"),
+])
+def test_article_text_stays(html, text):
+    assert html_text.main_text(html_text.parse(html), None) == text
+
+
+def test_a_hosts_path_that_leaves_text_out_gives_way():
+    html = f'<article><div class=body><p>{LONG}</p></div><div class=more><p>{LONG}</p></div></article>'
+    assert html_text.main_text(html_text.parse(html), ">article>div.body") == f"{WHOLE}\n{WHOLE}"
+
+
+def test_deep_pages_take_linear_time():
+    page = html_text.parse("<div>" * 20_000 + f"<h1>T</h1><p>{LONG}</p>")
+    assert html_text.main_text(page, None) == f"T\n{WHOLE}"
+
+
 def test_hosts_vote(spark):
     page = lambda body: f"<body><div class=wrap1>{body}</div><div class=more>teaser</div></body>"
     usual = "<section class=story><p>" + "story words " * 20 + "</p></section>"
