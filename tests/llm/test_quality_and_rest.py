@@ -135,7 +135,7 @@ WHOLE = LONG.strip()
     (f"<article><p>intro</p><ul><li>{LONG}</li></ul><p>outro</p></article>", f"intro\n{WHOLE}\noutro"),
     (f'<div class="content no-sidebar"><p>{LONG}</p></div>', WHOLE),
     (f'<div class="post share-enabled"><p>{LONG}</p></div>', WHOLE),
-    (f"<form id=aspnetForm><div><p>{LONG}</p><form><p>search</p></form></div></form>", f"{WHOLE}\nsearch"),
+    (f"<form id=aspnetForm><div><p>{LONG}</p><form><p>search</p></form></div></form>", WHOLE),
     (f'<p>{LONG}</p><form><p>leave a reply</p></form><div class="comment-list"><p>nice</p></div><div class="sidebar"><p>more</p></div>', WHOLE),
     (f"<div><h1>Title</h1><div><p>{LONG}</p></div></div>", f"Title\n{WHOLE}"),
     (f"<article><p>{LONG}</p><ul><li><a href=x>See also this</a></li></ul></article>", f"{WHOLE}\nSee also this"),
