@@ -13,13 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.timing import instant
 from ..plans.incidents import kept_rows, mark_duplicates
+from ..plans.monitors.config import ThresholdConfig
+from ..plans.monitors.table_metrics import learned_limit
 
 # Ship the processors with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -173,3 +175,48 @@ def threshold_stream(
         timeMode="None",
     )
     return out.withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double")))
+
+
+def threshold_batches(
+    scores: DataFrame,
+    path: str,
+    checkpoint: str,
+    monitor_id: str = "monitor_id",
+    ts_column: str = "checked_at",
+    score: str = "score",
+    threshold: ThresholdConfig = ThresholdConfig(),
+    min_history: int = 3,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Write rows (monitor_id, at_micros, score, threshold) of every micro-batch below ``path``/rows.
+
+    Any method of ``ThresholdConfig`` (``mad``, ``sigma``, ``iqr``, ``fixed``) with its limits, over the last ``window_size``
+    scores, current included: a frame over the scores that earlier batches have left and those of the batch, in built-in
+    expressions. The threshold is null until more than ``min_history`` scores are known. A repeated batch starts from the same
+    scores and replaces its own files. Rows without a score are left out.
+    """
+    size = threshold.window_size
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(
+            F.col(monitor_id).cast("string").alias("monitor_id"),
+            F.unix_micros(instant(ts_column)).alias("at_micros"),
+            F.col(score).cast("double").alias("score"),
+            F.lit(size).alias("place"),
+        ).where("score IS NOT NULL")
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}/state/batch_id={number - 1}"))
+        order = Window.partitionBy("monitor_id").orderBy("place", "at_micros", "score")
+        h = F.collect_list("score").over(order.rowsBetween(1 - size, Window.currentRow))
+        limit = F.when(F.size("h") > min_history, learned_limit(F.col("h"), threshold))
+        out = rows.withColumn("h", h).where(F.col("place") == size).select("monitor_id", "at_micros", "score", limit.alias("threshold"))
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch_id={number}")
+        newest = Window.partitionBy("monitor_id").orderBy(F.desc("place"), F.desc("at_micros"), F.desc("score"))
+        tail = rows.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= size)
+        state = tail.select("monitor_id", "at_micros", "score", (size - F.col("age")).cast("int").alias("place"))
+        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={number}")
+
+    writer = scores.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

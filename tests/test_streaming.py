@@ -1,11 +1,13 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablewatch import streaming
 from tablewatch.plans import expectations as E
+from tablewatch.plans.monitors import ThresholdConfig
 
 START = dt.datetime(2024, 1, 1)
 
@@ -64,6 +66,30 @@ def test_threshold_rolls_over_batches(spark, feed, tmp_path):
     assert limits[5] == pytest.approx(12.0 + 3 * 1.4826 * 1.5)
 
 
+@pytest.mark.parametrize("method", ["mad", "sigma", "iqr"])
+def test_learned_limits_roll_over_batches(spark, feed, tmp_path, method):
+    pick = random.Random(2)
+    rows = [(k, pick.choice("ab"), k, pick.uniform(0, 50)) for k in range(60)]
+    cfg = ThresholdConfig(method=method, sensitivity=2.0, window_size=6, max_threshold=70.0)
+    query = streaming.threshold_batches(
+        feed(rows[:25], rows[25:31], rows[31:]), str(tmp_path / "o"), str(tmp_path / "c"), "key", "ts", "value", cfg, available_now=True
+    )
+    query.awaitTermination()
+    got = {(r["monitor_id"], r["score"]): r["threshold"] for r in spark.read.parquet(str(tmp_path / "o" / "rows")).collect()}
+    assert len(got) == 60
+    for key in "ab":
+        past = []
+        for _, k, _, v in rows:
+            if k != key:
+                continue
+            past = (past + [v])[-6:]
+            s = sorted(past)
+            middle = float(np.median(s))
+            q1, q3 = s[len(s) // 4], s[len(s) * 3 // 4]
+            want = {"mad": middle + 2 * 1.4826 * float(np.median(np.abs(np.array(s) - middle))), "sigma": np.mean(s) + 2 * np.std(s), "iqr": q3 + 2 * (q3 - q1)}
+            assert got[key, v] == (None if len(past) <= 3 else pytest.approx(min(want[method], 70.0)))
+
+
 def test_late_rows_are_dropped_by_the_watermark(spark, feed, tmp_path):
     # Spark judges lateness by the watermark the batch before has worked with.
     stream = feed([(1, "a", 0, 1), (2, "a", 7200, 1)], [(5, "a", 7300, 1)], [(3, "a", 10, 1), (4, "a", 14400, 1)])

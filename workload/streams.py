@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewatch import streaming
 from tablewatch.plans import expectations as E
+from tablewatch.plans.monitors import ThresholdConfig
 from tablewatch.session import shared_dir
 
 from .common import r, stamp, table
@@ -103,11 +104,43 @@ SELECT 0, 2, 'column_values_to_be_in_set', count_if(event_type NOT IN ('click',
 UNION ALL
 SELECT 0, 3, 'unique', count(DISTINCT event_id) = count(*), CAST(count(*) - count(DISTINCT event_id) AS DOUBLE), count(*) FROM events"""
 
+LIMITS = {"mad": 3.0, "sigma": 2.0, "iqr": 1.5}
+MOST = 90.0  # of a learned limit
+
+
+def _threshold_by(method: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = shared_dir(spark, f"stream-{method}")
+        streaming.threshold_batches(
+            event_stream(spark, sf_dir), base, f"{base}/checkpoint", "event_type", "ts", "value",
+            ThresholdConfig(method=method, sensitivity=LIMITS[method], max_threshold=MOST), available_now=True,
+        ).awaitTermination()
+        return spark.read.parquet(f"{base}/rows").select("monitor_id", "at_micros", "score", r("threshold").alias("threshold"))
+
+    return query
+
+
+def _threshold_by_sql(limit: str) -> str:
+    return f"""
+SELECT event_type AS monitor_id, epoch_us(ts) AS at_micros, value AS score,
+  round(CASE WHEN len(h) > 3 THEN least(greatest({limit}, 0.001), {MOST}) END, 6) AS threshold
+FROM (SELECT *, list_sort(h0) AS h FROM (
+  SELECT *, list(value) OVER (PARTITION BY event_type ORDER BY ts, value ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS h0 FROM events))"""
+
+
+_AT = lambda p: f"h[CAST(floor(len(h) * {p}) AS INTEGER) + 1]"
+_LIMIT_SQL = {
+    "mad": "list_median(h) + 3.0 * 1.4826 * list_median(list_transform(h, lambda x: abs(x - list_median(h))))",
+    "sigma": "list_avg(h) + 2.0 * list_stddev_pop(h)",
+    "iqr": f"{_AT(0.75)} + 1.5 * ({_AT(0.75)} - {_AT(0.25)})",
+}
+
 QUERIES = {
     "stream_volume": _volume,
     "stream_sliding": _sliding,
     "stream_dedup": _dedup,
     "stream_auto_threshold": _threshold,
+    **{f"stream_auto_threshold_{m}": _threshold_by(m) for m in LIMITS},
     "stream_suite": _suite,
 }
 ORACLE = {
@@ -115,5 +148,6 @@ ORACLE = {
     "stream_sliding": _SLIDING_SQL,
     "stream_dedup": _DEDUP_SQL,
     "stream_auto_threshold": _THRESHOLD_SQL,
+    **{f"stream_auto_threshold_{m}": _threshold_by_sql(limit) for m, limit in _LIMIT_SQL.items()},
     "stream_suite": _SUITE_SQL,
 }
