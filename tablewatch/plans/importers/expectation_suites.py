@@ -96,8 +96,13 @@ def translate(documents: DataFrame, text: str = "document") -> DataFrame:
     )
 
 
+def to_suite(translated: DataFrame, name: str) -> E.ExpectationSuite:
+    """One runnable suite: only its rows are read to the driver. A suite without rows is empty."""
+    return to_suites(translated.where(F.col("suite") == name)).get(name, E.ExpectationSuite(name))
+
+
 def to_suites(translated: DataFrame) -> dict[str, E.ExpectationSuite]:
-    """Runnable suites; the translated rows are configuration and are read to the driver."""
+    """Runnable suites of few documents: all rows are read to the driver. Of many, take one at a time with ``to_suite``."""
     suites: dict[str, E.ExpectationSuite] = {}
     for r in translated.orderBy("suite", "position").collect():
         params = {}

@@ -11,11 +11,17 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MOST_LITERALS = 1_000
+MOST_BROADCAST = 1_000_000
+# Types whose members mean the same as rows of a table.
+_JOINED = (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType, T.DateType)
+
+
 @dataclass(frozen=True)
 class Members:
     values: list  # distinct, of the column's type
@@ -28,6 +34,22 @@ class Members:
     def literals(self) -> list[Column]:
         return [F.lit(v).cast(self.dtype) if not isinstance(v, Decimal) else F.lit(v) for v in self.values]
 
+    def joins(self) -> bool:
+        """Whether the set is better a table than literals of a plan."""
+        return len(self.values) > MOST_LITERALS and isinstance(self.dtype, _JOINED)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The members as rows (``member``); broadcast up to ``MOST_BROADCAST`` of them, which the caller has listed himself."""
+        rows = spark.createDataFrame([(v,) for v in self.values], T.StructType().add("member", self.dtype))
+        return F.broadcast(rows) if len(self.values) <= MOST_BROADCAST else rows
+
+    def outside(self, df: DataFrame, column: Column) -> DataFrame:
+        """Rows with a value that is no member."""
+        if not self.joins():
+            return df.where(column.isNotNull() & ~self.holds(column))
+        known = df.where(column.isNotNull())
+        return known.join(self.table(df.sparkSession), column == F.col("member"), "left_anti")
+
     def holds(self, column: Column) -> Column:
         """Whether a value that is not null is a member; compared typed, so the scan can use it."""
         return column.isin(self.literals()) if self.values else F.lit(False)

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -148,3 +149,16 @@ def test_many_metrics_are_split(spark):
     got = check(df, *items)
     assert len(got) == 240 and all(r["success"] for r in got)
     assert S.METRICS_PER_SCAN == 200
+
+
+def test_a_large_set_is_joined(spark):
+    rows = spark.createDataFrame([(k, float(k), f"n{k}") for k in [*range(50), 5_000, 5_000]] + [(None, None, None)], "i INT, d DOUBLE, s STRING")
+    sets = [("i", range(2_000)), ("d", [str(k) for k in range(2_000)]), ("s", [f"n{k}" for k in range(2_000)] + ["n1"]), ("i", ["x", *range(1_500)])]
+    checks = [E.values_in_set(column, values) for column, values in sets]
+    got = run_suite(E.ExpectationSuite("s").add(*checks), rows).orderBy("position").collect()
+    assert [(r["observed"], r["total"], r["success"]) for r in got] == [(2.0, 53, False)] * 4
+    few = run_suite(E.ExpectationSuite("s").add(E.values_in_set("i", [1, 2])), rows).first()
+    assert json.loads(got[0]["expected_json"])["allowed_set"][:2] == ["0", "1"] and json.loads(few["expected_json"])["allowed_set"] == ["1", "2"]
+    assert [r["i"] for r in failing_rows(rows, checks[0]).collect()] == [5_000, 5_000]
+    plan = run_suite(E.ExpectationSuite("s").add(checks[2]), rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and " IN (" not in plan and "INSET" not in plan

@@ -254,6 +254,10 @@ QUERIES: dict[str, Query] = {
         (O, [E.column_type("o_orderkey", "bigint"), E.column_type("o_orderkey", "string"),
              E.column_exists("o_custkey"), E.column_exists("gone"), E.row_count_between(1, None)])
     ),
+    "exp_values_in_large_set": suite_query(
+        (O, [E.values_in_set("o_custkey", range(1, 1_400)), E.values_in_set("o_orderkey", [str(k) for k in range(0, 40_000, 2)]),
+             E.values_in_set("o_orderpriority", [f"{k}-LOW" for k in range(3_000)])])
+    ),
     "exp_errors": suite_query(
         (O, [E.not_null("gone"), E.between("o_orderstatus", 0, 1), E.custom("typo", "o_total > 0"),
              E.match_regex("o_orderstatus", "("), E.not_null("o_orderkey"), E.custom("zero", "o_totalprice / (o_orderkey % 2) > 0"),
@@ -390,6 +394,13 @@ FROM (SELECT count_if(column_name = 'o_orderkey' AND data_type = 'BIGINT') AS bi
     (2, 'column_exists', 'o_custkey', cust > 0), (3, 'column_exists', 'gone', gone > 0)) t(p, k, c, s)
 UNION ALL
 """ + row(O, 4, E.ROW_COUNT_BETWEEN, None, "count(*) >= 1", "count(*)", "count(*)", O),
+    "exp_values_in_large_set": rows(
+        row(O, 0, E.VALUES_IN_SET, "o_custkey", "count_if(o_custkey NOT BETWEEN 1 AND 1399) = 0", "count_if(o_custkey NOT BETWEEN 1 AND 1399)", "count(*)", O),
+        row(O, 1, E.VALUES_IN_SET, "o_orderkey", "count_if(o_orderkey % 2 = 1 OR o_orderkey NOT BETWEEN 0 AND 39998) = 0",
+            "count_if(o_orderkey % 2 = 1 OR o_orderkey NOT BETWEEN 0 AND 39998)", "count(*)", O),
+        row(O, 2, E.VALUES_IN_SET, "o_orderpriority", "count_if(NOT regexp_full_match(o_orderpriority, '[0-9]-LOW')) = 0",
+            "count_if(NOT regexp_full_match(o_orderpriority, '[0-9]-LOW'))", "count(*)", O),
+    ),
     "exp_errors": """
 SELECT 'orders' AS suite, p AS position, k AS expectation, c AS column_name, false AS success,
   CAST(NULL AS DOUBLE) AS observed, CAST(NULL AS BIGINT) AS total
