@@ -104,6 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_sharding": f"""
+WITH placed AS (
+    SELECT doc_id, CAST(list_reduce(list_transform(string_split(substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {lookup_sharding.DIGITS}), ''),
+               lambda x: CAST(instr('0123456789abcdef', x) - 1 AS BIGINT)), lambda a, b: a * 16 + b) % {lookup_sharding.SLOTS} AS BIGINT) AS slot
+    FROM documents
+)
+SELECT doc_id, slot, ({[SHARDS[k] for k in lookup_sharding.lookup_table(SHARDS)]})[slot + 1] AS shard FROM placed
+""",
     "op11_hard_negatives": """
 WITH v AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

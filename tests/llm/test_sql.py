@@ -1,11 +1,13 @@
 """Queries of the text operators against their SQL."""
 
+import os
+
 import pytest
 from oracle import _rows, duck
 
 from tablewatch.llm.queries import ORACLE, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
