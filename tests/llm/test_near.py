@@ -108,50 +108,99 @@ def test_line_columns_with_clashing_names(spark):
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [(1, "a b", 7, "x", 3), (None, None, 8, "y", None)]
 
 
-def kept_by_edits_alone(rows):
-    """Kept lines if the edit similarity of two lines says whether they are linked; all pairs are compared."""
+def simhash(words):
+    """128 bits, each the majority in the hashes of the words; the second half hashes the first one's hash."""
+    votes = [0] * 128
+    for word in words:
+        a = xxhash.xxh64(word.encode(), seed=42).intdigest()
+        b = xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()
+        for k in range(64):
+            votes[k] += a >> k & 1
+            votes[64 + k] += b >> k & 1
+    return sum(1 << k for k in range(128) if 2 * votes[k] > len(words))
+
+
+def share_a_block(a, b, width):
+    def block(x, at):
+        return (x >> at | x << 128 - at) & (1 << width) - 1
+
+    return (a ^ b).bit_count() <= 48 and any(block(a, at) == block(b, at) for at in range(0, 128, 16))
+
+
+def kept_by_all_pairs(rows, width):
+    """Kept lines if all pairs are compared: by SimHash blocks and edits, and how many of the pairs alike by edits meet."""
     places = {}
     for i, text in rows:
         for k, line in enumerate(text.split("\n")):
             places.setdefault(tuple(re.findall(r"[^\W_]+", line.lower())), []).append((i, k))
     blank = set(places.pop((), []))
     first = {w: min(p) for w, p in places.items()}
-    links = [
-        (first[a], first[b]) for a, b in combinations(first, 2)
+    hashes = {w: simhash(w) for w in first}
+    alike = [
+        (a, b) for a, b in combinations(first, 2)
         if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) + 1e-6 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-6
     ]
+    links = [(first[a], first[b]) for a, b in alike if share_a_block(hashes[a], hashes[b], width)]
     groups = smallest(first.values(), links)
     kept = {p for p, g in groups.items() if p == g} | blank
-    return {i: [k for k in range(text.count("\n") + 1) if (i, k) in kept] for i, text in rows}, len(links)
+    return {i: [k for k in range(text.count("\n") + 1) if (i, k) in kept] for i, text in rows}, len(links), len(alike)
+
+
+def changed(pick, base, share, vocabulary):
+    words = list(base)
+    for _ in range(max(1, int(share * len(base)))):
+        at = pick.randrange(len(words))
+        how = pick.choice(["put", "cut", "add"])
+        if how == "cut" and len(words) > 1:
+            del words[at]
+        elif how == "add":
+            words.insert(at, pick.choice(vocabulary))
+        else:
+            words[at] = pick.choice(vocabulary)
+    return words
 
 
-def test_lines_equal_all_pairs_by_edits_alone(spark):
-    """Up to a fifth of the words substituted, dropped or added, anywhere; lines of every short length."""
+def test_lines_equal_all_pairs(spark):
+    """Lines of every short length, up to a fifth of the words changed: the links of all pairs that share a block."""
     pick = random.Random(8)
     vocabulary = [f"{'long' * pick.randint(0, 3)}w{k}" for k in range(300)]
-    rows = []
-    for n in [*range(1, 26), 30, 37, 50, 80, 120]:
+    rows = [(900, ""), (901, "same words here"), (902, "Same, words -- HERE!\n\n--"), (903, "x" * 70_000)]
+    for n in [*range(1, 26), 30, 37, 50, 80, 127, 128, 300]:
         base = [pick.choice(vocabulary) for _ in range(n)]
-        rows.append((len(rows), " ".join(base)))
-        for share in (0.1, 0.2, 0.2, 0.25):
-            words = list(base)
-            k = max(1, int(share * n))
-            kind = pick.choice(["spread", "mixed"])
-            for step in range(k):
-                at = (step * len(words) // k + n // (2 * k)) % len(words) if kind == "spread" else pick.randrange(len(words))
-                how = "put" if kind == "spread" else pick.choice(["put", "cut", "add"])
-                if how == "cut" and len(words) > 1:
-                    del words[at]
-                elif how == "add":
-                    words.insert(at, pick.choice(vocabulary))
-                else:
-                    words[at] = pick.choice(vocabulary)
-            rows.append((len(rows), " ".join(words)))
-    want, n_links = kept_by_edits_alone(rows)
-    assert n_links > 60
+        rows += [(len(rows), " ".join(changed(pick, base, share, vocabulary))) for share in (0, 0.03, 0.05, 0.1, 0.2, 0.25)]
+    want, n_links, n_alike = kept_by_all_pairs(rows, line_dedup.block_width(len(rows)))
+    assert 60 < n_links < n_alike
     assert {r.doc_id: r.kept for r in line_dedup.kept_lines(frame(spark, rows)).collect()} == want
 
 
+def test_recall_of_lines_by_edits_alone(spark):
+    """Of pairs with one word in twenty changed, as many as the docstring says are found."""
+    pick = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(400):
+        base = [pick.choice(vocabulary) for _ in range(pick.choice([20, 40, 60, 100]))]
+        copy = list(base)
+        for at in range(10, len(base), 20):
+            copy[at] = pick.choice(vocabulary)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    dropped = [r.doc_id for r in line_dedup.kept_lines(frame(spark, rows)).where("size(kept) = 0").collect()]
+    assert all(k % 2 for k in dropped) and len(dropped) >= 0.9 * 400
+
+
+def test_many_variants_of_one_line(spark):
+    """A group far above any bound of candidates, and blocks that many lines share."""
+    pick = random.Random(10)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(1500):
+        words = list(base)
+        words[pick.randrange(60)] = f"v{k}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.kept for r in line_dedup.kept_lines(frame(spark, rows)).collect()}
+    assert sum(map(len, got.values())) <= 30 and got[0] == [0]
+
+
 def test_very_long_lines_are_matched(spark):
     """One edit in a line of 70,000 words, more than the lanes of the sums once held."""
     words = [f"w{k}" for k in range(70_000)]
