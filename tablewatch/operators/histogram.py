@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double, ratio
 from .local_rows import constant_rows
+from .order_stats import with_position
 
 # Fixed value: guard added to an empty cell of q in KL(p || q).
 EMPTY_CELL_GUARD = 1e-10
@@ -63,6 +66,37 @@ def divergences(cells: DataFrame, p: str, q: str, by: list[str] | None = None) -
     )
 
 
+def _first_of_bins(low: float, high: float, bins: int) -> list[float]:
+    """For bins 1 to ``bins`` - 1, the smallest double from ``low`` on that ``bin_of`` puts there or higher.
+
+    Found by halving the ordered doubles between the limits, so counts between these values are those of ``bin_of``
+    to the last row, whatever its rounding. A bin that no value reaches starts above ``high``.
+    """
+    width = (high - low) / bins
+    wanted = np.arange(1, bins)
+    if not width > 0:
+        return [math.inf] * (bins - 1)
+
+    def ordered(x: float) -> int:
+        (i,) = np.array([x + 0.0]).view(np.int64).tolist()
+        return i if i >= 0 else -(i & (2**63 - 1))
+
+    def double(i: np.ndarray) -> np.ndarray:
+        return np.where(i >= 0, np.abs(i).view(np.float64), -np.abs(i).view(np.float64))
+
+    below = np.full(bins - 1, ordered(low) - 1, dtype=np.int64)
+    above = np.full(bins - 1, ordered(high) + 1, dtype=np.int64)
+    with np.errstate(all="ignore"):
+        while (above > below + 1).any():
+            # halves apart, as the sum or difference of two orders may not fit
+            middle = (below >> 1) + (above >> 1) + (below & above & 1)
+            q = (double(middle) - low) / width
+            reached = np.where(np.isnan(q), bins - 1, np.clip(np.floor(q), 0, bins - 1)) >= wanted
+            open_ = above > below + 1
+            above, below = np.where(reached & open_, middle, above), np.where(~reached & open_, middle, below)
+    return [float(x) if i <= ordered(high) else math.inf for x, i in zip(double(above), above.tolist(), strict=True)]
+
+
 def paired_histogram(
     df: DataFrame,
     value: str | Column,
@@ -75,8 +109,9 @@ def paired_histogram(
 
     Every pair uses the minimum and maximum over both of its samples. ``reference`` and
     ``targets`` are row conditions on ``df``; one scan for the limits, one for the counts.
-    A row is expanded once per target it counts for, and collapses in the partial
-    aggregate before anything is shuffled.
+    The reference is summarised once for all targets: its rows are counted between the merged bin bounds of
+    all pairs, and a pair's bins are differences of running totals over those at most ``bins`` x targets counts. So a row
+    is expanded once for the reference and once per target it belongs to, however many targets there are.
     """
     names = list(targets)
     base = df.select(
@@ -87,30 +122,43 @@ def paired_histogram(
     ).where(F.col("v").isNotNull())
     both = [F.col("r") | F.col(f"t{i}") for i in range(len(names))]
     limits = base.agg(
-        F.struct(
-            *[F.min(F.when(b, F.col("v"))).alias(f"lo{i}") for i, b in enumerate(both)],
-            *[F.max(F.when(b, F.col("v"))).alias(f"hi{i}") for i, b in enumerate(both)],
-        ).alias("limits")
-    ).scalar()
-    entries = [
-        F.when(
-            b,
-            F.struct(
-                F.lit(names[i]).alias("name"),
-                bin_of(F.col("v"), limits[f"lo{i}"], limits[f"hi{i}"], bins).alias("bin"),
-                (F.col("r").cast("bigint") * F.col("w")).alias("r"),
-                (F.col(f"t{i}").cast("bigint") * F.col("w")).alias("t"),
-            ),
-        )
-        for i, b in enumerate(both)
+        *[F.min(F.when(b, F.col("v"))).alias(f"lo{i}") for i, b in enumerate(both)],
+        *[F.max(F.when(b, F.col("v"))).alias(f"hi{i}") for i, b in enumerate(both)],
+    ).first()
+    known = [i for i in range(len(names)) if limits[f"lo{i}"] is not None]
+    starts = {i: _first_of_bins(limits[f"lo{i}"], limits[f"hi{i}"], bins) for i in known}
+    cuts = sorted({c for s in starts.values() for c in s if c < math.inf})
+    at = {c: k + 1 for k, c in enumerate(cuts)}  # with_position of a value that equals the cut
+    own = [
+        F.when(F.col(f"t{i}"), F.struct(
+            F.lit(i).alias("i"), bin_of(F.col("v"), F.lit(limits[f"lo{i}"]), F.lit(limits[f"hi{i}"]), bins).alias("at")
+        )) for i in known
     ]
-    cells = (
-        base.select(F.inline(F.array(*entries)))
-        .where("name IS NOT NULL")
-        .groupBy("name", "bin")
-        .agg(F.sum("r").alias("n_reference"), F.sum("t").alias("n_target"))
+    # The reference is number -1, and told by its place among the cuts instead of a bin.
+    placed = with_position(base, {"_cut": ("v", cuts)})
+    told = F.when(F.col("r"), F.struct(F.lit(-1).alias("i"), F.col("_cut").cast("int").alias("at")))
+    counted = (
+        placed.select("w", F.explode(F.filter(F.array(told, *own), lambda e: e.isNotNull())).alias("e"))
+        .groupBy("e.i", "e.at")
+        .agg(F.sum("w").alias("n"))
+    )
+    # The last place of every bin of every pair. From here on, rows are bounded by the request: pairs times bins.
+    ends = [place - 1 for i in known for place in [*(at.get(c, len(cuts) + 1) for c in starts[i]), len(cuts) + 1]]
+    bounds = df.sparkSession.range(len(ends)).select(
+        F.get(F.lit(known or [0]), (F.col("id") / bins).cast("int")).alias("i"),
+        F.pmod("id", F.lit(bins)).cast("int").alias("bin"),
+        F.get(F.lit(ends or [0]), F.col("id").cast("int")).alias("at"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    upto = F.sum("n").over(Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    running = bounds.unionByName(counted.where("i = -1").withColumn("bin", F.lit(0))).withColumn("upto", upto).where("i >= 0")
+    before = F.lag("upto", 1, 0).over(Window.partitionBy("i").orderBy("bin"))
+    summary = running.select(
+        "i", F.get(F.lit(names), F.col("i")).alias("name"), "bin", (F.col("upto") - before).alias("n_reference")
     )
-    # A pair has at most ``bins`` cells.
+    cells = summary.join(
+        counted.where("i >= 0").select("i", F.col("at").alias("bin"), F.col("n").alias("n_target")), ["i", "bin"], "left"
+    ).select("name", "bin", "n_reference", F.coalesce("n_target", F.lit(0)).alias("n_target")).where("n_reference > 0 OR n_target > 0")
     pair = Window.partitionBy("name")
     return cells.select(
         "name",

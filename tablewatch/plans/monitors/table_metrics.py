@@ -95,30 +95,37 @@ def freshness_results(
     )
 
 
-def volume_timeline(df: DataFrame, ts_column: str, bucket: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by..., bucket_start, row_count) without gaps: empty buckets count 0.
+def volume_timeline(
+    df: DataFrame, ts_column: str, bucket: str, by: Sequence[str] = (), longest_gap: int | None = None
+) -> DataFrame:
+    """Rows (by..., bucket_start, row_count, buckets) without gaps: empty buckets count 0.
 
-    A segment starts at its first row and ends at the last bucket of the table. The grid
-    has one row per segment and bucket, whatever the table's size.
+    A segment starts at its first row and ends at the last bucket of the table. ``buckets`` is the number of buckets a
+    row stands for. With ``longest_gap``, a run of more empty buckets than that is told by as many rows, of which the
+    last stands for the rest of the run: the rows are then bounded by the buckets that hold something, and one row
+    with a time stamp far back costs no row per bucket since. Without it, every bucket is a row.
     """
-    start = F.window(instant(ts_column), bucket)["start"]
+    span = F.window(instant(ts_column), bucket)
     counts = (
         df.where(F.col(ts_column).isNotNull())
-        .groupBy(*by, start.alias("bucket_start"))
+        .groupBy(*by, span.alias("_span"))
         .agg(F.count(F.lit(1)).alias("row_count"))
+        .select(*by, F.col("_span.start").alias("bucket_start"), F.col("_span.end").alias("_end"), "row_count")
     )
-    last = counts.agg(F.max("bucket_start")).scalar()
-    grid = (
-        counts.groupBy(*by)
-        .agg(F.min("bucket_start").alias("_first"))
-        .where("_first IS NOT NULL")
-        .select(
-            *by,
-            F.explode(F.sequence(F.col("_first"), last, F.expr(f"INTERVAL {bucket}"))).alias("bucket_start"),
-        )
-    )
-    return grid.join(counts, [*by, "bucket_start"], "left").withColumn(
-        "row_count", F.coalesce("row_count", F.lit(0)).cast("bigint")
+    # the end of the table's last bucket closes the last run of every segment
+    closing = counts.agg(F.max("_end")).scalar()
+    following = F.lead("bucket_start").over(Window.partitionBy(*by).orderBy("bucket_start"))
+    start, end = F.unix_micros("bucket_start"), F.unix_micros("_end")
+    runs = counts.withColumn("_empty", (F.unix_micros(F.coalesce(following, closing)) - end).cast("bigint"))
+    runs = runs.withColumns({"_step": end - start, "_empty": F.expr("_empty div (unix_micros(_end) - unix_micros(bucket_start))")})
+    told = F.col("_empty") if longest_gap is None else F.least("_empty", F.lit(longest_gap).cast("bigint"))
+    rows = runs.withColumn("_told", told).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_told"))))
+    held = F.col("_k") == 0
+    return rows.select(
+        *by,
+        F.timestamp_micros(F.unix_micros("bucket_start") + F.col("_k") * F.col("_step")).alias("bucket_start"),
+        F.when(held, F.col("row_count")).otherwise(F.lit(0)).cast("bigint").alias("row_count"),
+        F.when(~held & (F.col("_k") == F.col("_told")), F.col("_empty") - F.col("_told") + 1).otherwise(F.lit(1)).cast("bigint").alias("buckets"),
     )
 
 
@@ -133,10 +140,15 @@ def volume_rule(count: Column, limit: Column, cold: Column, quiet: bool) -> tupl
 
 
 def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
-    """Monitor results of a timeline (by..., bucket_start, row_count)."""
+    """Monitor results of a timeline (by..., bucket_start, row_count).
+
+    A row that stands for several empty buckets (``buckets``) has their number in its details.
+    """
     t = cfg.threshold
     upto = Window.partitionBy("monitor_id").orderBy("bucket_start").rowsBetween(-(t.window_size - 1), 0)
     rows = timeline.withColumn("monitor_id", monitor_key(cfg.id, cfg.by))
+    if "buckets" not in timeline.columns:
+        rows = rows.withColumn("buckets", F.lit(1).cast("bigint"))
     rows = rows.withColumn("seen", F.collect_list(F.col("row_count").cast("double")).over(upto))
     count, n = F.col("row_count").cast("double"), F.size("seen")
     fixed = t.method == "fixed"
@@ -150,7 +162,7 @@ def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
     baseline = array_mean(F.slice("seen", F.lit(1), F.greatest(n - 1, F.lit(0))))
     change = F.when((n > 1) & (baseline > 0), ratio(count - baseline, baseline, 0.0) * 100.0)
     rows = rows.select(
-        "monitor_id", "bucket_start", "row_count",
+        "monitor_id", "bucket_start", "row_count", "buckets",
         count.alias("count"), n.alias("n"), cold.alias("cold"), limit.alias("limit"),
         F.coalesce(change, F.lit(0.0)).alias("change"),
     )
@@ -166,7 +178,7 @@ def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
         text = say(
             "Volume alert: table '%s' has %d rows (change: %.1f%%)", name, F.col("row_count"), F.col("change")
         )
-    entries = {"row_count": count, "threshold": limit}
+    entries = {"row_count": count, "threshold": limit, "buckets": F.when(F.col("buckets") > 1, F.col("buckets"))}
     if not fixed:
         entries |= {"pct_change": F.col("change"), "history_len": F.col("n")}
     return monitor_results(
@@ -189,5 +201,10 @@ def score_volume(timeline: DataFrame, cfg: Volume) -> DataFrame:
 
 
 def check_volume(df: DataFrame, cfg: Volume) -> DataFrame:
-    """Row count per time bucket against a limit learned from the last buckets, this one included."""
-    return score_volume(volume_timeline(df, cfg.ts_column, cfg.bucket, cfg.by), cfg)
+    """Row count per time bucket against a limit learned from the last buckets, this one included.
+
+    Behind as many empty buckets as the limit looks back, nothing changes until rows come again, so the rest of such a gap
+    is one result: stamped with its first bucket, with the number of ``buckets`` in its details.
+    """
+    timeline = volume_timeline(df, cfg.ts_column, cfg.bucket, cfg.by, cfg.threshold.window_size)
+    return score_volume(timeline, cfg)

@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,32 @@ def test_volume_fixed_and_gaps(spark):
     assert got == [(2.0, False, "INFO"), (0.0, True, "CRITICAL"), (0.0, True, "CRITICAL"), (4.0, True, "WARNING")]
 
 
+def test_volume_gap_longer_than_the_limit_looks_back(spark):
+    """A row 40 years early costs no row per hour since, and what is told equals the dense grid."""
+    from tablewatch.plans.monitors.table_metrics import score_volume, volume_timeline
+
+    t = M.ThresholdConfig(window_size=4)
+    stamps = ["2024-01-01 01:10:00", "2024-01-01 02:00:00", *["2024-01-01 12:05:00"] * 3, "2024-01-01 14:00:00"]
+    df, cfg = at(spark, *stamps), M.Volume("v", "t", bucket="1 hour", threshold=t)
+    dense = score_volume(volume_timeline(df, cfg.ts_column, cfg.bucket), cfg).orderBy("ts").collect()
+    told = M.check_volume(df, cfg).orderBy("ts").collect()
+    assert len(dense) == 14 and len(told) == 9
+    plain = lambda r: (r["ts"], r["score"], r["threshold"], r["alert"], r["severity"], r["message"])
+    unfolded = []
+    for r in told:
+        n = int(r["details"].get("buckets", 1))
+        unfolded += [(r["ts"] + timedelta(hours=k), *plain(r)[1:]) for k in range(n)]
+    assert unfolded == [plain(r) for r in dense]
+    early = M.check_volume(at(spark, "1984-01-01 00:00:00", *stamps), cfg)
+    assert early.count() == 9 + 1 + 4
+
+
+def test_volume_of_a_null_segment(spark):
+    df = spark.createDataFrame([("a", 3), (None, 2)], "g STRING, n INT").selectExpr("g", "explode(sequence(1, n)) AS i", "timestamp'2024-01-01 00:00:00' AS ts")
+    got = M.check_volume(df, M.Volume("v", "t", by=["g"])).collect()
+    assert {(r["monitor_id"], r["score"]) for r in got} == {("v:a", 3.0), ("v:null", 2.0)}
+
+
 def test_schema(spark):
     base = spark.createDataFrame([], "a DOUBLE, b DOUBLE")
     snap = lambda df: M.schema_snapshot(df, "t")

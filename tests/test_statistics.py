@@ -10,7 +10,7 @@ from tablewatch.functions.arrays import array_mad, array_median, auto_threshold,
 from tablewatch.operators import order_stats
 from tablewatch.operators.chi_square import chi_square_drift, chi_square_upper_tail
 from tablewatch.operators.correlation import pearson, spearman
-from tablewatch.operators.histogram import divergences, histogram, js_drift
+from tablewatch.operators.histogram import divergences, histogram, js_drift, paired_histogram
 from tablewatch.operators.ks import ks_drift
 from tablewatch.operators.outliers import (
     interpolated_quantiles,
@@ -183,3 +183,24 @@ def test_with_position(spark):
         got = order_stats.with_position(df, {"i": ("x", cuts)}, inclusive).collect()
         for r in got:
             assert r["i"] == sum((c <= r["x"]) if inclusive else (c < r["x"]) for c in cuts)
+
+
+def test_drift_series_counts_the_reference_once(spark):
+    """Cells of many targets equal a plain count; rows behind the explode do not grow with the targets."""
+    pick = random.Random(12)
+    odd = [0.1 * k for k in range(30)] + [1e300, -1e300, 5e-324, -0.0, 1e-9, -7.0]
+    rows = [(pick.choice(odd) if k % 3 else pick.gauss(0, 4), pick.randint(-1, 40)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "x DOUBLE, day INT")
+    for low_days in (0, 38):
+        targets = {str(d): F.col("day") == d for d in range(low_days, 43)}
+        cells = paired_histogram(df.where("abs(x) < 1e200 OR day > 20"), "x", F.col("day") < 3, targets, bins=7)
+        want = {}
+        for d in range(low_days, 43):
+            held = [(x, day < 3, day == d) for x, day in rows if (day < 3 or day == d) and (abs(x) < 1e200 or day > 20)]
+            low, high = min(h[0] for h in held), max(h[0] for h in held)
+            for x, r, t in held:
+                c = want.setdefault((str(d), max(0, min(math.floor((x - low) / ((high - low) / 7)), 6))), [0, 0])
+                c[0] += r
+                c[1] += t
+        assert {(c["name"], c["bin"]): [c["n_reference"], c["n_target"]] for c in cells.collect()} == want
+    assert paired_histogram(df.where("x is null"), "x", F.col("day") < 3, {"a": F.col("day") > 3}).count() == 0
