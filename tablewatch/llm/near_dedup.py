@@ -7,14 +7,15 @@ child named by its minwise value there: similar sets stay together with a probab
 others part. Small nodes are compared exhaustively, large ones branch again, and independent trees repeat
 this to the target recall. Every link is confirmed on the full sets; nothing is decided by a sketch alone.
 
-How nodes are compared: first every document with the most similar of its nodes' smallest members (one pair per
-document), then only members of *different* components so far, as a link inside one component changes nothing. So a group of
-many mutual copies never emits all its pairs, and no node is capped or dropped.
+How nodes are compared: in the first tree, every set meets the most similar of its nodes' smallest members (one pair per
+set). Then, in the nodes of all trees, one representative of each component so far does the same. What is left are members of
+*different* components: those outside a node's largest component meet the others there, as a link inside one component changes
+nothing. So a group of many mutual copies never emits all its pairs, and no node is capped or dropped.
 
 Rows: a null or blank text has no set, links with nothing and is its own class. A text of fewer words than a
-shingle is one shingle, its whole word sequence. Equal sets are one class before the trees begin. A null
-``doc_id`` takes no part; repeated ids keep the smallest set hash. Extra columns are ignored. Ties go to the
-smaller doc_id.
+shingle is one shingle, its whole word sequence. Equal sets are one class before the trees begin, with a number of its own,
+so rows that share an id but not the text are linked text by text. A null ``doc_id`` takes no part. Extra columns are ignored.
+The smallest doc_id names a class. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,15 +39,16 @@ TREES = 12
 # of the nodes), the two levels most nodes have with 0.73, and DEPTH levels with 0.48: twelve trees miss it with a
 # chance of 2 in 10 million, or of 4 in 10,000 where nodes stay large to the end.
 DEPTH = 6
-SMALL = 256  # members of a node that is compared exhaustively
+SMALL = 256  # members of a node that does not branch again
 # Of 256 sketch bits, sets of similarity 0.8 differ in 25.6 (sd 4.8); 48 is more than four and a half deviations away.
 MAX_BITS = 48
 
 # Each shingle flips one of 512 bits. Where two sets differ in d shingles, at most d bits differ, so too many of
 # these bits rule a pair out for certain.
 FLIPS = [f"flips_{k}" for k in range(8)]
-CARRIED = ["doc_id", "n_shingles", *BITS]
-SETS = ", ".join([*(f"{c} long" for c in (*CARRIED, "set_a", "set_b", *FLIPS)), "mins binary"])
+CARRIED = ["set_id", "n_shingles", *BITS]
+SET = ["set_a", "set_b", "n_shingles"]  # two hashes of a set and its size
+SETS = ", ".join([*(f"{c} long" for c in ("doc_id", "n_shingles", *BITS, "set_a", "set_b", *FLIPS)), "mins binary"])
 NODES = ", ".join(f"{c} long" for c in ("node", *CARRIED))
 
 
@@ -96,20 +98,25 @@ def _flips(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(odd.reshape(n, width), axis=1).view(np.uint64).T)
 
 
+def _hashes(sets: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """set_a and set_b of each document."""
+    with np.errstate(over="ignore"):
+        return [tb.sums(tb.mix(sets ^ tb.U64(k)), cuts) for k in (0x51, 0xA7)]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for first, n, sets, cuts in _shingle_sets(batch.column(1), size):
             lows = _minwise(sets, cuts)
             mixed = tb.mix(lows)
-            with np.errstate(over="ignore"):
-                bits = [_packed(mixed[64 * k : 64 * k + 64]) for k in range(len(BITS))]
-                both = [tb.sums(tb.mix(sets ^ tb.U64(k)), cuts) for k in (0x51, 0xA7)]
+            bits = [_packed(mixed[64 * k : 64 * k + 64]) for k in range(len(BITS))]
+            both = _hashes(sets, cuts)
             mins = np.ascontiguousarray((mixed[:COORDINATES] >> tb.U64(32)).astype("<u4").T)
             longs = [pa.array(x.view(np.int64)) for x in (*bits, *both, *_flips(sets, cuts))]
             yield pa.record_batch(
                 [pa.array(ids[first : first + n]), pa.array(np.diff(cuts)), *longs, pa.array([row.tobytes() for row in mins], pa.binary())],
-                names=[*CARRIED, "set_a", "set_b", *FLIPS, "mins"],
+                names=["doc_id", "n_shingles", *BITS, "set_a", "set_b", *FLIPS, "mins"],
             )
 
 
@@ -178,30 +185,36 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _with_smallest(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of each document with the most similar of its nodes' smallest members."""
+    """Candidate pairs of each set with the most similar of its nodes' smallest members."""
     low = nodes.groupBy("node").agg(F.min(F.struct(*CARRIED)).alias("low")).select("node", "low.*")
     x, y = nodes.alias("x"), low.alias("y")
-    met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _near("x", "y", percent)).select(
-        F.col("x.doc_id").alias("b"), F.col("y.doc_id").alias("a"), _bits_apart("x", "y").alias("apart")
+    met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.set_id") != F.col("y.set_id")) & _near("x", "y", percent)).select(
+        F.col("x.set_id").alias("b"), F.col("y.set_id").alias("a"), _bits_apart("x", "y").alias("apart")
     )
     return met.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets meet 100 * intersection >= percent * union."""
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose full sets meet 100 * intersection >= percent * union. ``firsts``: a document of each set."""
     pairs = written(pairs)
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+    asked = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
+    wanted = written(firsts.join(asked, "set_id", "left_semi"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, n, sets, cuts in _shingle_sets(batch.column(1), size):
+                both = (pa.array(x.view(np.int64)) for x in _hashes(sets, cuts))
+                shingles = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.record_batch(
-                    [ids.slice(first, n), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sets.view(np.int64)))],
-                    names=["doc_id", "shingles"],
+                    [ids.slice(first, n), *both, pa.array(np.diff(cuts)), shingles], names=["doc_id", *SET, "shingles"],
                 )
 
-    sets = written(docs.join(bounded(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(rows, "doc_id long, shingles array<long>"))
+    of_docs = docs.join(bounded(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        rows, "doc_id long, set_a long, set_b long, n_shingles long, shingles array<long>"
+    )
+    # repeated rows have one set
+    sets = written(of_docs.join(bounded(wanted), ["doc_id", *SET]).select("set_id", "shingles").dropDuplicates(["set_id"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,16 +227,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     met = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
     )
     return written(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
 def _grouped(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Members with their component, of the nodes that hold more than one, and the node's size."""
-    rows = nodes.join(bounded(classes).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
+    rows = nodes.join(bounded(classes).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "component", F.coalesce("component", "set_id")
     )
     mixed = rows.groupBy("node").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")
@@ -232,24 +245,15 @@ def _grouped(nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between different components of a node."""
-    x, y = rows.alias("x"), rows.alias("y")
-    return (
-        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-    )
-
-
-def _across_dense(rows: DataFrame, percent: int) -> DataFrame:
-    """The same for nodes that stay large: members outside the node's largest component with all others."""
+    """Candidate pairs between different components of a node: members outside the node's largest component with the others."""
     held = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"))
     most = held.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
-    rest = rows.join(most, "node").where("component <> most")
-    x, y = rest.alias("x"), rows.alias("y")
+    x, y = rows.join(most, "node").where("component <> most").alias("x"), rows.alias("y")
+    # both of a pair outside the largest component meet once, from the smaller one
+    once = (F.col("y.component") == F.col("x.most")) | (F.col("x.component") < F.col("y.component"))
     return (
-        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & once & _may_link("x", "y", percent))
+        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
         .distinct()
     )
 
@@ -259,32 +263,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     docs = tagged(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(shingle_sketches(docs, size))
     full = sketches.where("n_shingles > 0")
-    alike = written(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first_id")))
-    firsts = alike.select(F.col("first_id").alias("doc_id"), "set_a", "set_b")
-    reps = written(full.join(firsts, ["doc_id", "set_a", "set_b"], "left_semi").select(*CARRIED, *FLIPS, "mins").dropDuplicates(["doc_id"]))
+    # the numbers of the sets hold because they are written before they are used
+    firsts = full.groupBy(*SET).agg(F.min("doc_id").alias("doc_id")).withColumn("set_id", F.monotonically_increasing_id())
+    firsts = written(firsts.select("set_id", "doc_id", *SET))
+    reps = written(full.join(firsts, ["doc_id", *SET]).select(*CARRIED, *FLIPS, "mins").dropDuplicates(["set_id"]))
+
+    def moved(rows: DataFrame, of_trees: int, levels: int) -> DataFrame:
+        return _shared(written(rows.mapInArrow(lambda it: _branch(it, of_trees, levels), NODES)))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, firsts, docs, size, percent)
 
-    nodes = _shared(written(reps.drop(*FLIPS).mapInArrow(lambda it: _branch(it, trees, 2), NODES)))
-    links = _verified(_with_smallest(nodes, percent), docs, size, percent)
+    links = linked(_with_smallest(moved(reps.drop(*FLIPS), 1, 2), percent))
+    classes = written(components(links, "a", "b"))
+    nodes = moved(reps.drop(*FLIPS), trees, 2)
+    one = _grouped(nodes, classes).groupBy("node", "component").agg(F.min(F.struct(*CARRIED)).alias("one")).select("node", "one.*")
+    links = links.unionAll(linked(_with_smallest(written(one), percent)))
     classes = written(components(links, "a", "b"))
     across = []
     for level in range(2, depth + 1):
-        rows = written(_grouped(nodes, classes).join(reps.select("doc_id", *FLIPS), "doc_id"))
-        across.append(_across(rows.where(F.col("n") <= SMALL), percent) if level < depth else _across_dense(rows, percent))
+        rows = written(_grouped(nodes, classes).join(reps.select("set_id", *FLIPS), "set_id"))
+        across.append(_across(rows if level == depth else rows.where(F.col("n") <= SMALL), percent))
         large = rows.where(F.col("n") > SMALL)
         if level == depth or large.isEmpty():
             break
-        nodes = _shared(
-            written(
-                large.select("node", *CARRIED).join(reps.select("doc_id", "mins"), "doc_id")
-                .mapInArrow(lambda it: _branch(it, trees, 1), NODES)
-            )
-        )
-    links = links.unionAll(_verified(reduce(DataFrame.unionAll, across).distinct(), docs, size, percent))
+        nodes = moved(large.select("node", *CARRIED).join(reps.select("set_id", "mins"), "set_id"), trees, 1)
+    links = links.unionAll(linked(reduce(DataFrame.unionAll, across).distinct()))
     classes = written(components(links, "a", "b"))
 
-    of_set = alike.join(classes.withColumnRenamed("node", "first_id"), "first_id", "left").select(
-        "set_a", "set_b", F.coalesce("component", "first_id").alias("component_id")
-    )
-    linked = full.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    component = F.coalesce("component", "set_id")
+    of_set = written(firsts.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", component))
+    names = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = of_set.drop("doc_id", "set_id").join(names, "component")
+    told = full.select("doc_id", *SET).join(of_set, SET).select("doc_id", "n_shingles", "component_id")
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionAll(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return told.unionAll(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

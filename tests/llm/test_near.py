@@ -50,7 +50,7 @@ def corpus(seed=1):
                 copy[pick.randrange(len(copy))] = pick.choice(vocabulary)
             rows.append((k, " ".join(copy)))
             k += 1
-    # a group of variants larger than a node that is compared exhaustively
+    # a group of many variants
     long = [pick.choice(vocabulary) for _ in range(120)]
     for v in range(150):
         rows.append((k + v, " ".join([*long[: v % 118], f"v{v}", *long[v % 118 :]])))
@@ -86,6 +86,20 @@ def test_near_duplicates_of_five_words_and_empty_tables(spark):
     assert [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(rows, 2).distinct().collect()] == [(1, 1)]
 
 
+def test_nodes_that_branch_to_the_last_level(spark, monkeypatch):
+    """Groups above the size of a node that branches again, at every level."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    check_near(spark, corpus(3), 2)
+
+
+def test_ids_with_two_texts(spark):
+    """Each text of an id keeps its links, and repeated rows change nothing."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = frame(spark, [(5, a), (5, b), (5, b), (7, a + " more"), (8, b + " more"), (9, "other words")])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(rows, 2).collect())
+    assert got == [(5, 5, True)] * 3 + [(7, 5, False), (8, 5, False), (9, 9, True)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
