@@ -8,9 +8,10 @@ others part. Small nodes are compared exhaustively, large ones branch again, and
 this to the target recall. Every link is confirmed on the full sets; nothing is decided by a sketch alone.
 
 How nodes are compared: in the first tree, every set meets the most similar of its nodes' smallest members (one pair per
-set). Then, in the nodes of all trees, one representative of each component so far does the same. What is left are members of
-*different* components: those outside a node's largest component meet the others there, as a link inside one component changes
-nothing. So a group of many mutual copies never emits all its pairs, and no node is capped or dropped.
+set). Then, in the nodes of all trees, representatives of each component so far meet some of the node's largest component.
+What is left are members of *different* components: those outside a node's largest component meet the others there, as a link
+inside one component changes nothing. Nodes that stay large to the last level come after all others are linked. So a group of
+many mutual copies never emits all its pairs, and no node is capped or dropped.
 
 Rows: a null or blank text has no set, links with nothing and is its own class. A text of fewer words than a
 shingle is one shingle, its whole word sequence. Equal sets are one class before the trees begin, with a number of its own,
@@ -39,6 +40,7 @@ TREES = 12
 # of the nodes), the two levels most nodes have with 0.73, and DEPTH levels with 0.48: twelve trees miss it with a
 # chance of 2 in 10 million, or of 4 in 10,000 where nodes stay large to the end.
 DEPTH = 6
+TURNS = 4  # representatives of a component
 SMALL = 256  # members of a node that does not branch again
 # Of 256 sketch bits, sets of similarity 0.8 differ in 25.6 (sd 4.8); 48 is more than four and a half deviations away.
 MAX_BITS = 48
@@ -184,16 +186,31 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return _near(x, y, percent) & ((100 + percent) * _bits_apart(x, y, FLIPS) <= (100 - percent) * sizes)
 
 
-def _with_smallest(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of each set with the most similar of its nodes' smallest members."""
-    low = nodes.groupBy("node").agg(F.min(F.struct(*CARRIED)).alias("low")).select("node", "low.*")
-    x, y = nodes.alias("x"), low.alias("y")
+def _most_similar(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of each set of ``x`` with the most similar of the sets that ``y`` has in its nodes."""
+    x, y = x.alias("x"), y.alias("y")
     met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.set_id") != F.col("y.set_id")) & _near("x", "y", percent)).select(
         F.col("x.set_id").alias("b"), F.col("y.set_id").alias("a"), _bits_apart("x", "y").alias("apart")
     )
     return met.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
 
 
+def _with_smallest(nodes: DataFrame, percent: int) -> DataFrame:
+    """Each set with the most similar of its nodes' smallest members."""
+    low = nodes.groupBy("node").agg(F.min(F.struct(*CARRIED)).alias("low")).select("node", "low.*")
+    return _most_similar(nodes, low, percent)
+
+
+def _with_largest(rows: DataFrame, percent: int) -> DataFrame:
+    """``TURNS`` members of each component of a node, each with a member of the node's largest component."""
+    turn = F.explode(F.array(*map(F.lit, range(TURNS))))
+    turns = rows.select("node", "component", *CARRIED, turn.alias("turn")).withColumn("lot", F.xxhash64("set_id", "turn"))
+    drawn = turns.groupBy("node", "component", "turn").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("lot", *CARRIED)).alias("one"))
+    drawn = written(drawn.select(F.xxhash64("node", "turn").alias("node"), "component", "k", "one.*"))
+    most = drawn.groupBy("node").agg(F.max(F.struct("k", "component", *CARRIED)).alias("most")).select("node", "most.*")
+    return _most_similar(drawn, most, percent)
+
+
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets meet 100 * intersection >= percent * union. ``firsts``: a document of each set."""
     pairs = written(pairs)
@@ -277,17 +294,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     links = linked(_with_smallest(moved(reps.drop(*FLIPS), 1, 2), percent))
     classes = written(components(links, "a", "b"))
     nodes = moved(reps.drop(*FLIPS), trees, 2)
-    one = _grouped(nodes, classes).groupBy("node", "component").agg(F.min(F.struct(*CARRIED)).alias("one")).select("node", "one.*")
-    links = links.unionAll(linked(_with_smallest(written(one), percent)))
+    links = links.unionAll(linked(_with_largest(_grouped(nodes, classes), percent)))
     classes = written(components(links, "a", "b"))
     across = []
-    for level in range(2, depth + 1):
+    for _ in range(2, depth):
         rows = written(_grouped(nodes, classes).join(reps.select("set_id", *FLIPS), "set_id"))
-        across.append(_across(rows if level == depth else rows.where(F.col("n") <= SMALL), percent))
+        across.append(_across(rows.where(F.col("n") <= SMALL), percent))
         large = rows.where(F.col("n") > SMALL)
-        if level == depth or large.isEmpty():
+        if large.isEmpty():
             break
         nodes = moved(large.select("node", *CARRIED).join(reps.select("set_id", "mins"), "set_id"), trees, 1)
+    else:  # what stays large
+        links = links.unionAll(linked(reduce(DataFrame.unionAll, across).distinct()))
+        classes = written(components(links, "a", "b"))
+        across = [_across(written(_grouped(nodes, classes).join(reps.select("set_id", *FLIPS), "set_id")), percent)]
     links = links.unionAll(linked(reduce(DataFrame.unionAll, across).distinct()))
     classes = written(components(links, "a", "b"))
 
